@@ -14,7 +14,7 @@ from tidemark.operators import cells as car
 from tidemark.operators import cohort, compare, guards, histograms, journeys, mapview, segments, spatial, tripbins
 from tidemark.operators.quantiles import LOWER, exact_quantiles
 from tidemark.plans import reports as plans
-from tidemark.session import fresh_dir
+from tidemark.session import fresh_dir, staged
 from tidemark.sources import derived, documents, months, reports
 from tidemark.sources.derived import AIRPORTS, FEED, TOP
 from tidemark.sources.trips import company_name, conform, usable_trips
@@ -45,19 +45,23 @@ def fare_fact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    return car.car_cells(time_fact(spark, sf), fare_fact(spark, sf), derived.zones(spark, sf), AIRPORTS)
+    """Car cells from facts written in one scan of the trips."""
+    facts = staged(months.month_facts(binned(spark, sf)), "facts")
+    time, fare = (facts.where(F.col("fact") == name) for name in (months.TIME_FACT, months.FARE_FACT))
+    return car.car_cells(time, fare, derived.zones(spark, sf), AIRPORTS)
 
 
 def segment_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return segments.leg_rows(documents.segment_rows(derived.segments(spark, sf)), derived.legs(spark))
+    published = staged(derived.segments(spark, sf), "segments")
+    return segments.leg_rows(documents.segment_rows(published), derived.legs(spark))
 
 
 def directions(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.route_directions(derived.route_documents(spark, sf))
+    return documents.route_directions(staged(derived.route_documents(spark, sf), "routes"))
 
 
 def best_journeys(spark: SparkSession, sf: str) -> DataFrame:
-    ranges = plans.measured_ranges(segments.leg_summary(segment_rows(spark, sf)), "L0")
+    ranges = staged(plans.measured_ranges(segments.leg_summary(segment_rows(spark, sf)), "L0"), "ranges")
     return plans.transit_journeys(directions(spark, sf), derived.links(spark), ranges)
 
 
@@ -366,7 +370,7 @@ def segment_leg_summary(spark, sf):
 def floor_rank_quantile(spark, sf):
     return exact_quantiles(
         usable_trips(derived.trips(spark, sf), AIRPORTS).select("airport", "company", "duration_s"),
-        ["airport", "company"], "duration_s", {"low": 0.1, "high": 0.9}, F.floor(F.col("duration_s") / F.lit(60.0)), LOWER,
+        ["airport", "company"], "duration_s", {"low": (0.1, LOWER), "high": (0.9, LOWER)}, F.floor(F.col("duration_s") / F.lit(60.0)),
     )
 
 
@@ -571,17 +575,26 @@ def nearest_zone(spark, sf):
 
 @query
 def report_json(spark, sf):
-    return reports.car_documents(cells(spark, sf), derived.zones(spark, sf))
+    """Car documents written and read back flat."""
+    out = fresh_dir(spark, "car")
+    reports.write_documents(reports.car_documents(cells(spark, sf), derived.zones(spark, sf)), out)
+    return reports.read_car_documents(spark.read.schema(reports.STORED).json(out))
 
 
 @query
 def comparison_json(spark, sf):
-    return reports.comparison_documents(comparison(spark, sf))
+    """Comparison documents written and read back flat."""
+    out = fresh_dir(spark, "comparison")
+    reports.write_documents(reports.comparison_documents(comparison(spark, sf)), out)
+    return reports.read_comparison_documents(spark.read.schema(reports.STORED).json(out))
 
 
 @query
 def leg_json(spark, sf):
-    return reports.leg_documents(segments.leg_summary(segment_rows(spark, sf)), derived.legs(spark))
+    """Bus leg documents written and read back flat."""
+    out = fresh_dir(spark, "legs")
+    reports.write_documents(reports.leg_documents(segments.leg_summary(segment_rows(spark, sf)), derived.legs(spark)), out)
+    return reports.read_leg_documents(spark.read.schema("route_id string, document string").json(out))
 
 
 @query

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.fixed_values import WHOLE_DAY
 from tidemark.functions.measures import verdict
+from tidemark.functions.timeblocks import block_names
 
 VERDICT_COLUMNS = {"car": "car", "transit": "transit", "too close to call": "draw"}
 
@@ -30,30 +31,38 @@ def best_station(station_zone: DataFrame, journeys: DataFrame) -> DataFrame:
 def compare_modes(cells: DataFrame, best: DataFrame, zones: DataFrame, fares: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row per airport, zone and block with both modes, the verdict and the safe lead time.
 
-    Zones come from the car side; within a zone either mode may lack a block.
-    ``fares`` and ``evidence`` are lookups by airport.
+    Zones come from the car side; within a zone either mode may lack a block. A zone
+    gathers its cells (one per part of the day and one for the whole day) and looks
+    both modes up per block. ``fares`` and ``evidence`` are lookups by airport.
     """
-    car = cells.where(F.col("grain") != WHOLE_DAY).select(
-        "airport", F.col("origin").alias("zone"), F.col("grain").alias("block"),
-        F.col("p50").alias("car_p50"), F.col("p90").alias("car_p90"),
-        F.col("n").alias("car_n"), F.col("fare").alias("car_fare"),
+    entry = F.struct(F.col("grain"), F.struct("p50", "p90", "n", "fare").alias("cell"))
+    car_zones = (
+        cells.groupBy("airport", F.col("origin").alias("zone"))
+        .agg(F.map_from_entries(F.collect_list(entry)).alias("_car"))
+        .where(F.map_contains_key("_car", F.lit(WHOLE_DAY)))
     )
-    car_zones = cells.where(F.col("grain") == WHOLE_DAY).select("airport", F.col("origin").alias("zone"))
-    served = best.join(car_zones, ["airport", "zone"], "left_semi")
-    via = served.select("airport", "zone", "station", "route", "link", "connector")
-    transit = served.select("airport", "zone", F.inline("blocks")).select(
-        "airport", "zone", "block", F.col("door_p50").alias("transit_p50"), F.col("door_p90").alias("transit_p90")
+    by_block = F.map_from_entries(F.transform("blocks", lambda b: F.struct(b["block"], b)))
+    options = best.select("airport", "zone", "station", "route", "link", "connector", by_block.alias("_transit"))
+    blocks = F.array(*[F.lit(b) for b in block_names()])
+    rows = (
+        car_zones.join(options, ["airport", "zone"], "left")
+        .select("*", F.explode(blocks).alias("block"))
+        .withColumn("_c", F.try_element_at("_car", F.col("block")))
+        .withColumn("_t", F.try_element_at("_transit", F.col("block")))
+        .where(F.col("_c").isNotNull() | F.col("_t").isNotNull())
     )
-    both = car.join(transit, ["airport", "zone", "block"], "full")
-    named = both.join(via, ["airport", "zone"], "left").join(zones, "zone", "left")
-    priced = named.join(fares, "airport", "left").join(evidence, "airport", "left")
-    has_transit = F.col("transit_p90").isNotNull()
-    return priced.select(
+    looked_up = (
+        rows.join(zones, "zone", "left").join(fares, "airport", "left").join(evidence, "airport", "left")
+        .withColumns({"car_p50": F.col("_c.p50"), "car_p90": F.col("_c.p90"), "transit_p50": F.col("_t.door_p50"), "transit_p90": F.col("_t.door_p90")})
+    )
+    return looked_up.select(
         "airport", "zone",
         F.coalesce("name", F.col("zone").cast("string")).alias("name"),
         F.coalesce("borough", F.lit("")).alias("borough"),
-        "block", "car_p50", "car_p90", "car_n", "car_fare", "transit_p50", "transit_p90",
-        F.when(has_transit, F.col("transit_fare")).alias("transit_fare"),
+        "block", "car_p50", "car_p90",
+        F.col("_c.n").alias("car_n"), F.col("_c.fare").alias("car_fare"),
+        "transit_p50", "transit_p90",
+        F.when(F.col("transit_p90").isNotNull(), F.col("transit_fare")).alias("transit_fare"),
         F.least("car_p90", "transit_p90").alias("lead_minutes"),
         verdict(F.col("car_p90"), F.col("transit_p90")).alias("verdict"),
         (F.col("car_p90") - F.col("car_p50")).alias("car_buffer"),
@@ -75,21 +84,12 @@ def verdict_tally(comparison: DataFrame) -> DataFrame:
 def default_zone(comparison: DataFrame) -> DataFrame:
     """Zone to open on per airport and block: the widest lead of transit over car, else the first zone."""
     gap = F.col("car_p90") - F.col("transit_p90")
-    zones = comparison.select("airport", "zone").distinct()
-    first = zones.groupBy("airport").agg(F.min("zone").alias("_first"))
-    blocks = comparison.select("airport", "block").distinct()
-    widest = Window.partitionBy("airport", "block").orderBy(F.desc("gap"), "zone")
-    found = (
-        comparison.select("airport", "block", "zone", gap.alias("gap"))
-        .where(F.col("gap").isNotNull())
-        .withColumn("_rn", F.row_number().over(widest))
-        .where("_rn = 1")
-        .drop("_rn")
-    )
-    return (
-        blocks.join(first, "airport").join(found, ["airport", "block"], "left")
-        .select("airport", "block", F.coalesce("zone", "_first").alias("zone"), "gap")
+    ranked = F.when(gap.isNotNull(), F.struct(gap, -F.col("zone")))
+    per_block = comparison.groupBy("airport", "block").agg(
+        F.max_by("zone", ranked).alias("_widest"), F.max(gap).alias("gap"), F.min("zone").alias("_lowest")
     )
+    first = F.min("_lowest").over(Window.partitionBy("airport"))
+    return per_block.select("airport", "block", F.coalesce("_widest", first).alias("zone"), "gap")
 
 
 def coverage_counts(comparison: DataFrame) -> DataFrame:

@@ -117,6 +117,29 @@ def uniform_leg(df: DataFrame, keys: Sequence[str], low: Column, high: Column, b
     return count_bins(spread.select(*keys, F.least("_minute", F.lit(top)).alias(bin_col)), keys, bin_col)
 
 
+def uniform_pair(
+    df: DataFrame,
+    keys: Sequence[str],
+    first: tuple[Column, Column],
+    second: tuple[Column, Column],
+    bin_col: str = "bin",
+    top: int = TOP_MINUTE,
+) -> DataFrame:
+    """Two uniform legs convolved in closed form: each sum's count is the overlap of two ranges.
+
+    ``df`` has one row per key; no pair of minutes is ever made.
+    """
+    (a_low, a_high), (b_low, b_high) = first, second
+    total = F.col("_t")
+    ways = F.least(a_high, total - b_low) - F.greatest(a_low, total - b_high) + 1
+    sums = df.withColumn("_t", F.explode(F.sequence((a_low + b_low).cast("int"), (a_high + b_high).cast("int"))))
+    return (
+        sums.select(*keys, F.least(total, F.lit(top)).alias(bin_col), ways.cast("bigint").alias("n"))
+        .groupBy(*keys, bin_col)
+        .agg(F.sum("n").alias("n"))
+    )
+
+
 def headway(median_wait: Column) -> Column:
     """Whole minutes between departures implied by a median wait, at least 1."""
     return F.greatest(F.lit(1), F.rint(median_wait * F.lit(2.0)).cast("int"))

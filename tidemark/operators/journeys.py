@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import SAMPLE_FLOOR, TOP_MINUTE
-from tidemark.operators.histograms import convolve, headway, summarise, uniform_leg
+from tidemark.operators.histograms import convolve, headway, summarise, uniform_pair
 
 OVERHEAD_KEYS = ["headway", "transfer_low", "transfer_high", "wait_low", "wait_high", "ride_low", "ride_high"]
 JOURNEY_KEYS = ["airport", "station", "link_pos", "route_pos"]
@@ -65,14 +65,12 @@ def overheads(cells: DataFrame, top: int = TOP_MINUTE) -> DataFrame:
     than once per cell, and its size follows the model rather than the data.
     """
     combos = cells.select(*OVERHEAD_KEYS).distinct()
-    legs = [
-        uniform_leg(combos, OVERHEAD_KEYS, F.lit(0), F.col("headway"), "bin", top),
-        uniform_leg(combos, OVERHEAD_KEYS, F.col("transfer_low"), F.col("transfer_high"), "bin", top),
-        uniform_leg(combos, OVERHEAD_KEYS, F.col("wait_low"), F.col("wait_high"), "bin", top),
-        uniform_leg(combos, OVERHEAD_KEYS, F.col("ride_low"), F.col("ride_high"), "bin", top),
-    ]
-    street = convolve(legs[0], legs[1], OVERHEAD_KEYS, "bin", top)
-    link = convolve(legs[2], legs[3], OVERHEAD_KEYS, "bin", top)
+    street = uniform_pair(
+        combos, OVERHEAD_KEYS, (F.lit(0), F.col("headway")), (F.col("transfer_low"), F.col("transfer_high")), "bin", top
+    )
+    link = uniform_pair(
+        combos, OVERHEAD_KEYS, (F.col("wait_low"), F.col("wait_high")), (F.col("ride_low"), F.col("ride_high")), "bin", top
+    )
     return convolve(street, link, OVERHEAD_KEYS, "bin", top)
 
 

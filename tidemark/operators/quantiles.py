@@ -21,18 +21,19 @@ def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    quantiles: Mapping[str, float],
+    quantiles: Mapping[str, float | tuple[float, str]],
     bucket: Column,
-    method: str = LINEAR,
     weight: str | None = None,
 ) -> DataFrame:
     """``keys, n, <one column per quantile>``; NULL values are left out, keys must not be NULL.
 
-    ``bucket`` must never decrease as ``value`` grows. ``linear`` interpolates
-    between the two nearest ranks; ``lower`` takes the value at rank floor(q*(n-1)).
+    ``bucket`` must never decrease as ``value`` grows. A quantile is a number, or a
+    number and a method: ``linear`` (the default) interpolates between the two
+    nearest ranks; ``lower`` takes the value at rank floor(q*(n-1)).
     ``weight`` names a column saying how many rows each row stands for.
     """
     keys = list(keys)
+    wanted_ranks = {name: q if isinstance(q, tuple) else (q, LINEAR) for name, q in quantiles.items()}
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
@@ -50,7 +51,7 @@ def exact_quantiles(
     )
 
     ranks = []
-    for name, q in quantiles.items():
+    for name, (q, method) in wanted_ranks.items():
         if not 0.0 <= q <= 1.0:
             raise ValueError(f"quantile out of range: {q}")
         position = F.lit(float(q)) * (F.col("_all") - 1).cast("double")
@@ -74,10 +75,10 @@ def exact_quantiles(
         .where((F.col("_want.rank") < F.col("_seen")) & (F.col("_want.rank") >= F.col("_seen") - F.col("_n")))
     )
 
-    def picked(name: str) -> Column:
+    def picked(name: str, method: str) -> Column:
         mine = F.col("_want.name") == name
         if method == LOWER:
             return F.max(F.when(mine, F.col(value))).alias(name)
         return F.sum(F.when(mine, F.col(value) * F.col("_want.share"))).alias(name)
 
-    return hits.groupBy(*keys).agg(F.max("_all").alias("n"), *[picked(name) for name in quantiles])
+    return hits.groupBy(*keys).agg(F.max("_all").alias("n"), *[picked(name, method) for name, (_, method) in wanted_ranks.items()])

@@ -33,15 +33,15 @@ def leg_blocks(rows: DataFrame, floor: int = SEGMENT_ROW_FLOOR) -> DataFrame:
     """``route_id, block, cells, buses_per_cell, typical, low, high, worst_cell``, in full precision."""
     working = _working_rows(rows)
     keys = ["route_id", "block"]
-    counts = working.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cells"),
-        (F.sum("bus_trip_count").cast("double") / F.count(F.lit(1)).cast("double")).alias("buses_per_cell"),
-        F.max("average_travel_time").alias("worst_cell"),
-    ).where(F.col("cells") >= floor)
-    bucket = F.floor("average_travel_time")
-    median = exact_quantiles(working, keys, "average_travel_time", {"typical": 0.5}, bucket).drop("n")
-    spread = exact_quantiles(working, keys, "average_travel_time", {"low": 0.1, "high": 0.9}, bucket, LOWER).drop("n")
-    return counts.join(median, keys).join(spread, keys)
+    buses = working.groupBy(*keys).agg(
+        (F.sum("bus_trip_count").cast("double") / F.count(F.lit(1)).cast("double")).alias("buses_per_cell")
+    )
+    spread = exact_quantiles(
+        working, keys, "average_travel_time",
+        {"typical": 0.5, "low": (0.1, LOWER), "high": (0.9, LOWER), "worst_cell": (1.0, LOWER)},
+        F.floor("average_travel_time"),
+    ).withColumnRenamed("n", "cells")
+    return spread.where(F.col("cells") >= floor).join(buses, keys)
 
 
 def leg_totals(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,6 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[context.applicationId]
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once to the shared folder and read back.
+
+    For a small result that several later steps read: its inputs are scanned once,
+    and losing an executor afterwards costs nothing.
+    """
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder; nothing is there yet."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -38,15 +38,12 @@ def zone_dimension(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def typed_zones(rows: DataFrame) -> DataFrame:
     """The same from rows a CSV reader already split (``LocationID, Borough, Zone``)."""
-    zone = F.trim("LocationID").try_cast("int")
-    return (
-        rows.select(zone.alias("zone"), "Borough", "Zone")
-        .where(F.col("zone").isNotNull())
-        .select(
-            F.col("zone"),
-            clean_text(rows["Zone"], F.concat(F.lit("Unknown zone "), F.col("zone").cast("string"))).alias("name"),
-            clean_text(F.col("Borough"), F.lit("Unknown")).alias("borough"),
-        )
+    number = F.trim("LocationID").try_cast("int")
+    unnamed = F.concat(F.lit("Unknown zone "), number.cast("string"))
+    return rows.where(number.isNotNull()).select(
+        number.alias("zone"),
+        clean_text(F.col("Zone"), unnamed).alias("name"),
+        clean_text(F.col("Borough"), F.lit("Unknown")).alias("borough"),
     )
 
 

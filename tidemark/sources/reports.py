@@ -51,6 +51,47 @@ def leg_documents(summary: DataFrame, legs: DataFrame) -> DataFrame:
     return maps.join(legs, "route_id").select("route_id", F.to_json(body).alias("document"))
 
 
+STORED = "airport int, zone int, document string"
+_CAR = "name string, borough string, cells map<string, struct<n: bigint, mean: double, p50: int, p90: int, p95: int, fare: int, fare_p90: int>>"
+_MODE = "struct<p50: int, p90: int, n: bigint, fare: double>"
+_COMPARISON = (
+    "name string, borough string, transit_evidence string, "
+    "via struct<station: string, route: string, link: string, connector: string>, "
+    f"blocks map<string, struct<car: {_MODE}, transit: {_MODE}, lead_minutes: int, verdict: string>>"
+)
+_LEG = (
+    "junction string, junction_aliases array<string>, terminal string, buses_observed bigint, months bigint, "
+    "blocks map<string, struct<cells: bigint, buses_per_cell: double, typical: double, low: double, high: double, worst_cell: double>>"
+)
+
+
+def read_car_documents(documents: DataFrame) -> DataFrame:
+    """Stored car documents as one row per cell."""
+    parsed = documents.select("airport", "zone", F.from_json("document", _CAR).alias("_d"))
+    return parsed.select("airport", "zone", "_d.name", "_d.borough", F.explode("_d.cells").alias("grain", "_cell")).select(
+        "airport", "zone", "name", "borough", "grain", "_cell.*"
+    )
+
+
+def read_comparison_documents(documents: DataFrame) -> DataFrame:
+    """Stored comparison documents as one row per block."""
+    parsed = documents.select("airport", "zone", F.from_json("document", _COMPARISON).alias("_d"))
+    return parsed.select("airport", "zone", "_d.name", "_d.borough", "_d.via.station", F.explode("_d.blocks").alias("block", "_b")).select(
+        "airport", "zone", "name", "borough", "station", "block",
+        F.col("_b.car.p90").alias("car_p90"),
+        F.col("_b.transit.p90").alias("transit_p90"),
+        "_b.lead_minutes", "_b.verdict",
+    )
+
+
+def read_leg_documents(documents: DataFrame) -> DataFrame:
+    """Stored leg documents as one row per block."""
+    parsed = documents.select("route_id", F.from_json("document", _LEG).alias("_d"))
+    return parsed.select(
+        "route_id", "_d.junction", "_d.terminal", "_d.buses_observed", "_d.months", F.explode("_d.blocks").alias("block", "_b")
+    ).select("route_id", "junction", "terminal", "buses_observed", "months", "block", "_b.*")
+
+
 def station_documents(station_zone: DataFrame) -> DataFrame:
     """``zone, document``: the zone's station names in order."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "station")))
