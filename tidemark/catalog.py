@@ -46,7 +46,7 @@ def fare_fact(spark: SparkSession, sf: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     """Car cells from facts written in one scan of the trips."""
-    facts = staged(months.month_facts(binned(spark, sf)), "facts")
+    facts = staged(months.both_facts(binned(spark, sf)), "facts")
     time, fare = (facts.where(F.col("fact") == name) for name in (months.TIME_FACT, months.FARE_FACT))
     return car.car_cells(time, fare, derived.zones(spark, sf), AIRPORTS)
 
@@ -228,7 +228,8 @@ def zone_dimension(spark, sf):
 
 @query
 def unit_ratio_guard(spark, sf):
-    report = guards.unit_ratio_report(usable_trips(derived.trips(spark, sf), AIRPORTS), ["source", "year_month"])
+    checks = staged(months.check_counts(usable_trips(derived.trips(spark, sf), AIRPORTS)), "checks")
+    report = guards.unit_ratio_report(checks, months.MONTH_KEYS, weight="n")
     return report.withColumn("ratio", F.round("ratio", 9))
 
 

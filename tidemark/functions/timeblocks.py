@@ -22,8 +22,11 @@ def minute_of_day(ts: Column) -> Column:
 
 def block_of_minute(minute: Column, blocks: Blocks = TIME_BLOCKS) -> Column:
     """NULL when no block covers the minute."""
-    arms = [F.when((minute >= start) & (minute < end), F.lit(name)) for name, start, end in blocks]
-    return F.coalesce(*arms)
+    (name, start, end), *later = blocks
+    arms = F.when((minute >= start) & (minute < end), F.lit(name))
+    for name, start, end in later:
+        arms = arms.when((minute >= start) & (minute < end), F.lit(name))
+    return arms
 
 
 def block_of(ts: Column, blocks: Blocks = TIME_BLOCKS) -> Column:

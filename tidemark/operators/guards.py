@@ -26,15 +26,13 @@ def unit_ratio_report(trips: DataFrame, keys: list[str], weight: str | None = No
     ``weight`` names the count column when the trips are already counted per
     duration and gap.
     """
-    is_long = F.col("duration_s") > UNIT_RATIO_MIN_SECONDS
+    is_long = F.coalesce(F.col("duration_s") > UNIT_RATIO_MIN_SECONDS, F.lit(False))
+    stands_for = F.col(weight) if weight else F.lit(1)
+    counts = trips.groupBy(*keys).agg(F.sum(F.when(is_long, stands_for).otherwise(0)).alias("checked"))
     ratio = F.try_divide(F.col("duration_s").cast("double"), F.col("gap_s").cast("double"))
-    pairs = (
-        trips.groupBy(*keys, is_long.alias("_long"), F.when(is_long, ratio).alias("ratio"))
-        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_pairs"))
-    )
-    counts = pairs.groupBy(*keys).agg(F.sum(F.when(F.col("_long"), F.col("_pairs")).otherwise(0)).alias("checked"))
+    long_trips = trips.where(is_long).select(*keys, ratio.alias("ratio"), *([weight] if weight else []))
     bucket = F.floor(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col("ratio"))) * F.lit(256.0))
-    median = exact_quantiles(pairs, keys, "ratio", {"ratio": 0.5}, bucket, weight="_pairs").drop("n")
+    median = exact_quantiles(long_trips, keys, "ratio", {"ratio": 0.5}, bucket, weight=weight).drop("n")
     low, high = UNIT_RATIO_BOUNDS
     status = (
         F.when(F.col("checked") == 0, "no usable rows")

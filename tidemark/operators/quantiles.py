@@ -9,6 +9,8 @@ holds a third of all rows is spread over its values, then over its buckets.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ def exact_quantiles(
     bucket: Column,
     weight: str | None = None,
 ) -> DataFrame:
-    """``keys, n, <one column per quantile>``; NULL values are left out, keys must not be NULL.
+    """``keys, n, <one column per quantile>``; rows with a NULL value or key are left out.
 
     ``bucket`` must never decrease as ``value`` grows. A quantile is a number, or a
     number and a method: ``linear`` (the default) interpolates between the two
@@ -34,8 +36,10 @@ def exact_quantiles(
     """
     keys = list(keys)
     wanted_ranks = {name: q if isinstance(q, tuple) else (q, LINEAR) for name, q in quantiles.items()}
+    # Said up front, so that no join adds it to one reader only and both share one shuffle.
+    present = reduce(and_, [F.col(c).isNotNull() for c in (*keys, value)], bucket.isNotNull())
     counted = (
-        df.where(F.col(value).isNotNull())
+        df.where(present)
         .groupBy(*keys, value)
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
         .withColumn("_bucket", bucket)

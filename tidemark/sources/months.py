@@ -52,16 +52,32 @@ def coverage_totals(report: DataFrame) -> DataFrame:
 TIME_FACT, FARE_FACT, CHECK_FACT = "time", "fare", "check"
 
 
+def _check_columns(binned: DataFrame) -> DataFrame:
+    """Durations and gaps of the trips the unit guard looks at; NULL for the others."""
+    is_long = F.col("duration_s") > UNIT_RATIO_MIN_SECONDS
+    return binned.withColumn("gap_s", F.when(is_long, F.col("gap_s"))).withColumn(
+        "duration_s", F.when(is_long, F.col("duration_s"))
+    )
+
+
+def check_counts(trips: DataFrame) -> DataFrame:
+    """Trips counted per month, duration and gap: all the unit guard needs to see."""
+    return _check_columns(trips).groupBy(*MONTH_KEYS, "duration_s", "gap_s").agg(F.count(F.lit(1)).alias("n"))
+
+
+def both_facts(binned: DataFrame) -> DataFrame:
+    """Both fact histograms over all months, from one scan and one shuffle."""
+    sets = [[*TIME_KEYS, "minutes"], [*FARE_KEYS, "dollars"]]
+    fact = F.when(F.grouping("minutes") == 0, TIME_FACT).otherwise(FARE_FACT)
+    return binned.groupingSets(sets, *TIME_KEYS, "minutes", "dollars").agg(F.count(F.lit(1)).alias("n"), fact.alias("fact"))
+
+
 def month_facts(binned: DataFrame) -> DataFrame:
-    """Both fact histograms and the unit check's counts from one scan and one shuffle.
+    """Both fact histograms per month and the unit check's counts from one scan and one shuffle.
 
     Each trip feeds three grouping sets and is combined with its like on the map
     side, so nothing of trip size is cached, shuffled or read twice.
     """
-    is_long = F.col("duration_s") > UNIT_RATIO_MIN_SECONDS
-    rows = binned.withColumn("gap_s", F.when(is_long, F.col("gap_s"))).withColumn(
-        "duration_s", F.when(is_long, F.col("duration_s"))
-    )
     sets = [
         [*MONTH_KEYS, *TIME_KEYS, "minutes"],
         [*MONTH_KEYS, *FARE_KEYS, "dollars"],
@@ -71,7 +87,7 @@ def month_facts(binned: DataFrame) -> DataFrame:
     fact = (
         F.when(F.grouping("minutes") == 0, TIME_FACT).when(F.grouping("dollars") == 0, FARE_FACT).otherwise(CHECK_FACT)
     )
-    return rows.groupingSets(sets, *every).agg(F.count(F.lit(1)).alias("n"), fact.alias("fact"))
+    return _check_columns(binned).groupingSets(sets, *every).agg(F.count(F.lit(1)).alias("n"), fact.alias("fact"))
 
 
 def ingest(
