@@ -61,7 +61,7 @@ def directions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_journeys(spark: SparkSession, sf: str) -> DataFrame:
-    ranges = staged(plans.measured_ranges(segments.leg_summary(segment_rows(spark, sf)), "L0"), "ranges")
+    ranges = staged(plans.measured_ranges(segment_rows(spark, sf), "L0"), "ranges")
     return plans.transit_journeys(directions(spark, sf), derived.links(spark), ranges)
 
 
@@ -388,7 +388,7 @@ def route_documents(spark, sf):
 
 @query
 def ride_range(spark, sf):
-    return segments.ride_ranges(segments.leg_summary(segment_rows(spark, sf)))
+    return segments.ride_ranges(segments.leg_blocks(segment_rows(spark, sf)))
 
 
 @query
@@ -424,12 +424,12 @@ def station_counts(spark, sf):
 
 @query
 def quintile_shade(spark, sf):
-    return mapview.shade(comparison(spark, sf), F.col("car_p90"))
+    return mapview.shade(staged(comparison(spark, sf), "comparison"), F.col("car_p90"))
 
 
 @query
 def buffer_shade(spark, sf):
-    return mapview.shade(comparison(spark, sf), F.col("car_buffer"))
+    return mapview.shade(staged(comparison(spark, sf), "comparison"), F.col("car_buffer"))
 
 
 # ---- cohorts and profiles ------------------------------------------------------

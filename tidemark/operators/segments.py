@@ -30,7 +30,7 @@ def _working_rows(rows: DataFrame) -> DataFrame:
 
 
 def leg_blocks(rows: DataFrame, floor: int = SEGMENT_ROW_FLOOR) -> DataFrame:
-    """``route_id, block, cells, buses_per_cell, typical, low, high, worst_cell``, in full precision."""
+    """``route_id, block, cells, buses_per_cell, typical, low, high, worst_cell``, one decimal."""
     working = _working_rows(rows)
     keys = ["route_id", "block"]
     buses = working.groupBy(*keys).agg(
@@ -41,7 +41,10 @@ def leg_blocks(rows: DataFrame, floor: int = SEGMENT_ROW_FLOOR) -> DataFrame:
         {"typical": 0.5, "low": (0.1, LOWER), "high": (0.9, LOWER), "worst_cell": (1.0, LOWER)},
         F.floor("average_travel_time"),
     ).withColumnRenamed("n", "cells")
-    return spread.where(F.col("cells") >= floor).join(buses, keys)
+    rounded = ("buses_per_cell", "typical", "low", "high", "worst_cell")
+    return spread.where(F.col("cells") >= floor).join(buses, keys).select(
+        *keys, "cells", *[round_even_1(F.col(c)).alias(c) for c in rounded]
+    )
 
 
 def leg_totals(rows: DataFrame) -> DataFrame:
@@ -53,18 +56,14 @@ def leg_totals(rows: DataFrame) -> DataFrame:
 
 
 def leg_summary(rows: DataFrame, floor: int = SEGMENT_ROW_FLOOR) -> DataFrame:
-    """The published leg table, one decimal."""
-    rounded = ("buses_per_cell", "typical", "low", "high", "worst_cell")
-    blocks = leg_blocks(rows, floor)
-    return leg_totals(rows).join(
-        blocks.select("route_id", "block", "cells", *[round_even_1(F.col(c)).alias(c) for c in rounded]), "route_id"
-    )
+    """The published leg table: totals of the leg beside each of its blocks."""
+    return leg_totals(rows).join(leg_blocks(rows, floor), "route_id")
 
 
-def ride_ranges(summary: DataFrame) -> DataFrame:
+def ride_ranges(blocks: DataFrame) -> DataFrame:
     """Whole-minute ride range per route and block, at least a minute wide."""
     low = F.col("low").cast("int")
-    return summary.select(
+    return blocks.select(
         "route_id",
         "block",
         low.alias("seg_low"),

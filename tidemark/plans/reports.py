@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.fixed_values import LINK_EVIDENCE, RAIL_LINKS, SAMPLE_FLOOR, SEGMENT_LEGS, TRANSFER_RANGE, TRANSIT_FARES
+from tidemark.fixed_values import AIRPORT_NAMES, LINK_EVIDENCE, RAIL_LINKS, SAMPLE_FLOOR, SEGMENT_LEGS, TRANSFER_RANGE, TRANSIT_FARES
 from tidemark.operators.cells import car_cells
 from tidemark.operators.compare import best_station, compare_modes
 from tidemark.operators.guards import enforce, segment_unit_report
@@ -64,9 +64,15 @@ def transit_journeys(directions: DataFrame, links: DataFrame, ranges: DataFrame,
     return best_journeys(journeys(door_to_door(cells)))
 
 
-def measured_ranges(summary: DataFrame, route_id: str) -> DataFrame:
+def measured_ranges(rows: DataFrame, route_id: str) -> DataFrame:
     """Ride range per block of the leg whose buses carry the link."""
-    return ride_ranges(summary.where(F.col("route_id") == route_id)).drop("route_id")
+    return ride_ranges(leg_blocks(rows.where(F.col("route_id") == route_id))).drop("route_id")
+
+
+def named_airports(cells: DataFrame, names: dict[int, str] = AIRPORT_NAMES) -> DataFrame:
+    """Car cells with the airport's name in place of its zone id, as the transit side has it."""
+    labels = F.coalesce(*[F.when(F.col("airport") == zone, F.lit(name)) for zone, name in names.items()])
+    return cells.withColumn("airport", labels)
 
 
 def comparison_report(
@@ -74,8 +80,3 @@ def comparison_report(
 ) -> DataFrame:
     return compare_modes(cells, best_station(station_zone, journeys), zones, fares, evidence)
 
-
-__all__ = [
-    "car_report", "comparison_report", "evidence_table", "fare_table", "leg_blocks", "leg_table", "link_table",
-    "measured_ranges", "segment_report", "transit_journeys",
-]

@@ -79,7 +79,7 @@ def route_directions(documents: DataFrame, text: str = "document") -> DataFrame:
 
 
 def _ring(pairs: Column) -> Column:
-    return F.transform(pairs, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
 
 
 def zone_shapes(rows: DataFrame, geometry: str = "the_geom") -> DataFrame:
