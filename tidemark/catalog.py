@@ -116,9 +116,8 @@ def block_classify(spark, sf):
 def block_minutes_check(spark, sf):
     """Every pickup minute seen: the CASE and the block table must name the same block."""
     minutes = derived.raw_trips(spark, sf).groupBy(minute_of_day(F.col("pickup")).alias("minute")).agg(F.count(F.lit(1)).alias("n"))
-    table = tiling_report(block_table(spark))
-    inside = (F.col("minute") >= F.col("start_min")) & (F.col("minute") < F.col("end_min"))
-    return minutes.join(table, inside, "left").select(
+    table = tiling_report(block_table(spark)).withColumn("minute", F.explode(F.sequence("start_min", F.col("end_min") - 1)))
+    return minutes.join(table, "minute", "left").select(
         "minute", "n", block_of_minute(F.col("minute")).alias("block_case"), F.col("block").alias("block_table"), "next_block", "tiles"
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.fixed_values import PLACEHOLDER_BOROUGHS, SAMPLE_FLOOR, WHOLE_DAY
 from tidemark.functions.measures import round_even_1
 from tidemark.functions.timeblocks import block_names
-from tidemark.operators.histograms import merge, summarise, two_grains
+from tidemark.operators.histograms import summarise, two_grains
 
 CELL_KEYS = ["airport", "origin", "grain"]
 
@@ -23,9 +23,8 @@ def reportable_zones(zones: DataFrame, airports: list[int]) -> DataFrame:
 
 
 def grains(fact: DataFrame, bin_col: str) -> DataFrame:
-    """Companies and months merged, then both grains."""
-    merged = merge([fact], ["airport", "origin", "block"], bin_col)
-    return two_grains(merged, ["airport", "origin"], "block", bin_col)
+    """Both grains; companies and months add up on the way."""
+    return two_grains(fact, ["airport", "origin"], "block", bin_col)
 
 
 def _reported_origins(hist: DataFrame, zones: DataFrame, airports: list[int]) -> DataFrame:

@@ -85,7 +85,7 @@ def locate(points: DataFrame, zones: DataFrame, cell: float, band: float) -> Dat
     index = _banded(zones, cell, band)
     boxed = F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
     found = placed.join(index, ["_col", "_band"]).where(boxed & inside_rings(F.col("_edges"), F.col("x"), F.col("y")))
-    return found.groupBy("point").agg(F.min(F.struct("pos", "zone")).alias("_first")).select("point", "_first.zone")
+    return found.groupBy("point").agg(F.min_by("zone", "pos").alias("zone"))
 
 
 def nearest(points: DataFrame, centres: DataFrame, radius: float) -> DataFrame:

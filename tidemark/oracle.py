@@ -27,7 +27,7 @@ def _tenth(x: str) -> str:
 
 
 _TRIPS = f"""raw AS (
-  SELECT CAST(l_suppkey % 4 AS INT) AS airport, CAST(l_partkey % 40 AS INT) AS origin, l_returnflag AS company,
+  SELECT l_suppkey % 4 AS airport, l_partkey % 40 AS origin, l_returnflag AS company,
     l_shipdate + to_seconds((l_orderkey*7919 + l_partkey*104729 + l_linenumber*3571) % 86400) AS pickup,
     CAST(l_quantity AS BIGINT)*120 + l_partkey % 600 AS trip_time, l_orderkey % 41 - 20 AS noise,
     CAST(round(l_extendedprice*100) AS BIGINT)//1000 AS base_cents,
@@ -373,7 +373,7 @@ _add(
 )
 _add(
     "default_zone", _BOTH,
-    """SELECT k.airport, k.block, CAST(coalesce(g.zone, (SELECT min(zone) FROM cmp c WHERE c.airport = k.airport)) AS INT) AS zone, g.gap
+    """SELECT k.airport, k.block, coalesce(g.zone, (SELECT min(zone) FROM cmp c WHERE c.airport = k.airport)) AS zone, g.gap
     FROM (SELECT DISTINCT airport, block FROM cmp) k LEFT JOIN
     (SELECT airport, block, zone, car_p90 - transit_p90 AS gap FROM cmp WHERE car_p90 IS NOT NULL AND transit_p90 IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY airport, block ORDER BY car_p90 - transit_p90 DESC, zone) = 1) g USING (airport, block)""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,8 +107,11 @@ def ingest(
     whole, so a repeated run leaves the same tables.
     """
     spark = trips.sparkSession
-    todo = missing_months(wanted, stored_months(spark, out), force)
-    fresh = usable_trips(trips, airports).join(todo, "year_month", "left_semi")
+    # A calendar's worth of names; as literals they prune partitions and files.
+    todo = [row.year_month for row in missing_months(wanted, stored_months(spark, out), force).collect()]
+    if not todo:
+        return
+    fresh = usable_trips(trips, airports).where(F.col("year_month").isin(*todo))
     staging = fresh_dir(spark, "facts")
     month_facts(with_bins(fresh, top_minute, top_dollar)).write.partitionBy("fact").parquet(staging)
     facts = spark.read.parquet(staging)
@@ -128,17 +132,19 @@ def ingest(
 def read_fact(spark: SparkSession, out: str, name: str) -> DataFrame:
     """A stored fact table; ``year_month`` stays text."""
     bin_col, keys = ("minutes", TIME_KEYS) if name == TIME_FACT else ("dollars", FARE_KEYS)
-    types = {"airport": "int", "origin": "int", "company": "string", "block": "string"}
+    types = {"airport": "bigint", "origin": "bigint", "company": "string", "block": "string"}
     schema = ", ".join(f"{k} {types[k]}" for k in keys)
     return spark.read.schema(f"{schema}, {bin_col} int, n bigint, source string, year_month string").parquet(f"{out}/{name}")
 
 
 def stored_months(spark: SparkSession, out: str) -> DataFrame:
     """Months already in the time fact; none when the table does not exist yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{TIME_FACT}")
-    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+    try:
+        return read_fact(spark, out, TIME_FACT).select("year_month").distinct()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "year_month string")
-    return read_fact(spark, out, TIME_FACT).select("year_month").distinct()
 
 
 def stored_counts(spark: SparkSession, out: str) -> DataFrame:
