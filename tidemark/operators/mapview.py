@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.fixed_values import FRAME_UNITS, SHADE_BREAKS, SIMPLIFY_TOLERANCE
+from tidemark.fixed_values import FRAME_UNITS, SHADE_BREAKS, SIMPLIFY_TOLERANCE, TAP_RADIUS_PIXELS
 from tidemark.functions.geometry import simplify_ring
 from tidemark.functions.measures import round_even_1
 from tidemark.operators.spatial import part_areas, zone_bounds
@@ -131,6 +131,11 @@ def drawing_counts(zones: DataFrame, tolerance: float = SIMPLIFY_TOLERANCE) -> D
     )
 
 
+def tap_radius(frame_width: float, screen_width: float, pixels: int = TAP_RADIUS_PIXELS) -> float:
+    """The screen distance within which a tap picks the nearest zone, in frame units."""
+    return pixels * frame_width / screen_width
+
+
 def shade(comparison: DataFrame, value: Column) -> DataFrame:
     """Colour step and legend ends per airport, block and zone.
 

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.fixed_values import AIRPORT_NAMES, LINK_EVIDENCE, RAIL_LINKS, SAMPLE_FLOOR, SEGMENT_LEGS, TRANSFER_RANGE, TRANSIT_FARES
+from tidemark.fixed_values import AIRPORT_NAMES, LINK_EVIDENCE, OFF_FRAME_ZONES, RAIL_LINKS, SAMPLE_FLOOR, SEGMENT_LEGS, TRANSFER_RANGE, TRANSIT_FARES
+from tidemark.functions.timeblocks import is_working_day
 from tidemark.operators.cells import car_cells
+from tidemark.operators.cohort import component_medians
 from tidemark.operators.compare import best_station, compare_modes
 from tidemark.operators.guards import enforce, segment_unit_report
 from tidemark.operators.journeys import best_journeys, door_to_door, journeys, ride_cells, with_link_ride
-from tidemark.operators.segments import leg_blocks, leg_rows, leg_summary, ride_ranges
+from tidemark.operators.mapview import frame_box, projected_parts, zone_outlines
+from tidemark.operators.segments import leg_blocks, leg_rows, leg_summary, ride_ranges, stack_vintages
+from tidemark.operators.spatial import locate
+from tidemark.session import staged
 from tidemark.sources.months import FARE_FACT, TIME_FACT, read_fact
+from tidemark.sources.trips import RIDE_HAIL
 
 LINK_COLUMNS = (
     "airport string, link_pos int, routes array<string>, connector string, link string, "
@@ -64,6 +70,37 @@ def transit_journeys(directions: DataFrame, links: DataFrame, ranges: DataFrame,
     return best_journeys(journeys(door_to_door(cells)))
 
 
+def fare_audit(trips: DataFrame, airport: int, zones: list[int], hours: tuple[int, int] = (16, 18)) -> DataFrame:
+    """Medians of each ride-hail fare component per zone; a sum with an absent part is absent."""
+    chosen = trips.where(
+        (F.col(RIDE_HAIL.destination) == airport)
+        & F.col(RIDE_HAIL.origin).isin(*zones)
+        & F.hour(RIDE_HAIL.pickup).between(*hours)
+        & is_working_day(F.col(RIDE_HAIL.pickup))
+    )
+    base, tolls, bcf, tax, congestion, fee, cbd = (F.col(c) for c in RIDE_HAIL.fare_plus)
+    parts = {
+        "base": base, "tolls": tolls, "taxes": bcf + tax + congestion, "airport": fee, "cbd": cbd,
+        "base_plus_tolls": base + tolls, "total": base + tolls + bcf + tax + congestion + fee + cbd,
+    }
+    medians = component_medians(chosen.withColumn("zone", F.col(RIDE_HAIL.origin)), ["zone"], parts, 1.0)
+    return medians.orderBy("zone")
+
+
+def map_shapes(zones: DataFrame, off_frame: tuple[int, ...] = OFF_FRAME_ZONES) -> tuple[DataFrame, DataFrame]:
+    """Zone outlines and the view box around them."""
+    parts = staged(projected_parts(zones, list(off_frame)), "parts")
+    return zone_outlines(parts), frame_box(parts)
+
+
+def station_mapping(stations: DataFrame, zones: DataFrame, cell: float, band: float) -> DataFrame:
+    """``zone, station, pos`` for every station inside a zone; an error when none is."""
+    placed = staged(locate(stations.select(F.col("pos").alias("point"), F.col("lon").alias("x"), F.col("lat").alias("y")), zones, cell, band), "placed")
+    if placed.isEmpty():
+        raise RuntimeError("no station lies in any zone; are the coordinates in the right order?")
+    return stations.join(placed, stations["pos"] == placed["point"]).select("zone", F.col("name").alias("station"), "pos")
+
+
 def measured_ranges(rows: DataFrame, route_id: str) -> DataFrame:
     """Ride range per block of the leg whose buses carry the link."""
     return ride_ranges(leg_blocks(rows.where(F.col("route_id") == route_id))).drop("route_id")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.measures import clean_text
+from tidemark.functions.measures import clean_text, month_key
 
 POINT = "struct<x:double,y:double>"
 ROUTE_SCHEMA = (
@@ -48,20 +48,23 @@ def typed_zones(rows: DataFrame) -> DataFrame:
 
 
 def segment_rows(rows: DataFrame, text: str = "row") -> DataFrame:
-    """Typed segment rows. Numbers that do not parse are NULL; the guard and the summary decide about them."""
-    parsed = rows.withColumn("_row", F.from_json(F.col(text), SEGMENT_SCHEMA))
-    return parsed.select(
-        "dataset",
-        F.col("_row.route_id").alias("route_id"),
-        F.col("_row.direction").alias("direction"),
-        F.col("_row.stop_order").try_cast("int").alias("stop_order"),
-        F.substring("_row.timestamp", 1, 7).alias("year_month"),
-        F.col("_row.day_of_week").alias("day_of_week"),
-        F.col("_row.hour_of_day").try_cast("int").alias("hour_of_day"),
-        F.col("_row.road_distance").try_cast("double").alias("road_distance"),
-        F.col("_row.average_travel_time").try_cast("double").alias("average_travel_time"),
-        F.col("_row.average_road_speed").try_cast("double").alias("average_road_speed"),
-        F.coalesce(F.col("_row.bus_trip_count").try_cast("int"), F.lit(0)).alias("bus_trip_count"),
+    """Typed segment rows from JSON text."""
+    parsed = rows.select("dataset", F.from_json(F.col(text), SEGMENT_SCHEMA).alias("_row"))
+    return typed_segments(parsed.select("dataset", "_row.*"))
+
+
+def typed_segments(rows: DataFrame) -> DataFrame:
+    """Numbers out of text. One that does not parse is NULL; the guard and the summary decide about it."""
+    return rows.select(
+        "dataset", "route_id", "direction",
+        F.col("stop_order").try_cast("int").alias("stop_order"),
+        month_key(F.col("timestamp")).alias("year_month"),
+        "day_of_week",
+        F.col("hour_of_day").try_cast("int").alias("hour_of_day"),
+        F.col("road_distance").try_cast("double").alias("road_distance"),
+        F.col("average_travel_time").try_cast("double").alias("average_travel_time"),
+        F.col("average_road_speed").try_cast("double").alias("average_road_speed"),
+        F.coalesce(F.col("bus_trip_count").try_cast("int"), F.lit(0)).alias("bus_trip_count"),
     ).where(F.col("average_travel_time").isNotNull())
 
 
@@ -104,17 +107,22 @@ def zone_shapes(rows: DataFrame, geometry: str = "the_geom") -> DataFrame:
 
 
 def stations(rows: DataFrame, text: str = "row") -> DataFrame:
-    """Typed stations; rows lacking an id, a name or a readable position are left out."""
+    """Typed stations from JSON text."""
     parsed = rows.select("pos", F.from_json(F.col(text), STATION_SCHEMA).alias("_row"))
-    routes = F.trim(F.coalesce(F.col("_row.daytime_routes"), F.lit("")))
-    return parsed.select(
+    return typed_stations(parsed.select("pos", "_row.*"))
+
+
+def typed_stations(rows: DataFrame) -> DataFrame:
+    """Stations; rows lacking an id, a name or a readable position are left out."""
+    routes = F.trim(F.coalesce(F.col("daytime_routes"), F.lit("")))
+    return rows.select(
         "pos",
-        F.col("_row.gtfs_stop_id").alias("stop_id"),
-        F.col("_row.stop_name").alias("name"),
-        F.coalesce(F.col("_row.borough"), F.lit("")).alias("borough"),
+        F.col("gtfs_stop_id").alias("stop_id"),
+        F.col("stop_name").alias("name"),
+        F.coalesce(F.col("borough"), F.lit("")).alias("borough"),
         F.when(routes == "", F.array().cast("array<string>")).otherwise(F.split(routes, "\\s+")).alias("routes"),
-        F.col("_row.gtfs_longitude").try_cast("double").alias("lon"),
-        F.col("_row.gtfs_latitude").try_cast("double").alias("lat"),
+        F.col("gtfs_longitude").try_cast("double").alias("lon"),
+        F.col("gtfs_latitude").try_cast("double").alias("lat"),
     ).where(
         F.col("stop_id").isNotNull() & F.col("name").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()
     )
