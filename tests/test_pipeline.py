@@ -293,3 +293,12 @@ def test_shading(spark):
 def test_routed_links_keep_positions(spark):
     rows = journeys.routed_links(plans.link_table(spark)).where("airport = 'JFK'").collect()
     assert [(r.link_pos, r.route_pos, r.route) for r in rows] == [(0, 0, "A"), (1, 0, "E"), (1, 1, "J"), (1, 2, "Z")]
+
+
+def test_cells_without_any_fares(spark, tmp_path):
+    out = str(tmp_path / "facts")
+    row = [(132, 161, "", "am", 40, 50, "fhvhv", "2026-03")]
+    spark.createDataFrame(row, "airport bigint, origin bigint, company string, block string, minutes int, n bigint, source string, year_month string").write.partitionBy("source", "year_month").parquet(f"{out}/time")
+    zones = spark.createDataFrame([(161, "Midtown", "M")], "zone int, name string, borough string")
+    found = {(r.grain, r.n, r.fare, r.fare_p90) for r in plans.car_report(spark, out, "fhvhv", zones, [132]).collect()}
+    assert found == {("am", 50, None, None), ("day", 50, None, None)}

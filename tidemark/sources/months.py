@@ -130,21 +130,22 @@ def ingest(
 
 
 def read_fact(spark: SparkSession, out: str, name: str) -> DataFrame:
-    """A stored fact table; ``year_month`` stays text."""
+    """A stored fact table; ``year_month`` stays text. Empty when nothing is stored there yet."""
     bin_col, keys = ("minutes", TIME_KEYS) if name == TIME_FACT else ("dollars", FARE_KEYS)
     types = {"airport": "bigint", "origin": "bigint", "company": "string", "block": "string"}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys)
-    return spark.read.schema(f"{schema}, {bin_col} int, n bigint, source string, year_month string").parquet(f"{out}/{name}")
-
-
-def stored_months(spark: SparkSession, out: str) -> DataFrame:
-    """Months already in the time fact; none when the table does not exist yet."""
+    columns = ", ".join(f"{k} {types[k]}" for k in keys)
+    schema = f"{columns}, {bin_col} int, n bigint, source string, year_month string"
     try:
-        return read_fact(spark, out, TIME_FACT).select("year_month").distinct()
+        return spark.read.schema(schema).parquet(f"{out}/{name}")
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "year_month string")
+        return spark.createDataFrame([], schema)
+
+
+def stored_months(spark: SparkSession, out: str) -> DataFrame:
+    """Months already in the time fact."""
+    return read_fact(spark, out, TIME_FACT).select("year_month").distinct()
 
 
 def stored_counts(spark: SparkSession, out: str) -> DataFrame:

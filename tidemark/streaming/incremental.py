@@ -47,7 +47,7 @@ def run_daily_counts(stream: DataFrame, ts: str, keys: Sequence[str], out: str,
     days = (
         timed.groupBy(F.window("_at", "1 day").alias("_w"), *keys)
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("_w.start").cast("date").alias("day"), *keys, "n")
+        .select(F.date_format("_w.start", "yyyy-MM-dd").alias("day"), *keys, "n")
     )
     query = (
         days.writeStream.format("parquet")
