@@ -548,12 +548,12 @@ def zone_centroid(spark, sf):
 
 @query
 def view_box(spark, sf):
-    return mapview.frame_box(drawn(spark, sf))
+    return mapview.frame_box(staged(drawn(spark, sf), "parts"))
 
 
 @query
 def clipped_zones(spark, sf):
-    shares = mapview.clipped_shares(drawn(spark, sf), 1.25)
+    shares = mapview.clipped_shares(staged(drawn(spark, sf), "parts"), 1.25)
     return mapview.worst_clipped(shares).select("zone", "outside", "vertices", F.round("share", 6).alias("share"))
 
 

@@ -31,12 +31,17 @@ def projection(zones: DataFrame) -> Column:
     ).scalar()
 
 
-def project(point: Column, frame: Column) -> Column:
+def project(ring: Column, frame: Column) -> Column:
+    """The ring in frame units, one decimal. Placing comes before rounding, which reads its value many times."""
     units = F.lit(float(FRAME_UNITS))
-    return F.struct(
-        round_even_1((point["x"] * frame["scale_x"] - frame["min_x"]) / frame["span"] * units).alias("x"),
-        round_even_1((frame["max_y"] - point["y"]) / frame["span"] * units).alias("y"),
+    placed = F.transform(
+        ring,
+        lambda p: F.struct(
+            ((p["x"] * frame["scale_x"] - frame["min_x"]) / frame["span"] * units).alias("x"),
+            ((frame["max_y"] - p["y"]) / frame["span"] * units).alias("y"),
+        ),
     )
+    return F.transform(placed, lambda p: F.struct(round_even_1(p["x"]).alias("x"), round_even_1(p["y"]).alias("y")))
 
 
 def drawn_parts(zones: DataFrame, tolerance: float = SIMPLIFY_TOLERANCE) -> DataFrame:
@@ -51,7 +56,7 @@ def projected_parts(zones: DataFrame, off_frame: list[int] = (), tolerance: floa
     """Drawn parts in frame units; zones off the frame take no part in fitting it."""
     shown = zones.where(~F.col("zone").isin(*off_frame)) if off_frame else zones
     framed = drawn_parts(shown, tolerance).withColumn("_frame", projection(shown))
-    return framed.withColumn("ring", F.transform("ring", lambda p: project(p, F.col("_frame")))).drop("_frame")
+    return framed.withColumn("ring", project(F.col("ring"), F.col("_frame"))).drop("_frame")
 
 
 def zone_outlines(parts: DataFrame) -> DataFrame:
