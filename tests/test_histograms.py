@@ -42,6 +42,15 @@ def test_quantiles_take_the_first_bin_that_reaches_the_share(spark):
     assert (row.n, row.p0, row.p50, row.p90, row.p100, row["mean"]) == (10, 0, 4, 8, 9, 4.5)
 
 
+def test_array_quantiles_equal_the_window_ones(spark):
+    rng = random.Random(8)
+    rows = [(f"k{k}", b, rng.randrange(1, 50)) for k in range(30) for b in rng.sample(range(181), rng.randrange(1, 60))]
+    df = spark.createDataFrame(rows, "k string, bin int, n bigint")
+    asked = {"a": 0.01, "b": 0.5, "c": 0.9, "d": 1.0}
+    window = {tuple(r) for r in histograms.summarise(df, ["k"], "bin", asked).collect()}
+    assert window == {tuple(r) for r in histograms.array_quantiles(df, ["k"], "bin", asked).collect()} and len(window) == 30
+
+
 @pytest.mark.parametrize("q", [-0.1, 1.1])
 def test_quantiles_outside_the_range_are_refused(spark, q):
     with pytest.raises(ValueError):

@@ -94,6 +94,29 @@ def summarise(
     return ranked.groupBy(*keys).agg(F.sum("n").alias("n"), *found)
 
 
+def array_quantiles(hist: DataFrame, keys: Sequence[str], bin_col: str, quantiles: Mapping[str, float]) -> DataFrame:
+    """The same quantiles from one array of (bin, n) per key, without a window.
+
+    Takes a histogram with one row per key and bin, so an array has at most top + 1 entries.
+    """
+    packed = hist.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(bin_col).alias("bin"), F.col("n")))).alias("_bins"), F.sum("n").alias("n")
+    )
+
+    def reached(q: float) -> Column:
+        target = F.lit(float(q)) * F.col("n").cast("double")
+
+        def step(state: Column, entry: Column) -> Column:
+            seen = state["seen"] + entry["n"]
+            here = F.when(seen.cast("double") >= target, entry["bin"])
+            return F.struct(seen.alias("seen"), F.coalesce(state["at"], here).alias("at"))
+
+        start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("at"))
+        return F.aggregate("_bins", start, step, lambda state: state["at"])
+
+    return packed.select(*keys, "n", *[reached(q).alias(name) for name, q in quantiles.items()])
+
+
 def convolve(left: DataFrame, right: DataFrame, keys: Sequence[str], bin_col: str = "bin", top: int = TOP_MINUTE) -> DataFrame:
     """Distribution of the sum of two independent legs, overflow in the top bin.
 
