@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, merkle, mixing, secret_scan, sharding
+from tidemark.llm import bpe, chat, language, merkle, mixing, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -82,6 +82,20 @@ def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    automaton = bpe.spread(spark, bpe.load_automaton(public_tokenizers.path("word_bpe_49k.json")))
+    ids = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), automaton).select("doc_id", "ids")
+    return ids.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), automaton), 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op7_document_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     edits = merkle.tail_edits(table(spark, sf, "documents"))
@@ -95,3 +109,11 @@ def op7_document_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
         merkle.likeness(F.col("a.blocks"), F.col("b.blocks")).alias("near_edited"),
         merkle.likeness(F.col("a.blocks"), F.col("next_blocks")).alias("near_next"),
     )
+
+
+@query
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    rest = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 4
+    known = language.profile(docs.where(rest != 2))
+    return language.identify(docs.select("doc_id", "text"), known).select("doc_id", (rest == 2).alias("held_out"), "lang_pred", "score")
