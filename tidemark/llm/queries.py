@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, language, merkle, mixing, secret_scan, sharding
+from tidemark.llm import bpe, chat, language, merkle, mixing, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -117,3 +117,9 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     rest = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 4
     known = language.profile(docs.where(rest != 2))
     return language.identify(docs.select("doc_id", "text"), known).select("doc_id", (rest == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
