@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, language, merkle, mixing, secret_scan, sharding, simhash
+from tidemark.llm import bpe, chat, language, merkle, mih, mixing, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -111,6 +111,12 @@ def op7_document_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op8_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return mih.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
