@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, language, merkle, mih, mixing, secret_scan, sharding, simhash
+from tidemark.llm import bpe, chat, language, line_dedup, merkle, mih, mixing, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,6 +29,20 @@ def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    left = line_dedup.dedup_lines(docs, line_dedup.MIN_WORDS)
+    bounds = F.col("removed_lines")
+    pairs = F.transform(F.sequence(F.lit(0), (F.size(bounds) / 2).cast("int") - 1), lambda i: F.concat_ws(":", bounds[2 * i], bounds[2 * i + 1]))
+    return left.select(
+        "doc_id",
+        F.when(bounds.isNull(), "").otherwise(F.array_join(pairs, ",")).alias("removed_lines"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 @query
 def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf, "documents"), weights=[5, 2, 1], cap=3.0)
