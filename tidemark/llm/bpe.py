@@ -67,8 +67,8 @@ class Automaton:
 
 def compile_automaton(spec: dict) -> Automaton:
     """The automaton of a ``tokenizers`` file read as JSON."""
-    model, steps = spec["model"], spec["pre_tokenizer"].get("pretokenizers", [])
-    kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
+    model, steps = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
     if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"] or spec["decoder"]:
         raise ValueError("not a lower-casing word BPE with byte level symbols")
     vocab, suffix = model["vocab"], model["end_of_word_suffix"]

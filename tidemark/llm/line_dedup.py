@@ -16,7 +16,7 @@ longest repeated runs. No pairs of copies are made: every later copy meets the f
 Windows are compared by 128 bits of hashes of their lines. Nulls: a null or empty text stays
 as it is; rows with null id come last. Repeated rows are documents of their own, so all but
 the first lose their long runs. A text that loses all lines becomes empty. An empty table
-gives no rows. All columns are kept, whatever their names.
+gives no rows. All columns are kept, but one named ``removed_lines`` is replaced.
 """
 
 from __future__ import annotations
@@ -149,5 +149,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     )
     new = F.when(F.col("runs").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
     joined = rows.join(runs, "_row", "left")
-    columns = [new.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns]
+    columns = [new.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns if c != "removed_lines"]
     return joined.select(*columns, F.col("runs").alias("removed_lines"))

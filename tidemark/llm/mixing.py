@@ -11,7 +11,8 @@ source are disjoint and in permuted order; within a shard, rows are ordered by a
 
 Nulls: a null source is a source of its own, last in order; a null text has no words, and a
 document without words takes none. Repeated rows are documents of their own. An empty
-table gives no rows. Extra columns are kept by ``mixed`` and not read by ``mix_plan``.
+table gives no rows. Extra columns are kept by ``mixed``, which replaces columns named as
+its own, and not read by ``mix_plan``.
 """
 
 from __future__ import annotations
@@ -142,7 +143,7 @@ def _copies(seed: int) -> Column:
     block = "least(size(block_shards) - 1, int((e * source_size + _middle) / block_words))"
     return F.expr(
         f"transform(sequence(0, greatest(_times, 1) - 1), e -> named_struct('epoch', e, 'block', {block}, "
-        f"'shard', try_element_at(block_shards, {block} + 1), 'draw', xxhash64({seed}L, _row, e)))"
+        f"'shard', get(block_shards, {block}), 'draw', xxhash64({seed}L, _row, e)))"
     )
 
 
@@ -154,4 +155,5 @@ def mixed(docs: DataFrame, weights: list[int], **options) -> DataFrame:
     plan = mix_plan(docs, weights, **options).where(F.size("copies") > 0).select("_row", "copies")
     rows = with_row(docs.select(F.struct("*").alias("_doc")))
     copies = rows.join(plan, "_row").select("_doc", F.explode("copies").alias("_copy"))
-    return copies.select("_doc.*", F.col("_copy.shard").alias("mix_shard"), F.col("_copy.draw").alias("mix_draw"))
+    kept = [F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("mix_shard", "mix_draw")]
+    return copies.select(*kept, F.col("_copy.shard").alias("mix_shard"), F.col("_copy.draw").alias("mix_draw"))

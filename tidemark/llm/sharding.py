@@ -36,9 +36,9 @@ def byte_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "
     )
 
 
-def write_shards(docs: DataFrame, shards: int, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """Whole rows into one folder ``shard=k`` each, in slot order within and across its files."""
+def write_shards(docs: DataFrame, shards: int, path: str, key: str = "doc_id", text: str = "text", folder: str = "shard_id") -> None:
+    """Whole rows into one folder ``shard_id=k`` each, in slot order within and across its files."""
     places = byte_shards(docs, shards, key, text).select("_row", "shard", "slot")
     rows = with_row(docs.select(F.struct("*").alias("_doc")))
     placed = rows.join(places, "_row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    placed.select("_doc.*", F.col("shard").alias("_shard")).write.partitionBy("_shard").parquet(path)
+    placed.select("_doc.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
