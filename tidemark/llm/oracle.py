@@ -1,3 +1,129 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+Not here: mixing (its draws come from a hash that DuckDB lacks), BPE, nearest neighbours by
+hashing, language profiles and SimHash (XXH64); tests compare those with brute force.
+"""
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op1_sharding"] = r"""
+WITH tab AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) r(i))),
+bytes AS (
+    SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+           list_transform(range(strlen(coalesce(text, ''))), lambda i: ('0x' || substr(hex(coalesce(text, '')), 2 * i + 1, 2))::BIGINT) AS b
+    FROM documents),
+sized AS (
+    SELECT doc_id, size::BIGINT AS size,
+           xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+    FROM bytes, tab),
+placed AS (
+    SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total
+    FROM sized),
+cut AS (SELECT *, (((2 * before + size) * 8) // (2 * total))::INT AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard
+FROM cut
+"""
+
+ORACLE["op2_line_dedup"] = r"""
+WITH lines AS (
+    SELECT doc_id, u.i AS i, u.line AS line, len(regexp_extract_all(u.line, '[^\x20\x09-\x0D]+')) AS w
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '') d,
+         LATERAL (SELECT unnest(l) AS line, generate_subscripts(l, 1) AS i) u),
+cum AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM lines),
+reach AS (
+    SELECT a.doc_id, a.i AS s, b.i AS e FROM cum a JOIN cum b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.c - a.c + a.w >= 50),
+windows AS (
+    SELECT doc_id, s, min(e) AS e FROM reach GROUP BY doc_id, s
+    UNION
+    SELECT doc_id, max(s), e FROM reach GROUP BY doc_id, e),
+content AS (
+    SELECT x.doc_id, x.s, x.e, string_agg(l.line, chr(10) ORDER BY l.i) AS body
+    FROM windows x JOIN lines l ON l.doc_id = x.doc_id AND l.i BETWEEN x.s AND x.e GROUP BY ALL),
+marked AS (SELECT *, row_number() OVER (PARTITION BY body, e - s ORDER BY doc_id, s) AS n FROM content),
+gone AS (SELECT DISTINCT m.doc_id, l.i FROM marked m JOIN lines l ON l.doc_id = m.doc_id AND l.i BETWEEN m.s AND m.e WHERE m.n > 1),
+islands AS (
+    SELECT doc_id, min(i) - 1 AS s, max(i) AS e
+    FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gone) GROUP BY doc_id, g),
+removed AS (SELECT doc_id, string_agg(s || ':' || e, ',' ORDER BY s) AS removed_lines FROM islands GROUP BY doc_id),
+kept AS (
+    SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS body
+    FROM lines l ANTI JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id),
+final AS (
+    SELECT d.doc_id, coalesce(r.removed_lines, '') AS removed_lines, CASE WHEN r.removed_lines IS NULL THEN d.text ELSE coalesce(k.body, '') END AS body
+    FROM documents d LEFT JOIN removed r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id)
+SELECT doc_id, removed_lines, length(body) AS kept_chars, sha256(body) AS text_sha256 FROM final
+"""
+
+ORACLE["op4_chat_formatting"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+sized AS (
+    SELECT *,
+        length('<|im_start|>') + length(replace(replace(replace(role, '%', '%25'), '<', '%3C'), chr(10), '%0A')) + 1
+            + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1 AS chars,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS is_last
+    FROM turns),
+grown AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM sized)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (sum(upto) FILTER (role = 'assistant' OR is_last))::BIGINT AS formatted_chars
+FROM grown GROUP BY conv_id
+"""
+
+
+def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    return f"""
+    SELECT doc_id, {rank} AS k, '{kind}' AS kind, s, s + length(whole) AS e FROM (
+        SELECT doc_id, m[i] AS whole, v[i] AS kept,
+            list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)::BIGINT AS s
+        FROM (
+            SELECT doc_id, m, v, g, unnest(generate_series(1, len(m))) AS i FROM (
+                SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS v, string_split_regex(text, '{pattern}') AS g
+                FROM documents WHERE regexp_matches(text, '{pattern}')))) WHERE length(kept) >= {least}"""
+
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+ORACLE["op5_secret_scan"] = f"""
+WITH spans AS ({_spans("assign", 0, _ASSIGN, 2, 6)}
+    UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", 0, 20)}
+    UNION ALL {_spans("hex", 2, "[0-9a-f]{24,}", 0, 24)}),
+listed AS (
+    SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans
+    FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+    sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN listed l ON l.doc_id = d.doc_id
+"""
+
+ORACLE["op7_document_fingerprint"] = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+paired AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS after FROM docs),
+edited AS (SELECT *, t[1:length(t) - length(t) // 4] || after[1:length(t) // 4] AS e FROM paired),
+texts AS (SELECT doc_id, 'a' AS side, t AS body FROM edited UNION ALL SELECT doc_id, 'b', e FROM edited UNION ALL SELECT doc_id, 'n', after FROM edited),
+leaves AS (
+    SELECT doc_id, side, u.i AS i, sha256(u.p) AS leaf
+    FROM (SELECT doc_id, side, string_split(body, chr(10)) AS l FROM texts WHERE side <> 'n') x,
+         LATERAL (SELECT unnest(l) AS p, generate_subscripts(l, 1) AS i) u),
+dealt AS (
+    SELECT *, coalesce(sum((leaf[1] IN ('0', '4', '8', 'c'))::INT) OVER (PARTITION BY doc_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS section
+    FROM leaves),
+sections AS (SELECT doc_id, side, section, sha256(string_agg(leaf, '' ORDER BY i)) AS h FROM dealt GROUP BY ALL),
+roots AS (SELECT doc_id, side, sha256(string_agg(h, '' ORDER BY section)) AS root FROM sections GROUP BY ALL),
+blocks AS (
+    SELECT doc_id, side, list_distinct(flatten(list_transform(string_split(body, chr(10)), lambda p: regexp_extract_all(p, '(?s).{1,32}')))) AS b FROM texts)
+SELECT x.doc_id, length(x.t) AS n_chars, sha256(x.e) AS edited_sha256, ra.root AS fingerprint, rb.root AS edited_fingerprint,
+    CASE WHEN len(a.b) + len(b.b) > 0 THEN 2.0::DOUBLE * len(list_intersect(a.b, b.b)) / (len(a.b) + len(b.b)) ELSE 1.0 END AS near_edited,
+    CASE WHEN len(a.b) + len(n.b) > 0 THEN 2.0::DOUBLE * len(list_intersect(a.b, n.b)) / (len(a.b) + len(n.b)) ELSE 1.0 END AS near_next
+FROM edited x
+JOIN roots ra ON ra.doc_id = x.doc_id AND ra.side = 'a' JOIN roots rb ON rb.doc_id = x.doc_id AND rb.side = 'b'
+JOIN blocks a ON a.doc_id = x.doc_id AND a.side = 'a' JOIN blocks b ON b.doc_id = x.doc_id AND b.side = 'b' JOIN blocks n ON n.doc_id = x.doc_id AND n.side = 'n'
+"""
