@@ -13,7 +13,7 @@ WITH tab AS (
         FROM range(256) r(i))),
 bytes AS (
     SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
-           list_transform(range(strlen(coalesce(text, ''))), lambda i: ('0x' || substr(hex(coalesce(text, '')), 2 * i + 1, 2))::BIGINT) AS b
+           list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: ('0x' || h)::BIGINT) AS b
     FROM documents),
 sized AS (
     SELECT doc_id, size::BIGINT AS size,
