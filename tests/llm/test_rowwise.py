@@ -125,13 +125,13 @@ def test_bpe_as_the_library(spark, written, messy):
     docs = written(rows, clash=True)
     coded = bpe.encode(docs, automaton)
     assert coded.columns == docs.columns
-    for r in coded.withColumn("back", bpe.decode(F.col("ids"), automaton)).collect():
+    for r in bpe.decode(coded, automaton, text="back").collect():
         ids = library.encode(r["text"] or "", add_special_tokens=False).ids
         assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids)
         assert r["back"] == library.decode(ids, skip_special_tokens=False)
     assert bpe.encode(written([]), automaton).count() == 0
-    null = spark.createDataFrame([(None,)], "ids binary").select(bpe.decode(F.col("ids"), automaton)).first()[0]
-    assert null is None
+    null = bpe.decode(spark.createDataFrame([(None,)], "ids binary"), automaton).first()
+    assert null["decoded"] is None
 
 
 def test_other_files_are_refused():

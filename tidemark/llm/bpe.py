@@ -27,16 +27,20 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A worker forgets encoded words, or arcs looked up, beyond so many; both are only a cache.
-WORDS_KEPT, ARCS_KEPT = 300_000, 1_000_000
+#: A worker drops encoded words not met since so many others, and arcs beyond so many; both are
+#: only a cache.
+WORDS_KEPT, ARCS_KEPT = 300_000, 500_000
+
+#: Texts handled at a time in a worker.
+ROWS = 500
 
 
 @dataclass
@@ -52,6 +56,11 @@ class Automaton:
     inner: dict[str, int] = field(default_factory=dict)  # text of a token -> id, not at a word's end
     final: dict[str, int] = field(default_factory=dict)  # the same at a word's end
 
+    @cached_property
+    def encoder(self) -> Encoder:
+        """One for all tasks of a worker, so that they share what it has looked up."""
+        return Encoder(self)
+
     def follows(self, u: int, v: int, time: int) -> bool:
         """Whether token v may come after u once the first ``time`` gadgets are built in."""
         born, cut = self.born, self.cut
@@ -104,46 +113,78 @@ class Encoder(dict):
     def __init__(self, auto: Automaton):
         super().__init__()
         self.auto = auto
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.longest = max(map(len, auto.inner), default=1), max(map(len, auto.final), default=1)
+        self.arcs: dict[int, bool] = {}
+        self.older: dict[str, bytes] = {}
+        self.steps: dict[str, list] = {}  # symbol -> [further steps, token here, token here if the word ends]
+        for place, known in ((1, auto.inner), (2, auto.final)):
+            for label, token in known.items():
+                steps = self.steps
+                for symbol in label:
+                    entry = steps.setdefault(symbol, [{}, -1, -1])
+                    steps = entry[0]
+                entry[place] = token
         self.symbols = byte_symbols()
         self.find_words = regex.compile(auto.pattern).findall
         self.specials = regex.compile("|".join(map(regex.escape, sorted(auto.special, key=len, reverse=True))) or r"(?!)")
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS_KEPT:
+            self.older = dict(self)
             self.clear()
-        ids = self.path(word)
-        packed = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(word)
+        if packed is None:
+            ids = self.path(word)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = packed
         return packed
 
     def arc(self, u: int, v: int) -> bool:
-        stands = self.arcs.get((u, v))
-        if stands is None:
-            if len(self.arcs) >= ARCS_KEPT:
-                self.arcs.clear()
-            stands = self.arcs[u, v] = self.auto.follows(u, v, len(self.auto.labels))
+        """Whether the arc v leaves the state after u; what is looked up stays in ``arcs``."""
+        if len(self.arcs) >= ARCS_KEPT:
+            self.arcs.clear()
+        stands = self.arcs[u << 32 | v] = self.auto.follows(u, v, len(self.auto.labels))
         return stands
 
     def path(self, word: str) -> list[int]:
-        """The ids of a word: the one path through the automaton that spells it."""
+        """The ids of a word: the one path through the automaton that spells it.
+
+        Longest arcs are tried first. Only one path can reach a place, so a place from which
+        no arc leads on is never tried again.
+        """
         text = word.encode().decode("latin-1").translate(self.symbols)
-        inner, final = self.auto.inner, self.auto.final
-        if text in final:
-            return [final[text]]
-        state, start = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            known, reach = (final, self.longest[1]) if end == len(text) else (inner, self.longest[0])
-            for begin in range(max(0, end - reach), end):
-                token = known.get(text[begin:end])
-                if token is not None and (begin == 0 or self.arc(state[begin], token)):
-                    state[end], start[end] = token, begin
+        size, arcs = len(text), self.arcs
+        whole = self.auto.final.get(text)
+        if whole is not None:
+            return [whole]
+        ids, ends, dead = [], [0], set()
+        limit = size  # arcs from the last place must not end beyond this
+        while True:
+            begin, steps, found = ends[-1], self.steps, []
+            for place in range(begin, limit):
+                entry = steps.get(text[place])
+                if entry is None:
                     break
-        ids, end = [], len(text)
-        while end:
-            ids.append(state[end])
-            end = start[end]
-        return ids[::-1]
+                steps = entry[0]
+                token = entry[1] if place + 1 < size else entry[2]
+                if token >= 0:
+                    found.append((place + 1, token))
+            for end, token in reversed(found):
+                if end in dead:
+                    continue
+                if ids:
+                    stands = arcs.get(ids[-1] << 32 | token)
+                    if not (self.arc(ids[-1], token) if stands is None else stands):
+                        continue
+                ids.append(token)
+                if end == size:
+                    return ids
+                ends.append(end)
+                limit = size
+                break
+            else:
+                dead.add(ends.pop())
+                ids.pop()
+                limit = begin - 1
 
     def words(self, text: str) -> list[str]:
         """Lower-cased letter by letter: a capital sigma has one small form, also at a word's end."""
@@ -165,33 +206,40 @@ def load_automaton(path: str) -> Automaton:
 
 def encode(docs: DataFrame, automaton, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the packed ids of each whole text. ``automaton``: broadcast by ``spread``."""
-    schema = docs.withColumn(ids, F.lit("").cast("binary")).schema
-    names = docs.columns
+    schema, names = docs.withColumn(ids, F.lit("").cast("binary")).schema, docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(automaton.value)
-        for batch in batches:
+        encoder = automaton.value.encoder
+        for batch in slices(batches):
             packed = [encoder.encode(t) if t else b"" for t in batch.column(names.index(text)).to_pylist()]
-            kept = [(n, c) for n, c in zip(names, batch.columns, strict=True) if n != ids]
-            kept.append((ids, pa.array(packed, pa.binary())))
-            by_name = dict(kept)
-            yield pa.RecordBatch.from_arrays([by_name[f] for f in out_names], names=out_names)
+            columns = dict(zip(names, batch.columns, strict=True)) | {ids: pa.array(packed, pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in schema.names], names=schema.names)
 
-    out_names = schema.names
     return docs.mapInArrow(run, schema)
 
 
-def spread(spark: SparkSession, automaton: Automaton):
-    """The automaton on all executors; its size is that of the vocabulary."""
-    return spark.sparkContext.broadcast(automaton)
+def decode(docs: DataFrame, automaton, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """``docs`` with the labels of packed ids, joined by spaces, as a file without decoder asks for."""
+    schema, names = docs.withColumn(text, F.lit("")).schema, docs.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = np.array(automaton.value.labels, object)
+        for batch in slices(batches):
+            packed = batch.column(names.index(ids)).to_pylist()
+            joined = [None if p is None else " ".join(labels[np.frombuffer(p, "<u4")].tolist()) for p in packed]
+            columns = dict(zip(names, batch.columns, strict=True)) | {text: pa.array(joined, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in schema.names], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
-def decode(ids: Column, automaton) -> Column:
-    """The labels of packed ids, joined by spaces, as a file without decoder asks for."""
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut into groups of ``ROWS`` rows, so few texts are unpacked at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
 
-    @F.pandas_udf("string")
-    def labels(packed: pd.Series) -> pd.Series:
-        table = np.array(automaton.value.labels, object)
-        return packed.map(lambda p: None if p is None else " ".join(table[np.frombuffer(p, "<u4")].tolist()))
 
-    return labels(ids)
+def spread(spark: SparkSession, automaton: Automaton):
+    """The automaton on all executors; its size is that of the vocabulary."""
+    return spark.sparkContext.broadcast(automaton)

@@ -102,11 +102,11 @@ def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
     automaton = bpe.spread(spark, bpe.load_automaton(public_tokenizers.path("word_bpe_49k.json")))
     ids = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), automaton).select("doc_id", "ids")
-    return ids.select(
+    return bpe.decode(ids, automaton).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), automaton), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
