@@ -35,14 +35,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.rows import slices
+from tidemark.session import ship_package
+
 #: A worker drops encoded words not met since so many others, and arcs beyond so many; both are
 #: only a cache.
 WORDS_KEPT, ARCS_KEPT = 300_000, 500_000
 
-#: Texts handled at a time in a worker.
-ROWS = 500
-
-
 @dataclass
 class Automaton:
     labels: list[str]
@@ -220,7 +219,7 @@ def encode(docs: DataFrame, automaton, text: str = "text", ids: str = "ids") ->
 
 def decode(docs: DataFrame, automaton, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``docs`` with the labels of packed ids, joined by spaces, as a file without decoder asks for."""
-    schema, names = docs.withColumn(text, F.lit("")).schema, docs.columns
+    schema, names = docs.withColumn(text, F.lit(None).cast("string")).schema, docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = np.array(automaton.value.labels, object)
@@ -233,13 +232,7 @@ def decode(docs: DataFrame, automaton, ids: str = "ids", text: str = "decoded")
     return docs.mapInArrow(run, schema)
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut into groups of ``ROWS`` rows, so few texts are unpacked at once."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, ROWS):
-            yield batch.slice(start, ROWS)
-
-
 def spread(spark: SparkSession, automaton: Automaton):
     """The automaton on all executors; its size is that of the vocabulary."""
+    ship_package(spark)
     return spark.sparkContext.broadcast(automaton)

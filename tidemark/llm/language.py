@@ -25,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.rows import slices
+from tidemark.session import ship_package
+
 DIMENSIONS = 512
 UNKNOWN = "und"
 
@@ -90,7 +93,7 @@ def profile(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions:
             counted.clear()
             binder.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for words, name in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
                 found = binder.threes(words)
                 if found:
@@ -108,6 +111,7 @@ def profile(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions:
                 names=["lang", "place", "total"],
             )
 
+    ship_package(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang).cast("string"))
     found = rows.mapInArrow(sums, "lang string, place int, total double").groupBy("lang", "place").agg(F.sum("total").alias("total")).collect()
     prototypes: dict[str, np.ndarray] = {}
@@ -124,11 +128,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     langs = [*prototypes]
     dimensions = len(next(iter(prototypes.values()))) if langs else DIMENSIONS
     matrix = np.array([*prototypes.values()], np.float32).reshape(len(langs), dimensions)
+    ship_package(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(matrix)  # one row per language
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         binder, prototype = Binder(dimensions), model.value
-        for batch in batches:
+        for batch in slices(batches):
             texts, best = batch.column(names.index(text)).to_pylist(), []
             for start in range(0, len(texts), _TOGETHER):
                 best += group(binder, prototype, texts[start : start + _TOGETHER])

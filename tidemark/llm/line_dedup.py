@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.arrays import let
 from tidemark.llm.rows import WORD, checkpointed, small, with_row
+from tidemark.session import ship_package
 
 MIN_WORDS = 50
 
@@ -123,6 +124,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
     def merged(starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([_merge(s, e) for s, e in zip(starts, ends, strict=True)])
 
+    ship_package(docs.sparkSession)
     windows = _windows(docs, key, text, min_words)
     shared = checkpointed(windows.where("first").groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("anchor"))
     met = checkpointed(windows.join(small(shared), "anchor").select("_key", "_row", "start", "end", "w1", "w2"))

@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.rows import checkpointed
+from tidemark.llm.rows import checkpointed, slices
+from tidemark.session import ship_package
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 
@@ -66,10 +67,11 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and ``bits``, the fingerprint as a signed long."""
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(key), F.col(text).alias("_text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bits = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=names)
 
