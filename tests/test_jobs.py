@@ -43,6 +43,11 @@ def test_from_files_to_comparison(spark, tmp_path):
     station = [{"id": n, "name": n, "km": 1.0} for n in ("Midtown", "Sutphin Blvd-Archer Av-JFK Airport")]
     doc = {"directions": {"out": {"stations": station, "pairs": {"0-1": {"am": {"n": 100, "p50": 30, "p90": 38}}}, "waits": {"0": {"am": 3.0}}}}}
     (routes / "E.json").write_text(json.dumps(doc))
+    with pytest.raises(RuntimeError, match="no document for route"):
+        empty = spark.createDataFrame([], "block string, low int, high int")
+        reports.require_inputs(reports.link_table(spark), spark.createDataFrame([("E",)], "route string"), empty)
+    for other in {r for row in reports.link_table(spark).collect() for r in row.routes} - {"E"}:
+        (routes / f"{other}.json").write_text(json.dumps({"directions": {}}))
     shapes = [
         {"locationid": "161", "zone": "Midtown Center", "borough": "Manhattan", "the_geom": {"type": "MultiPolygon", "coordinates": [[square(-74.0, 40.7, 0.1)]]}},
         {"locationid": "1", "zone": "Newark Airport", "borough": "EWR", "the_geom": {"type": "Polygon", "coordinates": [square(-74.3, 40.6, 0.1)]}},

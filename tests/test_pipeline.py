@@ -297,8 +297,59 @@ def test_routed_links_keep_positions(spark):
 
 def test_cells_without_any_fares(spark, tmp_path):
     out = str(tmp_path / "facts")
-    row = [(132, 161, "", "am", 40, 50, "fhvhv", "2026-03")]
-    spark.createDataFrame(row, "airport bigint, origin bigint, company string, block string, minutes int, n bigint, source string, year_month string").write.partitionBy("source", "year_month").parquet(f"{out}/time")
+    row = [("time", 132, 161, "", "am", 40, 50, "fhvhv", "2026-03")]
+    schema = "fact string, airport bigint, origin bigint, company string, block string, bin int, n bigint, source string, year_month string"
+    spark.createDataFrame(row, schema).write.partitionBy("fact", "source", "year_month").parquet(out)
     zones = spark.createDataFrame([(161, "Midtown", "M")], "zone int, name string, borough string")
     found = {(r.grain, r.n, r.fare, r.fare_p90) for r in plans.car_report(spark, out, "fhvhv", zones, [132]).collect()}
     assert found == {("am", 50, None, None), ("day", 50, None, None)}
+
+
+# ---- ingest that is cut off, empty or forced ------------------------------------
+
+
+def test_a_half_stored_month_is_stored_again(spark, tmp_path):
+    out, wanted = str(tmp_path / "facts"), months.month_range(spark, "2026-03")
+    months.ingest(conform(april(spark, 40), RIDE_HAIL), wanted, [132], out)
+    months._clear(spark, out, ["1999-01"])  # nothing to clear is no error
+    fare = next((tmp_path / "facts").glob("fact=fare/source=*/year_month=*"))
+    for file in fare.iterdir():
+        file.unlink()
+    fare.rmdir()
+    assert months.stored_months(spark, out).isEmpty()
+    months.ingest(conform(april(spark, 40), RIDE_HAIL), wanted, [132], out)
+    assert months.stored_counts(spark, out).first().fare_trips == 40
+
+
+def test_a_month_without_usable_trips_is_named(spark, tmp_path):
+    out, wanted = str(tmp_path / "facts"), months.month_range(spark, "2026-03")
+    for _ in range(2):
+        report = months.ingest(conform(april(spark, 40), RIDE_HAIL), wanted, [999], out)
+        assert [tuple(r) for r in report.collect()] == [("2026-03", months.NO_ROWS)]
+        assert months.stored_months(spark, out).isEmpty()
+    cover = months.coverage(wanted, months.stored_months(spark, out), wanted, unusable=report)
+    assert [tuple(r) for r in cover.collect()] == [("2026-03", months.NO_ROWS)]
+
+
+def test_force_clears_a_month_that_became_empty(spark, tmp_path):
+    out, wanted = str(tmp_path / "facts"), months.month_range(spark, "2026-03")
+    months.ingest(conform(april(spark, 40), RIDE_HAIL), wanted, [132], out)
+    months.ingest(conform(april(spark, 40), RIDE_HAIL), wanted, [999], out)
+    assert months.stored_counts(spark, out).first().trips == 40
+    months.ingest(conform(april(spark, 40), RIDE_HAIL), wanted, [999], out, force=True)
+    assert months.stored_counts(spark, out).count() == 0
+
+
+def test_every_failing_row_is_named(spark):
+    report = spark.createDataFrame([(f"m{i}", "unit changed") for i in range(9)], "year_month string, status string")
+    with pytest.raises(guards.GuardFailure, match="9 failing.*m8"):
+        guards.enforce(report)
+
+
+def test_unreadable_numbers_fail_the_guard(spark):
+    body = {"road_distance": "4", "average_road_speed": "15", "average_travel_time": "16", "hour_of_day": "8", "bus_trip_count": "3"}
+    rows = [json.dumps(body)] * 12 + [json.dumps(body | {"average_travel_time": "sixteen"})]
+    typed = documents.segment_rows(spark.createDataFrame([("d", r) for r in rows], "dataset string, row string")).withColumn("route_id", F.lit("Q"))
+    wanted = spark.createDataFrame([("d", "Q"), ("e", "Q")], "dataset string, route_id string")
+    report = {r.dataset: (r.usable, r.unparsed, r.status) for r in guards.segment_unit_report(typed, ["dataset", "route_id"], wanted).collect()}
+    assert report == {"d": (12, 1, "unparsed rows"), "e": (0, 0, "too few rows")}

@@ -14,7 +14,7 @@ from tidemark.operators import cells as car
 from tidemark.operators import cohort, compare, guards, histograms, journeys, mapview, segments, spatial, tripbins
 from tidemark.operators.quantiles import LOWER, exact_quantiles
 from tidemark.plans import reports as plans
-from tidemark.session import fresh_dir, staged
+from tidemark.session import fresh_dir
 from tidemark.sources import derived, documents, months, reports
 from tidemark.sources.derived import AIRPORTS, FEED, TOP
 from tidemark.sources.trips import company_name, conform, usable_trips
@@ -45,23 +45,21 @@ def fare_fact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Car cells from facts written in one scan of the trips."""
-    facts = staged(months.both_facts(binned(spark, sf)), "facts")
-    time, fare = (facts.where(F.col("fact") == name) for name in (months.TIME_FACT, months.FARE_FACT))
-    return car.car_cells(time, fare, derived.zones(spark, sf), AIRPORTS)
+    """Car cells of both facts from one scan of the trips."""
+    facts = months.both_facts(binned(spark, sf)).withColumn("bin", F.coalesce("minutes", "dollars"))
+    return car.fact_cells(facts, derived.zones(spark, sf), AIRPORTS)
 
 
 def segment_rows(spark: SparkSession, sf: str) -> DataFrame:
-    published = staged(derived.segments(spark, sf), "segments")
-    return segments.leg_rows(documents.segment_rows(published), derived.legs(spark))
+    return segments.leg_rows(documents.segment_rows(derived.segments(spark, sf)), derived.legs(spark))
 
 
 def directions(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.route_directions(staged(derived.route_documents(spark, sf), "routes"))
+    return documents.route_directions(derived.route_documents(spark, sf))
 
 
 def best_journeys(spark: SparkSession, sf: str) -> DataFrame:
-    ranges = staged(plans.measured_ranges(segment_rows(spark, sf), "L0"), "ranges")
+    ranges = plans.measured_ranges(segment_rows(spark, sf), "L0")
     return plans.transit_journeys(directions(spark, sf), derived.links(spark), ranges)
 
 
@@ -230,7 +228,9 @@ def unit_ratio_guard(spark, sf):
 def segment_unit_guard(spark, sf):
     rows = segment_rows(spark, sf)
     broken = rows.withColumn("average_travel_time", F.col("average_travel_time") * 60).withColumn("dataset", F.concat("dataset", F.lit("_seconds")))
-    return guards.segment_unit_report(segments.stack_vintages([rows, broken]), ["dataset", "route_id"])
+    unread = rows.withColumn("average_travel_time", F.when(F.col("hour_of_day") != 9, F.col("average_travel_time")))
+    unread = unread.withColumn("dataset", F.concat("dataset", F.lit("_unread")))
+    return guards.segment_unit_report(segments.stack_vintages([rows, broken, unread]), ["dataset", "route_id"])
 
 
 @query
@@ -280,8 +280,8 @@ def feed_union(spark, sf):
 
 @query
 def month_coverage(spark, sf):
-    wanted = months.month_range(spark, "1994-11", "2001-12")
     seen = derived.trips(spark, sf).groupBy("year_month").agg(F.count(F.lit(1)).alias("trips"))
+    wanted = months.spanned_months(seen, before=2, after=1)
     stored = seen.where(F.substring("year_month", 6, 2).cast("int") % 3 == 0)
     return months.coverage(wanted, stored, seen).join(seen, "year_month", "left")
 
@@ -298,7 +298,7 @@ def month_ingest(spark, sf):
     """Store the even months, then all; the second run adds only the odd ones."""
     out = fresh_dir(spark, "ingest")
     trips = derived.trips(spark, sf)
-    wanted = months.month_range(spark, "1995-01", "2001-12")
+    wanted = months.spanned_months(trips)
     even = wanted.where(F.substring("year_month", 6, 2).cast("int") % 2 == 0)
     for some in (even, wanted):
         months.ingest(trips, some, AIRPORTS, out, top_minute=TOP)
@@ -324,8 +324,7 @@ def convolve_pair(spark, sf):
     """Measured ride times of every route, station and block, plus the wait for them."""
     keys = ["route", "station", "block"]
     rides = derived.ride_histogram(spark, sf).withColumnRenamed("minutes", "bin")
-    waits = histograms.uniform_leg(_waits(spark, sf), keys, F.lit(0), F.col("headway"))
-    return histograms.convolve(rides, waits, keys).withColumn("n", F.col("n").cast("bigint"))
+    return histograms.convolve_uniform(rides, _waits(spark, sf), keys, F.lit(0), F.col("headway")).withColumn("n", F.col("n").cast("bigint"))
 
 
 @query
@@ -341,7 +340,8 @@ def shortcut_error(spark, sf):
     keys = ["route", "station", "block"]
     rides = derived.ride_histogram(spark, sf).withColumnRenamed("minutes", "bin")
     waits = histograms.uniform_leg(_waits(spark, sf), keys, F.lit(0), F.col("headway"))
-    return histograms.shortcut_error(rides, waits, keys)
+    summed = histograms.convolve_uniform(rides, _waits(spark, sf), keys, F.lit(0), F.col("headway"))
+    return histograms.shortcut_error(rides, waits, keys, summed=summed)
 
 
 # ---- bus segments --------------------------------------------------------------
@@ -417,12 +417,12 @@ def station_counts(spark, sf):
 
 @query
 def quintile_shade(spark, sf):
-    return mapview.shade(staged(comparison(spark, sf), "comparison"), F.col("car_p90"))
+    return mapview.shade(comparison(spark, sf), F.col("car_p90"))
 
 
 @query
 def buffer_shade(spark, sf):
-    return mapview.shade(staged(comparison(spark, sf), "comparison"), F.col("car_buffer"))
+    return mapview.shade(comparison(spark, sf), F.col("car_buffer"))
 
 
 # ---- cohorts and profiles ------------------------------------------------------
@@ -542,12 +542,12 @@ def zone_centroid(spark, sf):
 
 @query
 def view_box(spark, sf):
-    return mapview.frame_box(staged(drawn(spark, sf), "parts"))
+    return mapview.frame_box(drawn(spark, sf))
 
 
 @query
 def clipped_zones(spark, sf):
-    shares = mapview.clipped_shares(staged(drawn(spark, sf), "parts"), 1.25)
+    shares = mapview.clipped_shares(drawn(spark, sf), 1.25)
     return mapview.worst_clipped(shares).select("zone", "outside", "vertices", F.round("share", 6).alias("share"))
 
 

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 
+from tidemark.session import ship_package
+
 
 def ring_edges(ring: Column) -> Column:
     """Each vertex with the next one; the last is joined to the first."""
@@ -107,7 +109,9 @@ def simplify_ring(ring: Column, tolerance: float) -> Column:
             )
             yield pd.Series(np.split(keep, starts[1:-1]))
 
-    kept = flags(F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"]))
+    ship_package(SparkSession.active())
+    # Non-deterministic keeps a filter on the result from running it a second time.
+    kept = flags.asNondeterministic()(F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"]))
     return F.transform(
         F.filter(F.arrays_zip(ring.alias("p"), kept.alias("k")), lambda z: z["k"]), lambda z: z["p"]
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import PLACEHOLDER_BOROUGHS, SAMPLE_FLOOR, WHOLE_DAY
@@ -11,6 +11,7 @@ from tidemark.functions.timeblocks import block_names
 from tidemark.operators.histograms import summarise, two_grains
 
 CELL_KEYS = ["airport", "origin", "grain"]
+TIME, FARE = "time", "fare"
 
 
 def reportable_zones(zones: DataFrame, airports: list[int]) -> DataFrame:
@@ -35,23 +36,37 @@ def _reported_origins(hist: DataFrame, zones: DataFrame, airports: list[int]) ->
 def car_cells(
     time_fact: DataFrame, fare_fact: DataFrame, zones: DataFrame, airports: list[int], floor: int = SAMPLE_FLOOR
 ) -> DataFrame:
+    """The cells of two fact tables that are kept apart; see :func:`fact_cells`."""
+    columns = ["airport", "origin", "block", "n"]
+    time = time_fact.select(F.lit(TIME).alias("fact"), *columns, F.col("minutes").alias("bin"))
+    fare = fare_fact.select(F.lit(FARE).alias("fact"), *columns, F.col("dollars").alias("bin"))
+    return fact_cells(time.unionByName(fare), zones, airports, floor)
+
+
+def fact_cells(facts: DataFrame, zones: DataFrame, airports: list[int], floor: int = SAMPLE_FLOOR) -> DataFrame:
     """``airport, origin, grain, n, mean, p50, p90, p95, fare, fare_p90``.
 
-    Cells under the floor are left out. A whole day never holds fewer trips than one
-    of its blocks, so a zone without a day cell has no block cell either.
+    ``facts`` holds both histograms as ``fact, airport, origin, block, bin, n``. They are
+    summarised together, the fact being one more key, and then set side by side, so one
+    scan and no self-join is needed. Cells under the floor are left out. A whole day never
+    holds fewer trips than one of its blocks, so a zone without a day cell has no block
+    cell either.
     """
-    time = summarise(
-        grains(_reported_origins(time_fact, zones, airports), "minutes"),
-        CELL_KEYS,
-        "minutes",
-        {"p50": 0.5, "p90": 0.9, "p95": 0.95},
-        mean="_mean",
-    ).where(F.col("n") >= floor)
-    fares = summarise(
-        grains(_reported_origins(fare_fact, zones, airports), "dollars"), CELL_KEYS, "dollars", {"fare": 0.5, "fare_p90": 0.9}
-    ).drop("n")
-    return time.join(fares, CELL_KEYS, "left").select(
-        *CELL_KEYS, "n", round_even_1(F.col("_mean")).alias("mean"), "p50", "p90", "p95", "fare", "fare_p90"
+    keys = ["fact", "airport", "origin"]
+    both = two_grains(_reported_origins(facts, zones, airports), keys, "block", "bin")
+    found = summarise(both, ["fact", *CELL_KEYS], "bin", {"p50": 0.5, "p90": 0.9, "p95": 0.95}, mean="_mean")
+
+    def of(fact: str, column: str) -> Column:
+        return F.max(F.when(F.col("fact") == fact, F.col(column)))
+
+    wide = found.groupBy(*CELL_KEYS).agg(
+        of(TIME, "n").alias("n"), of(TIME, "_mean").alias("_mean"),
+        of(TIME, "p50").alias("_p50"), of(TIME, "p90").alias("_p90"), of(TIME, "p95").alias("_p95"),
+        of(FARE, "p50").alias("fare"), of(FARE, "p90").alias("fare_p90"),
+    )
+    return wide.where(F.col("n") >= floor).select(
+        *CELL_KEYS, "n", round_even_1(F.col("_mean")).alias("mean"),
+        F.col("_p50").alias("p50"), F.col("_p90").alias("p90"), F.col("_p95").alias("p95"), "fare", "fare_p90",
     )
 
 

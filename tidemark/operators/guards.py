@@ -20,11 +20,12 @@ class GuardFailure(RuntimeError):
     """Raised with the failing rows when a report is enforced."""
 
 
-def unit_ratio_report(trips: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+def unit_ratio_report(trips: DataFrame, keys: list[str], weight: str | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """Median of duration over timestamp gap per key, for trips long enough to tell.
 
     ``weight`` names the count column when the trips are already counted per
-    duration and gap.
+    duration and gap. ``wanted`` holds the keys that have to be there: one without
+    any trip is reported as having no usable rows.
     """
     is_long = F.coalesce(F.col("duration_s") > UNIT_RATIO_MIN_SECONDS, F.lit(False))
     stands_for = F.col(weight) if weight else F.lit(1)
@@ -39,31 +40,41 @@ def unit_ratio_report(trips: DataFrame, keys: list[str], weight: str | None = No
         .when(F.coalesce(F.col("ratio").between(low, high), F.lit(False)), "ok")
         .otherwise("unit changed")
     )
+    if wanted is not None:
+        counts = wanted.select(*keys).distinct().join(counts, keys, "left").fillna(0, ["checked"])
     return counts.join(median, keys, "left").select(*keys, "checked", "ratio", status.alias("status"))
 
 
-def segment_unit_report(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Stated minutes against distance over speed, row by row, counted per key."""
+def segment_unit_report(rows: DataFrame, keys: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """Stated minutes against distance over speed, row by row, counted per key.
+
+    ``unparsed`` counts rows whose travel time, or whose number of buses, is there but
+    no number. ``wanted`` holds the keys that have to be there.
+    """
     implied = implied_minutes(F.col("road_distance"), F.col("average_road_speed"))
     allowed = F.greatest(F.lit(SEGMENT_UNIT_ABSOLUTE), F.lit(SEGMENT_UNIT_RELATIVE) * F.col("_implied"))
     off = F.abs(F.col("_implied") - F.col("average_travel_time")) > allowed
     usable = F.col("_implied").isNotNull() & F.col("average_travel_time").isNotNull()
+    unparsed = F.col("average_travel_time").isNull() | F.col("bus_trip_count").isNull()
     status = (
         F.when(F.col("violations") > 0, "unit changed")
+        .when(F.col("unparsed") > 0, "unparsed rows")
         .when(F.col("usable") < SEGMENT_UNIT_MIN_ROWS, "too few rows")
         .otherwise("ok")
     )
-    return (
+    counts = (
         rows.withColumn("_implied", implied)
         .groupBy(*keys)
-        .agg(F.count_if(usable).alias("usable"), F.count_if(usable & off).alias("violations"))
-        .withColumn("status", status)
+        .agg(F.count_if(usable).alias("usable"), F.count_if(usable & off).alias("violations"), F.count_if(unparsed).alias("unparsed"))
     )
+    if wanted is not None:
+        counts = wanted.select(*keys).distinct().join(counts, keys, "left").fillna(0, ["usable", "violations", "unparsed"])
+    return counts.withColumn("status", status)
 
 
-def enforce(report: DataFrame) -> DataFrame:
-    """The report, or :class:`GuardFailure` naming the first failing rows."""
-    failing = report.where(F.col("status") != "ok").limit(5).collect()
+def enforce(report: DataFrame, accepted: tuple[str, ...] = ("ok",)) -> DataFrame:
+    """The report, or :class:`GuardFailure` naming every failing row; a report has one per month or leg."""
+    failing = report.where(~F.col("status").isin(*accepted)).collect()
     if failing:
-        raise GuardFailure("; ".join(str(row.asDict()) for row in failing))
+        raise GuardFailure(f"{len(failing)} failing: " + "; ".join(str(row.asDict()) for row in failing))
     return report

@@ -133,6 +133,40 @@ def convolve(left: DataFrame, right: DataFrame, keys: Sequence[str], bin_col: st
     )
 
 
+def convolve_uniform(
+    left: DataFrame, legs: DataFrame, keys: Sequence[str], low: Column, high: Column, bin_col: str = "bin", top: int = TOP_MINUTE
+) -> DataFrame:
+    """The same where the second leg takes each minute ``low``..``high`` of ``legs`` (one row per key) once.
+
+    A bin of the first leg adds its count from bin + low on and takes it back after
+    bin + high, so the sum is a running total over those steps: linear in the bins,
+    and no pair of bins is made.
+    """
+    n = F.col("n").cast(WEIGHT)
+    begins = F.struct((F.col(bin_col) + F.col("_low")).alias("at"), n.alias("step"))
+    stops = F.struct((F.col(bin_col) + F.col("_high") + 1).alias("at"), (-n).cast(WEIGHT).alias("step"))
+    ranges = legs.select(*keys, low.cast("int").alias("_low"), high.cast("int").alias("_high")).where("_high >= _low")
+    steps = left.join(ranges, list(keys)).select(*keys, F.explode(F.array(begins, stops)).alias("_s")).select(*keys, "_s.*")
+    by_place = Window.partitionBy(*keys).orderBy("at")
+    level = F.sum("step").over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast(WEIGHT)
+    runs = (
+        steps.groupBy(*keys, "at").agg(F.sum("step").cast(WEIGHT).alias("step"))
+        .select(*keys, "at", level.alias("_level"), F.lead("at").over(by_place).alias("_next"))
+        .where("_level > 0")
+    )
+    last = F.least(F.col("_next"), F.lit(top))
+    single = F.when(F.col("at") < top, F.transform(F.sequence("at", last - 1), lambda t: F.struct(t.alias("bin"), F.col("_level").alias("n"))))
+    past = (F.col("_level") * (F.col("_next") - F.greatest("at", F.lit(top)))).cast(WEIGHT)
+    over = F.when(F.col("_next") > top, F.array(F.struct(F.lit(top).alias("bin"), past.alias("n"))))
+    none = F.array().cast(f"array<struct<bin:int,n:{WEIGHT}>>")
+    pieces = F.concat(F.coalesce(single, none), F.coalesce(over, none))
+    return (
+        runs.select(*keys, F.explode(pieces).alias("_p"))
+        .groupBy(*keys, F.col("_p.bin").alias(bin_col))
+        .agg(F.sum("_p.n").cast(WEIGHT).alias("n"))
+    )
+
+
 def uniform_leg(df: DataFrame, keys: Sequence[str], low: Column, high: Column, bin_col: str = "bin", top: int = TOP_MINUTE) -> DataFrame:
     """One observation per minute low..high of every row; ``df`` has one row per key."""
     minutes = F.explode(F.sequence(low.cast("int"), high.cast("int")))
@@ -169,12 +203,21 @@ def headway(median_wait: Column) -> Column:
 
 
 def shortcut_error(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], bin_col: str = "bin", q: float = 0.9, top: int = TOP_MINUTE
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    bin_col: str = "bin",
+    q: float = 0.9,
+    top: int = TOP_MINUTE,
+    summed: DataFrame | None = None,
 ) -> DataFrame:
-    """How far adding two quantiles overshoots the quantile of the summed legs."""
+    """How far adding two quantiles overshoots the quantile of the summed legs.
+
+    ``summed`` is their convolution, where the caller has a cheaper one.
+    """
     a = summarise(left, keys, bin_col, {"left_q": q}).drop("n")
     b = summarise(right, keys, bin_col, {"right_q": q}).drop("n")
-    c = summarise(convolve(left, right, keys, bin_col, top), keys, bin_col, {"sum_q": q}).drop("n")
+    c = summarise(convolve(left, right, keys, bin_col, top) if summed is None else summed, keys, bin_col, {"sum_q": q}).drop("n")
     return (
         a.join(b, list(keys)).join(c, list(keys))
         .withColumn("shortcut_q", F.col("left_q") + F.col("right_q"))

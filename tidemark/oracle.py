@@ -270,11 +270,13 @@ _add(
 )
 _add(
     "segment_unit_guard", [_TRIPS, _SEGMENTS],
-    """SELECT dataset, route_id, usable, violations,
-      CASE WHEN violations > 0 THEN 'unit changed' WHEN usable < 10 THEN 'too few rows' ELSE 'ok' END AS status
-    FROM (SELECT dataset || suffix AS dataset, route_id, count(*) FILTER (dist IS NOT NULL AND speed > 0) AS usable,
-        count(*) FILTER (dist IS NOT NULL AND speed > 0 AND abs(dist/speed*60 - att*f) > greatest(0.5, 0.05*(dist/speed*60))) AS violations
-      FROM seg_rows, (VALUES ('', 1), ('_seconds', 60)) v(suffix, f) GROUP BY ALL)""",
+    """SELECT dataset, route_id, usable, violations, unparsed,
+      CASE WHEN violations > 0 THEN 'unit changed' WHEN unparsed > 0 THEN 'unparsed rows' WHEN usable < 10 THEN 'too few rows' ELSE 'ok' END AS status
+    FROM (SELECT dataset || suffix AS dataset, route_id, count(*) FILTER (dist IS NOT NULL AND speed > 0 AND t IS NOT NULL) AS usable,
+        count(*) FILTER (dist IS NOT NULL AND speed > 0 AND abs(dist/speed*60 - t) > greatest(0.5, 0.05*(dist/speed*60))) AS violations,
+        count(*) FILTER (t IS NULL) AS unparsed
+      FROM (SELECT *, CASE WHEN suffix <> '_unread' OR hr <> 9 THEN att*f END AS t
+        FROM seg_rows, (VALUES ('', 1), ('_seconds', 60), ('_unread', 1)) v(suffix, f)) GROUP BY ALL)""",
 )
 _add(
     "fare_components", [_TRIPS],
@@ -299,7 +301,7 @@ _add(
 _add(
     "month_coverage", [_TRIPS],
     """SELECT w.year_month, CASE WHEN t.trips IS NULL THEN 'skipped' WHEN CAST(w.year_month[6:7] AS INT) % 3 = 0 THEN 'cached' ELSE 'fetched' END AS status, t.trips
-    FROM (SELECT strftime(m, '%Y-%m') AS year_month FROM range(TIMESTAMP '1994-11-01', TIMESTAMP '2002-01-01', INTERVAL 1 MONTH) r(m)) w
+    FROM (SELECT strftime(unnest(generate_series(date_trunc('month', min(pickup)) - INTERVAL 2 MONTH, date_trunc('month', max(pickup)) + INTERVAL 1 MONTH, INTERVAL 1 MONTH)), '%Y-%m') AS year_month FROM trips) w
     LEFT JOIN (SELECT year_month, count(*) AS trips FROM trips GROUP BY 1) t USING (year_month)""",
 )
 _add(

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.fixed_values import AIRPORT_NAMES, COHORT_HOUR
 from tidemark.operators.cohort import cohort_medians, cohort_trips
 from tidemark.plans import reports as plans
-from tidemark.session import staged
 from tidemark.sources import documents, reports
-from tidemark.sources.months import coverage, ingest, month_range, stored_months
+from tidemark.sources.months import NO_ROWS, coverage, ingest, month_range, stored_months
 from tidemark.sources.trips import FEEDS, conform_all
 
 AIRPORT_ZONES = list(AIRPORT_NAMES)
@@ -43,18 +42,17 @@ def ingest_job(
 ) -> DataFrame:
     """Store the wanted months' histograms; returns what happened to every month."""
     wanted, names = _months(spark, start, end)
-    before = stored_months(spark, f"{facts}/{feed_name}")
+    place = f"{facts}/{feed_name}"
+    before = spark.createDataFrame([(r.year_month,) for r in stored_months(spark, place).collect()], "year_month string")
     files = _published(spark, feed_name, folder, names)
     offered = spark.createDataFrame([(month,) for _, month, _ in files], "year_month string")
-    report = staged(coverage(wanted, before, offered, force), "coverage")
-    if files:
-        ingest(conform_all(files), offered, AIRPORT_ZONES, f"{facts}/{feed_name}", force)
-    return report
+    checked = ingest(conform_all(files), offered, AIRPORT_ZONES, place, force) if files else spark.createDataFrame([], "year_month string, status string")
+    return coverage(wanted, before, offered, force, unusable=checked.where(F.col("status") == NO_ROWS))
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(documents.ZONE_LINE_SCHEMA).csv(path, header=True, enforceSchema=False)
-    return documents.require_rows(documents.typed_zones(rows), "zones")
+    return documents.require_rows(documents.typed_zones(_positioned(rows)), "zones")
 
 
 def car_job(spark: SparkSession, feed_name: str, facts: str, zones: str, out: str) -> None:
@@ -82,7 +80,9 @@ def transit_job(spark: SparkSession, routes: str, segments: str, out: str) -> No
     name = F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1)
     docs = spark.read.text(routes, wholetext=True).select(F.url_decode(name).alias("route"), F.col("value").alias("document"))
     ranges = plans.ride_ranges(spark.read.parquet(f"{segments}/legs").where("route_id = 'Q70+'")).drop("route_id")
-    journeys = plans.transit_journeys(documents.route_directions(docs), plans.link_table(spark), ranges)
+    links = plans.link_table(spark)
+    plans.require_inputs(links, docs, ranges)
+    journeys = plans.transit_journeys(documents.route_directions(docs), links, ranges)
     journeys.write.mode("overwrite").parquet(f"{out}/journeys")
 
 
@@ -93,13 +93,13 @@ def mapping_job(spark: SparkSession, polygons: str, stations: str, out: str, cel
 
 
 def _positioned(rows: DataFrame) -> DataFrame:
-    """Rows of one listing with a position that follows its order."""
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+    """Rows of a listing with a position that follows its order: by file, then within the file."""
+    return rows.withColumn("pos", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("locationid string, zone string, borough string, the_geom string").json(path, multiLine=True)
-    return documents.require_rows(documents.zone_shapes(_positioned(rows.withColumnRenamed("zone", "name"))), "zone shapes")
+    return documents.require_rows(documents.zone_shapes(_positioned(rows).withColumnRenamed("zone", "name")), "zone shapes")
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:

@@ -64,6 +64,21 @@ def segment_report(rows: DataFrame, legs: DataFrame) -> DataFrame:
     return leg_summary(wanted)
 
 
+def require_inputs(links: DataFrame, documents: DataFrame, ranges: DataFrame) -> None:
+    """Stops where a route of the link table has no document, or a link without ride times no bus leg.
+
+    The link table is a constant of a few rows, so what is missing is named in full.
+    """
+    wanted = links.select(F.explode("routes").alias("route")).distinct()
+    missing = [r.route for r in wanted.join(documents, "route", "left_anti").orderBy("route").collect()]
+    if missing:
+        raise RuntimeError(f"no document for route {', '.join(missing)}")
+    if ranges.isEmpty():
+        bare = [r.link for r in links.where(F.col("ride_low").isNull()).select("link").distinct().orderBy("link").collect()]
+        if bare:
+            raise RuntimeError(f"no bus leg gives the ride times of {', '.join(bare)}")
+
+
 def transit_journeys(directions: DataFrame, links: DataFrame, ranges: DataFrame, floor: int = SAMPLE_FLOOR) -> DataFrame:
     """Best journey per airport and station, one row each with its blocks."""
     cells = with_link_ride(ride_cells(directions, links, floor), ranges)

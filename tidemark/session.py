@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +17,7 @@ _CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-_local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "tidemark", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -28,20 +30,29 @@ def build_session(app: str = "tidemark", master: str | None = None, conf: dict[s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or one under the warehouse.
 
-    Only a local master may fall back to a folder of its own; a cluster without
-    the setting is refused, because a machine-local path is lost with its machine.
+    Both are shared on a cluster; a folder of one machine is never used.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per application, for the steps that run Python there."""
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
-    return _local_dirs[context.applicationId]
+    if context.applicationId in _shipped:
+        return
+    package, packed = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    target = f"{fresh_dir(spark, 'code')}/{package.name}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

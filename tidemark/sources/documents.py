@@ -37,14 +37,21 @@ def zone_dimension(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def typed_zones(rows: DataFrame) -> DataFrame:
-    """The same from rows a CSV reader already split (``LocationID, Borough, Zone``)."""
+    """The same from rows a CSV reader already split (``LocationID, Borough, Zone``).
+
+    Of rows with the same id the last one counts, by ``pos`` where the rows have it.
+    """
     number = F.trim("LocationID").try_cast("int")
     unnamed = F.concat(F.lit("Unknown zone "), number.cast("string"))
-    return rows.where(number.isNotNull()).select(
+    typed = rows.select(
         number.alias("zone"),
-        clean_text(F.col("Zone"), unnamed).alias("name"),
-        clean_text(F.col("Borough"), F.lit("Unknown")).alias("borough"),
+        F.struct(
+            (F.col("pos") if "pos" in rows.columns else F.monotonically_increasing_id()).alias("pos"),
+            clean_text(F.col("Zone"), unnamed).alias("name"),
+            clean_text(F.col("Borough"), F.lit("Unknown")).alias("borough"),
+        ).alias("_row"),
     )
+    return typed.where(F.col("zone").isNotNull()).groupBy("zone").agg(F.max("_row").alias("_last")).select("zone", "_last.name", "_last.borough")
 
 
 def segment_rows(rows: DataFrame, text: str = "row") -> DataFrame:
@@ -54,8 +61,12 @@ def segment_rows(rows: DataFrame, text: str = "row") -> DataFrame:
 
 
 def typed_segments(rows: DataFrame) -> DataFrame:
-    """Numbers out of text. One that does not parse is NULL; the guard and the summary decide about it."""
-    return rows.select(
+    """Numbers out of text; rows without a travel time are left out.
+
+    A travel time or a number of buses that is there but does not parse is NULL and
+    fails the guard; a number of buses that is absent is 0.
+    """
+    return rows.where(F.col("average_travel_time").isNotNull()).select(
         "dataset", "route_id", "direction",
         F.col("stop_order").try_cast("int").alias("stop_order"),
         month_key(F.col("timestamp")).alias("year_month"),
@@ -64,8 +75,8 @@ def typed_segments(rows: DataFrame) -> DataFrame:
         F.col("road_distance").try_cast("double").alias("road_distance"),
         F.col("average_travel_time").try_cast("double").alias("average_travel_time"),
         F.col("average_road_speed").try_cast("double").alias("average_road_speed"),
-        F.coalesce(F.col("bus_trip_count").try_cast("int"), F.lit(0)).alias("bus_trip_count"),
-    ).where(F.col("average_travel_time").isNotNull())
+        F.coalesce(F.nullif(F.trim("bus_trip_count"), F.lit("")), F.lit("0")).try_cast("int").alias("bus_trip_count"),
+    )
 
 
 def route_directions(documents: DataFrame, text: str = "document") -> DataFrame:

@@ -16,6 +16,8 @@ from tidemark.sources.trips import usable_trips
 
 MONTH_KEYS = ["source", "year_month"]
 
+NO_ROWS = "no usable rows"
+
 
 def month_range(spark: SparkSession, start: str, end: str | None = None) -> DataFrame:
     """``YYYY-MM`` keys from start to end, both included."""
@@ -24,20 +26,32 @@ def month_range(spark: SparkSession, start: str, end: str | None = None) -> Data
     return spark.range(1).select(F.explode(months).alias("_m")).select(F.date_format("_m", "yyyy-MM").alias("year_month"))
 
 
+def spanned_months(rows: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
+    """Every calendar month from the first to the last ``year_month`` of ``rows``, and some around them."""
+    day = F.to_date(F.concat("year_month", F.lit("-01")))
+    span = rows.agg(F.add_months(F.min(day), -before).alias("_first"), F.add_months(F.max(day), after).alias("_last"))
+    months = F.sequence("_first", "_last", F.expr("interval 1 month"))
+    return span.where(F.col("_first").isNotNull()).select(F.explode(months).alias("_m")).select(F.date_format("_m", "yyyy-MM").alias("year_month"))
+
+
 def missing_months(wanted: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
     return wanted if force else wanted.join(stored.select("year_month").distinct(), "year_month", "left_anti")
 
 
-def coverage(wanted: DataFrame, stored: DataFrame, available: DataFrame, force: bool = False) -> DataFrame:
-    """Every wanted month by name: cached, fetched, or skipped because nobody has it."""
-    have = stored.select("year_month").distinct().withColumn("_stored", F.lit(True))
-    offered = available.select("year_month").distinct().withColumn("_offered", F.lit(True))
+def coverage(
+    wanted: DataFrame, stored: DataFrame, available: DataFrame, force: bool = False, unusable: DataFrame | None = None
+) -> DataFrame:
+    """Every wanted month by name: cached, fetched, without usable rows, or skipped because nobody has it."""
+    marks = {"_stored": stored, "_offered": available}
+    if unusable is not None:
+        marks["_unusable"] = unusable
+    marked = wanted
+    for name, months in marks.items():
+        marked = marked.join(months.select("year_month").distinct().withColumn(name, F.lit(True)), "year_month", "left")
     cached = F.lit(False) if force else F.coalesce("_stored", F.lit(False))
-    status = F.when(cached, "cached").when(F.col("_offered"), "fetched").otherwise("skipped")
-    return (
-        wanted.join(have, "year_month", "left").join(offered, "year_month", "left")
-        .select("year_month", status.alias("status"))
-    )
+    empty = F.coalesce("_unusable", F.lit(False)) if unusable is not None else F.lit(False)
+    status = F.when(cached, "cached").when(empty, NO_ROWS).when(F.col("_offered"), "fetched").otherwise("skipped")
+    return marked.select("year_month", status.alias("status"))
 
 
 def coverage_totals(report: DataFrame) -> DataFrame:
@@ -47,6 +61,7 @@ def coverage_totals(report: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "cached").alias("cached"),
         F.count_if(F.col("status") == "skipped").alias("skipped"),
         F.array_sort(F.collect_list(F.when(F.col("status") == "skipped", F.col("year_month")))).alias("skipped_months"),
+        F.array_sort(F.collect_list(F.when(F.col("status") == NO_ROWS, F.col("year_month")))).alias("empty_months"),
     )
 
 
@@ -99,61 +114,83 @@ def ingest(
     force: bool = False,
     top_minute: int = TOP_MINUTE,
     top_dollar: int = TOP_DOLLAR,
-) -> None:
-    """Bin the wanted months that are not stored yet into ``out/time`` and ``out/fare``.
-
-    The facts of a run are written once to the shared folder; the unit guard reads
-    them there and stops the run before anything is published. Months are replaced
-    whole, so a repeated run leaves the same tables.
+) -> DataFrame:
+    """Bin the wanted months that are not stored yet into ``out``; what the unit guard said of each.
+
+    The facts of a run are written once to the shared folder; the guard reads them there
+    and a changed unit stops the run before anything is published. A month whose trips
+    cannot be checked is reported as such and not stored; ``force`` also clears what was
+    stored of it. Both facts of a month are published by one write, months are replaced
+    whole, and only a month with both counts as stored, so a run that was cut off is
+    repeated by the next.
     """
     spark = trips.sparkSession
     # A calendar's worth of names; as literals they prune partitions and files.
     todo = [row.year_month for row in missing_months(wanted, stored_months(spark, out), force).collect()]
-    if not todo:
-        return
-    fresh = usable_trips(trips, airports).where(F.col("year_month").isin(*todo))
+    fresh = usable_trips(trips, airports).where(F.col("year_month").isin(*todo) if todo else F.lit(False))
     staging = fresh_dir(spark, "facts")
-    month_facts(with_bins(fresh, top_minute, top_dollar)).write.partitionBy("fact").parquet(staging)
-    facts = spark.read.parquet(staging)
+    binned = month_facts(with_bins(fresh, top_minute, top_dollar))
+    binned.write.parquet(staging)
+    facts = spark.read.schema(binned.schema).parquet(staging)
+    months = spark.createDataFrame([(m,) for m in todo], "year_month string")
     checks = facts.where(F.col("fact") == CHECK_FACT)
-    enforce(unit_ratio_report(checks, MONTH_KEYS, weight="n"))
-    for name, columns in ((TIME_FACT, [*TIME_KEYS, "minutes"]), (FARE_FACT, [*FARE_KEYS, "dollars"])):
+    report = enforce(unit_ratio_report(checks, ["year_month"], weight="n", wanted=months), accepted=("ok", NO_ROWS))
+    statuses = {row.year_month: row.status for row in report.collect()}  # a row per wanted month
+    good = [m for m, status in statuses.items() if status == "ok"]
+    if good:
         (
-            facts.where(F.col("fact") == name)
-            .select(*MONTH_KEYS, *columns, "n")
-            .repartition(*MONTH_KEYS)
+            facts.where(F.col("fact").isin(TIME_FACT, FARE_FACT) & F.col("year_month").isin(*good))
+            .select("fact", *MONTH_KEYS, *TIME_KEYS, F.coalesce("minutes", "dollars").alias("bin"), "n")
+            .repartition("fact", *MONTH_KEYS)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*MONTH_KEYS)
-            .parquet(f"{out}/{name}")
+            .partitionBy("fact", *MONTH_KEYS)
+            .parquet(out)
         )
+    _clear(spark, out, [m for m in todo if m not in good])
+    return spark.createDataFrame(sorted(statuses.items()), "year_month string, status string")
 
 
-def read_fact(spark: SparkSession, out: str, name: str) -> DataFrame:
-    """A stored fact table; ``year_month`` stays text. Empty when nothing is stored there yet."""
-    bin_col, keys = ("minutes", TIME_KEYS) if name == TIME_FACT else ("dollars", FARE_KEYS)
-    types = {"airport": "bigint", "origin": "bigint", "company": "string", "block": "string"}
-    columns = ", ".join(f"{k} {types[k]}" for k in keys)
-    schema = f"{columns}, {bin_col} int, n bigint, source string, year_month string"
+def _clear(spark: SparkSession, out: str, months: Sequence[str]) -> None:
+    """Deletes what is stored of the months."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for month in months:
+        pattern = hadoop.Path(f"{out}/fact=*/source=*/year_month={month}")
+        files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in files.globStatus(pattern) or []:
+            files.delete(found.getPath(), True)
+
+
+_STORED = "airport bigint, origin bigint, company string, block string, bin int, n bigint, fact string, source string, year_month string"
+
+
+def _stored(spark: SparkSession, out: str) -> DataFrame:
+    """All that is stored; ``year_month`` stays text. Empty when nothing is stored there yet."""
     try:
-        return spark.read.schema(schema).parquet(f"{out}/{name}")
+        return spark.read.schema(_STORED).parquet(out)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _STORED)
+
+
+def read_fact(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """One stored fact; partition pruning reads that fact only."""
+    bin_col, keys = ("minutes", TIME_KEYS) if name == TIME_FACT else ("dollars", FARE_KEYS)
+    return _stored(spark, out).where(F.col("fact") == name).select(*keys, F.col("bin").alias(bin_col), "n", *MONTH_KEYS)
 
 
 def stored_months(spark: SparkSession, out: str) -> DataFrame:
-    """Months already in the time fact."""
-    return read_fact(spark, out, TIME_FACT).select("year_month").distinct()
+    """Months stored with both facts."""
+    held = _stored(spark, out).where(F.col("fact").isin(TIME_FACT, FARE_FACT)).groupBy(*MONTH_KEYS).agg(F.countDistinct("fact").alias("facts"))
+    return held.where("facts = 2").select("year_month").distinct()
 
 
 def stored_counts(spark: SparkSession, out: str) -> DataFrame:
-    """Bins and trips per stored month, read back from both tables."""
-    time = read_fact(spark, out, TIME_FACT).groupBy(*MONTH_KEYS).agg(
-        F.count(F.lit(1)).alias("bins"), F.sum("n").alias("trips")
-    )
-    fare = read_fact(spark, out, FARE_FACT).groupBy(*MONTH_KEYS).agg(
-        F.count(F.lit(1)).alias("fare_bins"), F.sum("n").alias("fare_trips")
+    """Bins and trips per stored month of both facts, from one scan."""
+    of = lambda name, value: F.when(F.col("fact") == name, value)
+    one, n = F.lit(1), F.col("n")
+    return _stored(spark, out).groupBy(*MONTH_KEYS).agg(
+        F.count(of(TIME_FACT, one)).alias("bins"), F.sum(of(TIME_FACT, n)).alias("trips"),
+        F.count(of(FARE_FACT, one)).alias("fare_bins"), F.sum(of(FARE_FACT, n)).alias("fare_trips"),
     )
-    return time.join(fare, MONTH_KEYS, "left")
