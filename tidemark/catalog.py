@@ -219,7 +219,7 @@ def zone_dimension(spark, sf):
 
 @query
 def unit_ratio_guard(spark, sf):
-    checks = staged(months.check_counts(usable_trips(derived.trips(spark, sf), AIRPORTS)), "checks")
+    checks = months.check_counts(usable_trips(derived.trips(spark, sf), AIRPORTS))
     report = guards.unit_ratio_report(checks, months.MONTH_KEYS, weight="n")
     return report.withColumn("ratio", F.round("ratio", 9))
 
@@ -288,9 +288,9 @@ def month_coverage(spark, sf):
 
 @query
 def month_union(spark, sf):
+    """Months seen in either of two feeds, each over all its trips."""
     rows = binned(spark, sf)
-    parts = [rows.where((F.col("company") == c) & (F.col("airport") == a) & (F.col("origin") == 7)) for c, a in (("A", 0), ("N", 1))]
-    return cohort.month_union(parts)
+    return cohort.month_union([rows.where(F.col("company") == "A"), rows.where(F.col("company") != "A")])
 
 
 @query
@@ -329,9 +329,10 @@ def convolve_pair(spark, sf):
 
 @query
 def convolve_four_legs(spark, sf):
-    """Wait, transfer, link wait and link ride of every cell that has its own link ride."""
-    links = derived.links(spark).where(F.col("ride_low").isNotNull())
-    cells = journeys.ride_cells(directions(spark, sf), links, 1).withColumn("headway", histograms.headway(F.col("median_wait")))
+    """Wait, transfer, link wait and link ride of every cell; links without a ride of their own take the measured one."""
+    ranges = plans.measured_ranges(segment_rows(spark, sf), "L0")
+    rides = journeys.with_link_ride(journeys.ride_cells(directions(spark, sf), derived.links(spark), 1), ranges)
+    cells = rides.withColumn("headway", histograms.headway(F.col("median_wait")))
     return journeys.overheads(cells).withColumn("n", F.col("n").cast("bigint"))
 
 

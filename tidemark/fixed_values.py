@@ -81,6 +81,6 @@ SHADE_BREAKS = (0.2, 0.4, 0.6, 0.8)
 # How well each side of a comparison is measured.
 CAR_EVIDENCE = "recorded trips"
 LINK_EVIDENCE = {
-    "JFK": "measured ride, modelled link legs, added cautiously",
-    "LGA": "measured ride and a bus leg already averaged by hour, which understates its spread",
+    "JFK": "measured ride, modelled link",
+    "LGA": "measured ride, hourly bus averages",
 }

@@ -306,7 +306,7 @@ _add(
 )
 _add(
     "month_union", [_TRIPS],
-    """SELECT DISTINCT year_month FROM good WHERE origin = 7 AND ((company = 'A' AND airport = 0) OR (company = 'N' AND airport = 1)) ORDER BY 1""",
+    "SELECT DISTINCT year_month FROM good WHERE company IS NOT NULL ORDER BY 1",
 )
 _add(
     "month_ingest", [_TRIPS],
@@ -323,12 +323,13 @@ _add(
     WHERE m <= headway GROUP BY ALL""",
 )
 _add(
-    "convolve_four_legs", [_RIDES, _JOURNEYS],
-    """SELECT headway, 3 AS transfer_low, 8 AS transfer_high, w_lo AS wait_low, w_hi AS wait_high, r_lo AS ride_low, r_hi AS ride_high,
+    "convolve_four_legs", _RAIL,
+    """SELECT headway, 3 AS transfer_low, 8 AS transfer_high, w_lo AS wait_low, w_hi AS wait_high, lo AS ride_low, hi AS ride_high,
     CAST(least(i + j + k + l, 180) AS INT) AS bin, count(*) AS n
-    FROM (SELECT DISTINCT headway, w_lo, w_hi, r_lo, r_hi FROM ahead WHERE r_lo IS NOT NULL),
-      range(0, 40) t1(i), range(3, 9) t2(j), range(0, 20) t3(k), range(0, 30) t4(l)
-    WHERE i <= headway AND k BETWEEN w_lo AND w_hi AND l BETWEEN r_lo AND r_hi GROUP BY ALL""",
+    FROM (SELECT DISTINCT headway, w_lo, w_hi, coalesce(r_lo, s_lo) AS lo, coalesce(r_hi, s_hi) AS hi
+        FROM ahead LEFT JOIN ranges USING (block) WHERE coalesce(r_lo, s_lo) IS NOT NULL),
+      range(0, 40) t1(i), range(3, 9) t2(j), range(0, 20) t3(k), range(0, 181) t4(l)
+    WHERE i <= headway AND k BETWEEN w_lo AND w_hi AND l BETWEEN lo AND hi GROUP BY ALL""",
 )
 _add(
     "shortcut_error", [_RIDES],
