@@ -40,7 +40,7 @@ from tidemark.session import ship_package
 
 #: A worker drops encoded words not met since so many others, and arcs beyond so many; both are
 #: only a cache.
-WORDS_KEPT, ARCS_KEPT = 300_000, 500_000
+WORDS_KEPT, ARCS_KEPT = 150_000, 250_000
 
 @dataclass
 class Automaton:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.rows import checkpointed, with_row
+from tidemark.llm.rows import checkpointed
 from tidemark.session import ship_package
 
 WORDS = 2  # of 64 bits in a code
@@ -202,9 +202,10 @@ def nearest(rows: DataFrame, asked: DataFrame, coder: Coder, radius: int, k: int
 def search(vectors: DataFrame, asked: Column, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), key and ``score`` of the k nearest of each row where ``asked`` holds."""
     ship_package(vectors.sparkSession)
-    rows = with_row(vectors).where(usable(F.col(vector))).select(
+    numbered = vectors.withColumn("_row", F.monotonically_increasing_id()).where(usable(F.col(vector))).select(
         "_row", F.coalesce(F.col(key), F.lit(_LAST)).cast("long").alias("_key"), F.col(vector).cast("array<double>").alias("_vector"), F.coalesce(asked, F.lit(False)).alias("_asked")
     )
+    rows = checkpointed(numbered)  # the numbers are given once
     lengths = rows.groupBy(F.size("_vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     empty = f"query_id long, rank int, {key} long, score double"
     if lengths is None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +25,17 @@ def word_count(column: str = "text") -> Column:
 
 
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Adds a number that no other row has.
+    """Adds a key that no other row has: the hash of its file's path, and its place in the file.
 
-    The number follows from file and position, so it is the same wherever the same files
-    are scanned in one application; ``df`` has to be a plain scan (write anything else first).
+    The key is the same whenever the table is scanned, however the scan is split and whatever
+    executors come or go in between. A frame that is no scan of files has no such place; its
+    rows are numbered by partition, which holds while its partitions do, so write it first.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    place = F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        return df.withColumn(name, F.struct(place[0].alias("file"), place[1].alias("at")))
+    except AnalysisException:
+        return df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at")))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
