@@ -35,10 +35,28 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_sql(spark, duck, name):
-    df = QUERIES[name](spark, str(SF))
-    cursor = duck.execute(ORACLE[name])
+def compare(spark, con, sf, name):
+    df = QUERIES[name](spark, str(sf))
+    cursor = con.execute(ORACLE[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(df.columns)
-    assert table(df.columns, df.collect()) == table(names, cursor.fetchall())
+    rows = df.collect()
+    assert table(df.columns, rows) == table(names, cursor.fetchall())
+    return len(rows)
+
+
+#: Too few trips for a row in the smallest tables.
+LARGER = ("percentiles_raw", "route_documents", "journeys_best")
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_sql(spark, duck, name):
+    compare(spark, duck, SF, name)
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_query_matches_sql_on_larger_tables(spark, name):
+    sf, con = SF.parent / "sf0.01", duckdb.connect()
+    for path in sf.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    assert compare(spark, con, sf, name)

@@ -33,6 +33,26 @@ def test_new_files_are_added_and_nothing_is_counted_twice(spark, tmp_path):
     write_day(spark, source, 1, 31)
     assert run() == batch()
     assert run() == batch()
+    incremental.compact(spark, ["kind"], "bin", out)
+    incremental.compact(spark, ["kind"], "bin", out)
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["upto=1"]
+    write_day(spark, source, 2, 12)
+    assert run() == batch()
+
+
+def test_nothing_stored_yet(spark, tmp_path):
+    empty = incremental.read_histogram(spark, ["kind"], "bin", str(tmp_path / "none"), "kind string, bin int, n bigint")
+    assert empty.count() == 0
+
+
+def test_all_days_with_late_rows(spark, tmp_path):
+    source, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
+    for day, n in ((3, 50), (0, 20), (1, 30)):
+        write_day(spark, source, day, n)
+        stream = spark.readStream.schema(SCHEMA).parquet(str(source))
+        incremental.run_daily_totals(stream, "ts", ["kind"], out, marks)
+    rows = incremental.read_histogram(spark, ["kind"], "day", out).groupBy("day").agg(F.sum("n").alias("n")).orderBy("day").collect()
+    assert [(r.day, r.n) for r in rows] == [("2026-03-02", 20), ("2026-03-03", 30), ("2026-03-05", 50)]
 
 
 def test_closed_days_only(spark, tmp_path):

@@ -602,11 +602,12 @@ def stream_histogram(spark, sf):
         )
 
     incremental.run_histogram(derived.daily_event_files(spark, sf), rides, ["event_type", "block"], "minutes", out, marks)
+    incremental.compact(spark, ["event_type", "block"], "minutes", out)
     return incremental.read_histogram(spark, ["event_type", "block"], "minutes", out)
 
 
 @query
 def stream_daily_counts(spark, sf):
     out, marks = fresh_dir(spark, "days"), fresh_dir(spark, "marks")
-    incremental.run_daily_counts(derived.daily_event_files(spark, sf), "ts", ["event_type"], out, marks)
-    return spark.read.parquet(out)
+    incremental.run_daily_totals(derived.daily_event_files(spark, sf), "ts", ["event_type"], out, marks)
+    return incremental.read_histogram(spark, ["event_type"], "day", out)

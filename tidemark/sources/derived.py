@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.fixed_values import TOP_MINUTE, TRANSFER_RANGE
 from tidemark.functions.timeblocks import block_of, block_position
 from tidemark.operators.histograms import count_bins, summarise
+from tidemark.session import fresh_dir
 from tidemark.sources.trips import TripFeed, conform
 
 FEED = TripFeed(
@@ -338,6 +339,7 @@ def station_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_event_files(spark: SparkSession, sf_dir: str):
-    """``events`` as a file stream."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """``events`` as a stream of files in several batches; each file holds some days, early and late ones mixed."""
+    events, folder = table(spark, sf_dir, "events"), fresh_dir(spark, "events")
+    events.repartition(6, F.to_date("ts")).write.parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)

@@ -36,13 +36,63 @@ def run_histogram(
     query.awaitTermination()
 
 
-def read_histogram(spark: SparkSession, keys: Sequence[str], bin_col: str, out: str) -> DataFrame:
-    """The sum of all batches stored so far."""
-    return spark.read.parquet(out).groupBy(*keys, bin_col).agg(F.sum("n").alias("n"))
+def _folders(spark: SparkSession, out: str) -> dict[str, dict[int, str]]:
+    """Paths of the stored batches (``batch_id``) and of merged ones (``upto``) by number."""
+    hadoop, found = spark.sparkContext._jvm.org.apache.hadoop.fs, {"batch_id": {}, "upto": {}}
+    for kind, paths in found.items():
+        pattern = hadoop.Path(f"{out}/{kind}=*/_SUCCESS")
+        files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in files.globStatus(pattern) or []:
+            path = status.getPath().getParent().toString()
+            paths[int(path.rpartition("=")[2])] = path
+    return found
+
+
+def _current(spark: SparkSession, out: str) -> list[str]:
+    """What counts: the last merged folder and the batches after it."""
+    found = _folders(spark, out)
+    last = max(found["upto"], default=-1)
+    merged = [found["upto"][last]] if last >= 0 else []
+    return merged + [path for n, path in sorted(found["batch_id"].items()) if n > last]
+
+
+def read_histogram(spark: SparkSession, keys: Sequence[str], bin_col: str, out: str, schema: str | None = None) -> DataFrame:
+    """The sum of all batches stored so far; before the first, an empty table of ``schema``."""
+    paths = _current(spark, out)
+    stored = spark.read.parquet(*paths) if paths or schema is None else spark.createDataFrame([], schema)
+    return stored.groupBy(*keys, bin_col).agg(F.sum("n").alias("n"))
+
+
+def compact(spark: SparkSession, keys: Sequence[str], bin_col: str, out: str) -> None:
+    """Merges all stored batches into one folder, so that files do not pile up.
+
+    The merged folder names the last batch in it and counts from the moment it is complete;
+    what it replaces is ignored from then on and deleted. Run it between runs of the stream.
+    """
+    found = _folders(spark, out)
+    last = max(found["batch_id"], default=-1)
+    if last <= max(found["upto"], default=-1):
+        return
+    read_histogram(spark, keys, bin_col, out).coalesce(1).write.mode("overwrite").parquet(f"{out}/upto={last}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in [*found["upto"].values(), *(p for n, p in found["batch_id"].items() if n <= last)]:
+        old = hadoop.Path(path)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def run_daily_totals(stream: DataFrame, ts: str, keys: Sequence[str], out: str, checkpoint: str) -> None:
+    """Counts per ``day`` of event time, complete after every run: late rows add to their day.
+
+    Read with ``read_histogram(spark, keys, "day", out)``.
+    """
+    run_histogram(stream, lambda batch: batch.select(*keys, F.date_format(ts, "yyyy-MM-dd").alias("day")), keys, "day", out, checkpoint)
 
 
 def run_daily_counts(stream: DataFrame, ts: str, keys: Sequence[str], out: str, checkpoint: str, delay: str = "1 day") -> None:
-    """Counts per day of event time; a day is written once the watermark has passed its end."""
+    """The same with state and a watermark: a day is written once, when the watermark has passed its end.
+
+    Days still open when the stream ends are not written; rows later than ``delay`` are dropped.
+    """
     timed = stream.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay)
     days = (
         timed.groupBy(F.window("_at", "1 day").alias("_w"), *keys)
