@@ -77,17 +77,24 @@ def test_from_files_to_comparison(spark, tmp_path):
     assert (row.airport, row.zone, row.block, row.station, row.route, row.link) == ("JFK", 161, "am", "Midtown", "E", "AirTrain")
     assert (row.car_n, row.car_p50, row.car_p90) == (100, 48, 67)
     assert row.transit_fare == 11.75 and row.verdict == "too close to call"
-    assert json.loads(spark.read.json(f"{p['cmp']}/documents").first().document)["via"]["station"] == "Midtown"
+    document = json.loads(spark.read.json(f"{p['cmp']}/documents").first().document)
+    assert document["via"]["station"] == "Midtown" and document["car_evidence"] == "recorded trips"
+    corpus = json.loads(spark.read.json(f"{p['car']}/corpus").first().document)
+    assert (corpus["months"], corpus["weekday_trips"], corpus["sample_floor"]) == (["2026-03", "2026-04"], 100, 30)
+    journey = json.loads(spark.read.json(f"{p['transit']}/documents").where("airport = 'JFK'").first().document)
+    assert (journey["station"], journey["transit_fare"]) == ("Midtown", 11.75)
 
     jobs.cohort_job(spark, p["raw"], {"fhvhv": ("2026-03", "2026-05")}, 132, [161], p["cohort"], hour=8)
     pooled = spark.read.parquet(p["cohort"]).where("month = 'all'").first()
     assert (pooled.source, pooled["median"], pooled.trips, pooled.span) == ("fhvhv", 48, 100, "Mar to Apr 2026")
+    cohort = json.loads(spark.read.json(f"{p['cohort']}_documents").first().document)
+    assert cohort["months"]["all"]["month_list"] == "2026-03,2026-04"
     with pytest.raises(RuntimeError):
         jobs.cohort_job(spark, p["raw"], {"fhvhv": ("2026-03", "2026-05")}, 132, [7], p["cohort"])
 
     jobs.map_job(spark, str(tmp_path / "shapes.json"), p["draw"])
     drawn = spark.read.json(f"{p['draw']}/zones").collect()
-    assert [r.zone for r in drawn] == [161] and drawn[0].path.startswith("M0.0 1000.0L")
+    assert [(r.zone, r.borough) for r in drawn] == [(161, "Manhattan")] and drawn[0].path.startswith("M0.0 1000.0L")
     audit = reports.fare_audit(spark.read.parquet(f"{p['raw']}/fhvhv_tripdata_2026-03.parquet"), 132, [161], (8, 8)).first()
     assert (audit.trips, audit.base, audit.tolls, audit.taxes, audit.total) == (60, 50.0, 6.0, 5.5, 65.5)
 

@@ -45,7 +45,8 @@ def cohort_medians(cohort: DataFrame, group: str = "source", baseline: int = COH
         F.sum("_n").alias("trips"),
     )
     months = seconds.groupBy(group, "year_month").agg(F.sum("_n").alias("_n")).groupBy(group).agg(
-        F.min("year_month").alias("_first"), F.max("year_month").alias("_last"), F.count(F.lit(1)).alias("_months")
+        F.min("year_month").alias("_first"), F.max("year_month").alias("_last"), F.count(F.lit(1)).alias("_months"),
+        F.array_join(F.array_sort(F.collect_list("year_month")), ",").alias("_list"),
     )
     pooled = F.col("month") == POOLED
     first = F.when(pooled, F.col("_first")).otherwise(F.col("month"))
@@ -55,6 +56,7 @@ def cohort_medians(cohort: DataFrame, group: str = "source", baseline: int = COH
         F.when(pooled, F.col("_months")).otherwise(F.lit(1)).cast("bigint").alias("months"),
         first.alias("first_month"),
         last.alias("last_month"),
+        F.when(pooled, F.col("_list")).otherwise(F.col("month")).alias("month_list"),
         month_span(first, last).alias("span"),
         (F.col("median") / F.lit(float(baseline)) - F.lit(1.0)).alias("change"),
     )

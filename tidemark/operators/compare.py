@@ -82,14 +82,22 @@ def verdict_tally(comparison: DataFrame) -> DataFrame:
 
 
 def default_zone(comparison: DataFrame) -> DataFrame:
-    """Zone to open on per airport and block: the widest lead of transit over car, else the first zone."""
+    """Zone to open on per airport and block: the widest lead of transit over car, else the first zone.
+
+    Every block of an airport has a row, also one without any cell.
+    """
     gap = F.col("car_p90") - F.col("transit_p90")
     ranked = F.when(gap.isNotNull(), F.struct(gap, -F.col("zone")))
     per_block = comparison.groupBy("airport", "block").agg(
         F.max_by("zone", ranked).alias("_widest"), F.max(gap).alias("gap"), F.min("zone").alias("_lowest")
     )
-    first = F.min("_lowest").over(Window.partitionBy("airport"))
-    return per_block.select("airport", "block", F.coalesce("_widest", first).alias("zone"), "gap")
+    named = F.filter(F.collect_list(F.struct("block", "_widest", "gap")), lambda b: b["block"].isNotNull())
+    blocks = F.array(*map(F.lit, block_names()))
+    per_airport = per_block.groupBy("airport").agg(F.min("_lowest").alias("_first"), F.map_from_arrays(named["block"], named).alias("_found"))
+    found = F.try_element_at("_found", F.col("block"))
+    return per_airport.select("airport", "_first", "_found", F.explode(blocks).alias("block")).select(
+        "airport", "block", F.coalesce(found["_widest"], F.col("_first")).alias("zone"), found["gap"].alias("gap")
+    )
 
 
 def coverage_counts(comparison: DataFrame) -> DataFrame:

@@ -376,8 +376,8 @@ _add(
 )
 _add(
     "default_zone", _BOTH,
-    """SELECT k.airport, k.block, coalesce(g.zone, (SELECT min(zone) FROM cmp c WHERE c.airport = k.airport)) AS zone, g.gap
-    FROM (SELECT DISTINCT airport, block FROM cmp) k LEFT JOIN
+    f"""SELECT k.airport, k.block, coalesce(g.zone, (SELECT min(zone) FROM cmp c WHERE c.airport = k.airport)) AS zone, g.gap
+    FROM (SELECT DISTINCT airport, b.block FROM cmp, {_BLOCK_ROWS}) k LEFT JOIN
     (SELECT airport, block, zone, car_p90 - transit_p90 AS gap FROM cmp WHERE car_p90 IS NOT NULL AND transit_p90 IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY airport, block ORDER BY car_p90 - transit_p90 DESC, zone) = 1) g USING (airport, block)""",
 )
@@ -401,11 +401,13 @@ _add(
       FROM (SELECT company, year_month, year_month AS ym, dur_s FROM c) GROUP BY GROUPING SETS ((company, year_month), (company)))
     SELECT company, month, median, trips, CASE WHEN month = 'all' THEN m2.months ELSE 1 END AS months,
       CASE WHEN month = 'all' THEN m2.f ELSE month END AS first_month, CASE WHEN month = 'all' THEN m2.l ELSE month END AS last_month,
+      CASE WHEN month = 'all' THEN m2.names ELSE month END AS month_list,
       CASE WHEN month <> 'all' OR m2.f = m2.l THEN strftime(CAST((CASE WHEN month = 'all' THEN m2.f ELSE month END) || '-01' AS DATE), '%b %Y')
         WHEN m2.f[1:4] = m2.l[1:4] THEN strftime(CAST(m2.f || '-01' AS DATE), '%b') || ' to ' || strftime(CAST(m2.l || '-01' AS DATE), '%b %Y')
         ELSE strftime(CAST(m2.f || '-01' AS DATE), '%b %Y') || ' to ' || strftime(CAST(m2.l || '-01' AS DATE), '%b %Y') END AS span,
       round(median/38e0 - 1e0, 6) AS change
-    FROM g JOIN (SELECT company, min(year_month) AS f, max(year_month) AS l, count(DISTINCT year_month) AS months FROM c GROUP BY 1) m2 USING (company)""",
+    FROM g JOIN (SELECT company, min(year_month) AS f, max(year_month) AS l, count(DISTINCT year_month) AS months,
+      string_agg(DISTINCT year_month, ',' ORDER BY year_month) AS names FROM c GROUP BY 1) m2 USING (company)""",
 )
 _add(
     "company_profile", [_TRIPS],

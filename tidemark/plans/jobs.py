@@ -14,7 +14,7 @@ from tidemark.fixed_values import AIRPORT_NAMES, COHORT_HOUR
 from tidemark.operators.cohort import cohort_medians, cohort_trips
 from tidemark.plans import reports as plans
 from tidemark.sources import documents, reports
-from tidemark.sources.months import NO_ROWS, coverage, ingest, month_range, stored_months
+from tidemark.sources.months import NO_ROWS, TIME_FACT, coverage, ingest, month_range, read_fact, stored_months
 from tidemark.sources.trips import FEEDS, conform_all
 
 AIRPORT_ZONES = list(AIRPORT_NAMES)
@@ -60,6 +60,7 @@ def car_job(spark: SparkSession, feed_name: str, facts: str, zones: str, out: st
     cells = plans.car_report(spark, f"{facts}/{feed_name}", feed_name, named, AIRPORT_ZONES)
     cells.write.mode("overwrite").parquet(f"{out}/cells")
     reports.write_documents(reports.car_documents(spark.read.parquet(f"{out}/cells"), named), f"{out}/documents")
+    reports.write_documents(reports.corpus_document(read_fact(spark, f"{facts}/{feed_name}", TIME_FACT).where(F.col("source") == feed_name)), f"{out}/corpus")
 
 
 def segment_job(spark: SparkSession, datasets: dict[str, str], out: str) -> None:
@@ -84,6 +85,7 @@ def transit_job(spark: SparkSession, routes: str, segments: str, out: str) -> No
     plans.require_inputs(links, docs, ranges)
     journeys = plans.transit_journeys(documents.route_directions(docs), links, ranges)
     journeys.write.mode("overwrite").parquet(f"{out}/journeys")
+    reports.write_documents(reports.journey_documents(spark.read.parquet(f"{out}/journeys"), plans.fare_table(spark)), f"{out}/documents")
 
 
 def mapping_job(spark: SparkSession, polygons: str, stations: str, out: str, cell: float = 0.02, band: float = 0.002) -> None:
@@ -126,10 +128,12 @@ def cohort_job(
     if not files:
         raise RuntimeError("none of the wanted months is there")
     cohort_medians(cohort_trips(conform_all(files), airport, hour, origins)).write.mode("overwrite").parquet(out)
-    documents.require_rows(spark.read.parquet(out), "trips of the cohort")
+    found = documents.require_rows(spark.read.parquet(out), "trips of the cohort")
+    reports.write_documents(reports.cohort_documents(found), f"{out}_documents")
 
 
 def map_job(spark: SparkSession, polygons: str, out: str) -> None:
-    outlines, box = plans.map_shapes(read_shapes(spark, polygons))
-    outlines.write.mode("overwrite").json(f"{out}/zones")
+    shapes = read_shapes(spark, polygons)
+    outlines, box = plans.map_shapes(shapes)
+    outlines.join(shapes.select("pos", "borough"), "pos").write.mode("overwrite").json(f"{out}/zones")
     box.write.mode("overwrite").json(f"{out}/box")

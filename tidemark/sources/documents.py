@@ -113,7 +113,8 @@ def zone_shapes(rows: DataFrame, geometry: str = "the_geom") -> DataFrame:
     )
     has_coordinate = F.regexp_like(coordinates, F.lit("[0-9]"))
     return rows.where(F.col(geometry).isNotNull() & F.coalesce(has_coordinate, F.lit(False))).select(
-        "pos", F.col("locationid").cast("bigint").alias("zone"), "name", kind.alias("kind"), parts.alias("parts")
+        "pos", F.col("locationid").cast("bigint").alias("zone"), "name", kind.alias("kind"), parts.alias("parts"),
+        *(["borough"] if "borough" in rows.columns else []),
     )
 
 

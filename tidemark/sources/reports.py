@@ -6,6 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.fixed_values import CAR_EVIDENCE, SAMPLE_FLOOR
+
+#: What the modelled part of a journey assumes.
+WAIT_ASSUMPTION = "waits are uniform over the headway"
+
 CAR_FIELDS = ["n", "mean", "p50", "p90", "p95", "fare", "fare_p90"]
 
 
@@ -37,12 +42,36 @@ def comparison_documents(comparison: DataFrame) -> DataFrame:
         car.alias("car"), transit.alias("transit"), via.alias("via"), "transit_evidence",
     )
     maps = rows.groupBy("airport", "zone", "name", "borough", "via", "transit_evidence").agg(
-        _keyed("block", ["car", "transit", "lead_minutes", "verdict"]).alias("blocks")
+        _keyed("block", ["car", "transit", "lead_minutes", "verdict"]).alias("blocks"),
+        F.max(F.when(F.col("car").isNotNull(), F.lit(CAR_EVIDENCE))).alias("car_evidence"),
     )
-    body = F.struct("airport", "zone", "name", "borough", "blocks", "via", "transit_evidence")
+    body = F.struct("airport", "zone", "name", "borough", "blocks", "via", "transit_evidence", "car_evidence")
     return maps.select("airport", "zone", F.to_json(body).alias("document"))
 
 
+def corpus_document(time_fact: DataFrame, floor: int = SAMPLE_FLOOR) -> DataFrame:
+    """``source, document``: what a car report rests on."""
+    totals = time_fact.groupBy("source").agg(
+        F.sum("n").alias("weekday_trips"), F.array_sort(F.collect_set("year_month")).alias("months")
+    )
+    body = F.struct("source", "months", "weekday_trips", F.lit(floor).alias("sample_floor"), F.lit(CAR_EVIDENCE).alias("evidence"))
+    return totals.select("source", F.to_json(body).alias("document"))
+
+
+def journey_documents(journeys: DataFrame, fares: DataFrame) -> DataFrame:
+    """``airport, station, document``: the best journey of a station with its fare and evidence."""
+    body = F.struct(*journeys.columns, "transit_fare", F.lit(WAIT_ASSUMPTION).alias("assumption"))
+    return journeys.join(fares, "airport", "left").select("airport", "station", F.to_json(body).alias("document"))
+
+
+def cohort_documents(medians: DataFrame, group: str = "source") -> DataFrame:
+    """``source, document``: the pooled median of a feed and a map from month to its own."""
+    fields = ["median", "trips", "months", "month_list", "span", "change"]
+    return medians.groupBy(group).agg(_keyed("month", fields).alias("months")).select(
+        group, F.to_json(F.struct(group, "months")).alias("document")
+    )
+
+
 def leg_documents(summary: DataFrame, legs: DataFrame) -> DataFrame:
     """``route_id, document``: a bus leg with its blocks."""
     fields = ["cells", "buses_per_cell", "typical", "low", "high", "worst_cell"]
