@@ -5,6 +5,7 @@ import struct
 from collections import Counter
 
 import pytest
+from llm_tables import messy, written  # noqa: F401  (fixtures)
 from test_joins import WORD, brute_dedup, brute_groups, plain_fingerprint
 
 import corpus_pipeline

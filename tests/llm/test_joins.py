@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from llm_tables import messy, written  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
 from tidemark.llm import components, line_dedup, mih, simhash

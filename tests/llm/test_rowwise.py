@@ -4,6 +4,7 @@ import struct
 
 import numpy as np
 import pytest
+from llm_tables import messy, written  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays, bpe, chat, language, merkle, secret_scan

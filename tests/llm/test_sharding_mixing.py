@@ -3,6 +3,7 @@ import re
 import zlib
 
 import pytest
+from llm_tables import messy, written  # noqa: F401  (fixtures)
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, sharding
