@@ -142,11 +142,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     runs = repeated_runs(rows, min_words, "_key", "_text")
     lines = F.split("_text", "\n", -1)
     bounds = lambda x: F.concat(F.array(F.lit(0)), F.col("runs"), F.array(F.size(x)))
+    pairs = lambda b: F.sequence(F.lit(0), (F.size(b) / 2).cast("int") - 1)
     kept = let(
         lines,
         lambda x: let(
             bounds(x),
-            lambda b: F.flatten(F.transform(F.sequence(F.lit(0), (F.size(b) / 2).cast("int") - 1), lambda i: F.slice(x, b[2 * i] + 1, b[2 * i + 1] - b[2 * i]))),
+            lambda b: F.flatten(F.transform(pairs(b), lambda i: F.slice(x, b[2 * i] + 1, b[2 * i + 1] - b[2 * i]))),
         ),
     )
     new = F.when(F.col("runs").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))

@@ -42,7 +42,8 @@ def merkle_tree(text: Column) -> Column:
 def _sections(leaves: Column) -> Column:
     def cut(h: Column) -> Column:
         closing = F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: F.substr(h[i - 1], F.lit(1), F.lit(1)).isin("0", "4", "8", "c"))
-        return let(F.array_distinct(F.array_append(closing, F.size(h))), lambda ends: F.transform(ends, lambda e, j: section(h, F.coalesce(F.get(ends, j - 1), F.lit(0)), e)))
+        bounds = F.array_distinct(F.array_append(closing, F.size(h)))
+        return let(bounds, lambda ends: F.transform(ends, lambda e, j: section(h, F.coalesce(F.get(ends, j - 1), F.lit(0)), e)))
 
     def section(h: Column, start: Column, end: Column) -> Column:
         return let(F.slice(h, start + 1, end - start), lambda part: F.struct(F.sha2(F.array_join(part, ""), 256).alias("hash"), part.alias("leaves")))
@@ -76,10 +77,15 @@ def tail_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     slim = with_row(docs).select("_row", F.col(key).alias("_key"), F.length(text_of(text)).cast("long").alias("n"))
     placed = running_sums(slim, "n", ["_key", "_row"])
     rows = placed.count()
-    takers = placed.select(F.col("_row").alias("_taker"), F.col("_key"), F.expr("n div 4").alias("_k"), F.expr(f"(position + 1) % {max(rows, 1)}L").alias("_at"))
+    following = F.expr(f"(position + 1) % {max(rows, 1)}L")
+    takers = placed.select(F.col("_row").alias("_taker"), "_key", F.expr("n div 4").alias("_k"), following.alias("_at"))
     pairs = takers.join(placed.select("_row", F.col("position").alias("_at")), "_at").drop("_at")
     given = texts.join(pairs, "_row").select(
-        F.col("_taker").alias("_row"), "_key", "_k", F.substr("text", F.lit(1), F.col("_k").cast("int")).alias("_given"), merkle_tree(F.col("text"))["blocks"].alias("next_blocks")
+        F.col("_taker").alias("_row"),
+        "_key",
+        "_k",
+        F.substr("text", F.lit(1), F.col("_k").cast("int")).alias("_given"),
+        merkle_tree(F.col("text"))["blocks"].alias("next_blocks"),
     )
     kept = F.substr("text", F.lit(1), F.length("text") - F.col("_k").cast("int"))
     return texts.join(given, "_row").select("_row", F.col("_key").alias(key), "text", F.concat(kept, "_given").alias("edited"), "next_blocks")

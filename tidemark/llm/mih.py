@@ -203,7 +203,10 @@ def search(vectors: DataFrame, asked: Column, k: int, key: str = "vec_id", vecto
     """``query_id``, ``rank`` (from 1), key and ``score`` of the k nearest of each row where ``asked`` holds."""
     ship_package(vectors.sparkSession)
     numbered = vectors.withColumn("_row", F.monotonically_increasing_id()).where(usable(F.col(vector))).select(
-        "_row", F.coalesce(F.col(key), F.lit(_LAST)).cast("long").alias("_key"), F.col(vector).cast("array<double>").alias("_vector"), F.coalesce(asked, F.lit(False)).alias("_asked")
+        "_row",
+        F.coalesce(F.col(key), F.lit(_LAST)).cast("long").alias("_key"),
+        F.col(vector).cast("array<double>").alias("_vector"),
+        F.coalesce(asked, F.lit(False)).alias("_asked"),
     )
     rows = checkpointed(numbered)  # the numbers are given once
     lengths = rows.groupBy(F.size("_vector").alias("n")).count().orderBy(F.desc("count"), "n").first()

@@ -113,7 +113,7 @@ def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_document_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     edits = merkle.tail_edits(table(spark, sf, "documents"))
-    trees = edits.select("doc_id", "text", "edited", "next_blocks", merkle.merkle_tree(F.col("text")).alias("a"), merkle.merkle_tree(F.col("edited")).alias("b"))
+    trees = edits.withColumn("a", merkle.merkle_tree(F.col("text"))).withColumn("b", merkle.merkle_tree(F.col("edited")))
     return trees.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

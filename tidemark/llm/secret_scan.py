@@ -132,7 +132,11 @@ def match_spans(text: Column, rule: Rule, rank: int) -> Column:
 
     def spans(x: Column) -> Column:
         lengths = F.flatten(F.transform(x["whole"], lambda m, i: F.array(F.length(x["between"][i]), F.length(m))))
-        placed = lambda ends: F.transform(x["kept"], lambda k, i: F.struct(ends[2 * i].alias("start"), F.lit(rank).alias("rule"), ends[2 * i + 1].alias("end"), F.length(k).alias("kept")))
+
+        def placed(ends: Column) -> Column:
+            span = lambda k, i: (ends[2 * i].alias("start"), F.lit(rank).alias("rule"), ends[2 * i + 1].alias("end"), F.length(k).alias("kept"))
+            return F.transform(x["kept"], lambda k, i: F.struct(*span(k, i)))
+
         return F.filter(let(running(lengths), placed), lambda s: s["kept"] >= rule.least)
 
     return let(found, spans)
