@@ -47,17 +47,23 @@ LEAF = 64
 METRICS = ((0x00000000FFFFFFFF, 1), (0xFFFFFFFF00000000, 1), (0xFFFFFFFFFFFFFFFF, RADIUS))
 
 
-def fingerprint(text: str | None) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """Hashes of a text's word shingles, repeats included; a shorter text is one shingle, one without words none."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # on bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return []
     digest = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        hashes = [digest(b" ".join(words), SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-        joined, starts = b" ".join(words), [0, *ends]
-        hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :], strict=False)]
+    if len(words) <= shingle:
+        return [digest(b" ".join(words), SEED)]
+    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+    joined, starts = b" ".join(words), [0, *ends]
+    return [digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
+
+
+def fingerprint(text: str | None) -> int:
+    hashes = shingle_hashes(text)
+    if not hashes:
+        return 0
     array = np.array(hashes, ">u8")
     ones = np.zeros(64, np.int64)
     for part in np.array_split(array, len(array) // 65536 + 1):
