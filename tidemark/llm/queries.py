@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, language, line_dedup, merkle, mih, mixing, secret_scan, sharding, simhash
+from tidemark.llm import bpe, chat, language, line_dedup, merkle, mih, mixing, secret_scan, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -143,3 +143,9 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.groups(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op11_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    left = substring_dedup.dedup_substrings(table(spark, sf, "documents").select("doc_id", "text"), substring_dedup.WINDOW)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
