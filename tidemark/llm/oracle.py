@@ -127,3 +127,97 @@ FROM edited x
 JOIN roots ra ON ra.doc_id = x.doc_id AND ra.side = 'a' JOIN roots rb ON rb.doc_id = x.doc_id AND rb.side = 'b'
 JOIN blocks a ON a.doc_id = x.doc_id AND a.side = 'a' JOIN blocks b ON b.doc_id = x.doc_id AND b.side = 'b' JOIN blocks n ON n.doc_id = x.doc_id AND n.side = 'n'
 """
+
+ORACLE["op11_substring_dedup"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM words WHERE len(w) >= 20),
+marked AS (
+    SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s:s + 19], ' ') ORDER BY doc_id, s) AS n FROM starts),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM marked WHERE n > 1),
+dropped AS (SELECT doc_id, list(i) AS gone, count(*) AS n FROM gone GROUP BY doc_id),
+spread AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+kept AS (
+    SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS body
+    FROM spread x ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY x.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
+FROM words d LEFT JOIN dropped r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
+def _plus(value: str, cost: str, edit: str) -> str:
+    """A (cost, audit) written as eight digits and the audit, after one more edit; null stays null."""
+    return f"(lpad(({value}[1:8]::INT + {cost})::VARCHAR, 8, '0') || {value}[9:] || '{edit}')"
+
+
+def _rows_edited() -> str:
+    """For each state the least value after the next row: deleted, given another role, or kept."""
+    after = {"a0": [], "a1": ["a0"], "a2": ["a0", "a1", "a3"], "a3": ["a2"]}
+    letter, out = {"a1": "s", "a2": "u", "a3": "a"}, []
+    for state, before in after.items():
+        ways = [_plus(f"p.{state}", "4", "D")]
+        for b in before:
+            if state != "a1":
+                ways.append(f"CASE WHEN r.fault IN ('t', '-') THEN {_plus(f'p.{b}', '3 + r.more', 'R')} END")
+            ways.append(f"CASE WHEN r.fault IN ('t', '-') AND r.i = '{letter[state]}' THEN {_plus(f'p.{b}', 'r.more', 'K')} END")
+        out.append(f"least({', '.join(ways)}) AS {state}" if len(ways) > 1 else f"{ways[0]} AS {state}")
+    return ", ".join(out)
+
+
+_INSERTED_USER = f"least(a2, {_plus('a0', '3', 'I')}, {_plus('a1', '3', 'I')}, {_plus('a3', '3', 'I')})"
+
+_AFTER_INSERTS = f"a0, a1, u AS a2, least(a3, {_plus('u', '3', 'I')}) AS a3"
+
+ORACLE["op13_conversation_repair"] = rf"""
+WITH RECURSIVE tab AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) r(i))),
+bytes AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        list_transform(regexp_extract_all(hex(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')), '..'), lambda h: ('0x' || h)::BIGINT) AS b
+    FROM conversations),
+kinds AS (
+    SELECT * EXCLUDE b, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS kind
+    FROM bytes, tab),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM kinds, range(2) twice(k) WHERE kind <> 0 AND (k = 0 OR kind = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM damaged),
+faulty AS (
+    SELECT conv_id, turn, n, role, text, left(role, 1) AS i,
+        CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd'
+            WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 't' ELSE '-' END AS fault,
+        lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair
+    FROM placed),
+rows_ AS (SELECT *, CASE fault WHEN 't' THEN 3 ELSE 0 END AS more FROM faulty),
+ways AS (
+    SELECT conv_id, 0::BIGINT AS n, '00000000' AS a0, NULL::VARCHAR AS a1, '00000003I' AS a2, '00000006II' AS a3
+    FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, n, {_AFTER_INSERTS} FROM (
+        SELECT *, {_INSERTED_USER} AS u FROM (
+            SELECT r.conv_id, r.n, {_rows_edited()}
+            FROM ways p JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.n = p.n + 1))),
+best AS (SELECT conv_id, arg_max(least(a0, a3), n) AS v FROM ways GROUP BY conv_id),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+        count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM rows_ GROUP BY conv_id),
+edits AS (SELECT conv_id, v[9:] AS audit, unnest(range(1, length(v) - 7)) AS j FROM best),
+used AS (
+    SELECT conv_id, j, audit[j] AS e, length(replace(audit[1:j], 'I', '')) AS n, length(replace(audit[1:j - 1], 'D', '')) AS given, audit FROM edits),
+given AS (
+    SELECT x.conv_id, j, r.text, r.role, e, given - (max(CASE WHEN e = 'K' AND left(r.role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY x.conv_id)) AS turn_no
+    FROM used x LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.n = x.n WHERE e <> 'D'),
+lines AS (
+    SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role || ':' || text ELSE
+        (CASE WHEN turn_no % 2 = 0 THEN 'user:' ELSE 'assistant:' END) || (CASE WHEN e = 'R' THEN text ELSE '' END) END, chr(10) ORDER BY j) AS body
+    FROM given GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, v[1:8]::BIGINT AS cost, v[9:] AS audit,
+    sha256(coalesce(body, '')) AS repaired_sha256
+FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
