@@ -143,6 +143,36 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_remo
 FROM words d LEFT JOIN dropped r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+ORACLE["op12_collocations"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+        string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p
+    FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(u.p, '[^\x20\x09]+') AS w FROM docs, LATERAL (SELECT unnest(docs.p) AS p) u),
+grams AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 5) ks(k) WHERE len(w) >= k)),
+counts AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+split AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counts),
+covered AS (
+    SELECT DISTINCT s.lang, s.phrase
+    FROM split s JOIN (
+        SELECT lang, f, k, w, m, i, array_to_string(w[i:i + m - 1], ' ') AS inner_
+        FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM split, range(2, 4) ms(m) WHERE m < k)) x
+    ON x.lang = s.lang AND x.inner_ = s.phrase WHERE 100 * x.f >= 80 * s.f),
+cuts AS (
+    SELECT s.lang, s.phrase, s.f AS a, c, l.f AS l, r.f AS r, (2000000 * s.f) // (l.f + r.f) AS score
+    FROM split s, range(1, 4) cs(c), counts l, counts r
+    WHERE c < s.k AND l.lang = s.lang AND l.phrase = array_to_string(s.w[1:c], ' ') AND r.lang = s.lang AND r.phrase = array_to_string(s.w[c + 1:], ' ')),
+least_ AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS nth FROM cuts),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+    FROM least_ x ANTI JOIN covered y ON y.lang = x.lang AND y.phrase = x.phrase WHERE nth = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 
 def _plus(value: str, cost: str, edit: str) -> str:
     """A (cost, audit) written as eight digits and the audit, after one more edit; null stays null."""
@@ -186,9 +216,11 @@ damaged AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM damaged),
 faulty AS (
     SELECT conv_id, turn, n, role, text, left(role, 1) AS i,
-        CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+        CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b'
             WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd'
-            WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 't' ELSE '-' END AS fault,
+            WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 't' ELSE '-' END AS fault,
         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) || left(role, 1) AS pair
     FROM placed),
 rows_ AS (SELECT *, CASE fault WHEN 't' THEN 3 ELSE 0 END AS more FROM faulty),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, conversation_repair, language, line_dedup, merkle, mih, mixing, secret_scan, sharding, simhash, substring_dedup
+from tidemark.llm import bpe, chat, collocations, conversation_repair, language, line_dedup, merkle, mih, mixing, secret_scan, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -151,6 +151,11 @@ def op11_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents").select("lang", "text"))
+
+
 @query
 def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(table(spark, sf, "conversations")))[0]
