@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import TOP_MINUTE, WHOLE_DAY
+from tidemark.functions.binarrays import convolved
 
 WEIGHT = "decimal(38,0)"
 
@@ -117,20 +118,30 @@ def array_quantiles(hist: DataFrame, keys: Sequence[str], bin_col: str, quantile
     return packed.select(*keys, "n", *[reached(q).alias(name) for name, q in quantiles.items()])
 
 
+def packed(hist: DataFrame, keys: Sequence[str], bin_col: str, top: int, name: str) -> DataFrame:
+    """One row per key with its histogram as a dense array ``name`` of ``top + 1`` wide counts."""
+    capped = F.least(F.col(bin_col).cast("int"), F.lit(top))
+    counts = hist.groupBy(*keys, capped.alias("_bin")).agg(F.sum(F.col("n").cast(WEIGHT)).cast(WEIGHT).alias("_n"))
+    entries = F.map_from_entries(F.collect_list(F.struct("_bin", "_n")))
+    zero = F.lit(0).cast(WEIGHT)
+    dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(top)), lambda i: F.coalesce(F.try_element_at(m, i), zero))
+    return counts.groupBy(*keys).agg(entries.alias("_m")).select(*keys, dense(F.col("_m")).alias(name))
+
+
+def unpacked(rows: DataFrame, keys: Sequence[str], counts: Column, bin_col: str) -> DataFrame:
+    """The long form of histograms held as dense arrays, without empty bins."""
+    return rows.select(*keys, F.posexplode(counts).alias(bin_col, "n")).where("n > 0")
+
+
 def convolve(left: DataFrame, right: DataFrame, keys: Sequence[str], bin_col: str = "bin", top: int = TOP_MINUTE) -> DataFrame:
     """Distribution of the sum of two independent legs, overflow in the top bin.
 
-    Both sides hold at most one row per key and bin, so a key meets in at most
-    ``(top + 1)**2`` rows. Weights are wide decimals: products of counts outgrow bigint.
+    Each side becomes one array of ``top + 1`` counts per key, and the sum is worked out inside
+    the row where the two meet: no pair of bins is ever a row. Weights are wide decimals, as
+    products of counts outgrow bigint.
     """
-    a = left.select(*keys, F.col(bin_col).alias("_i"), F.col("n").cast(WEIGHT).alias("_n"))
-    b = right.select(*keys, F.col(bin_col).alias("_j"), F.col("n").cast(WEIGHT).alias("_m"))
-    shifted = F.least(F.col("_i") + F.col("_j"), F.lit(top)).cast("int")
-    return (
-        a.join(b, list(keys))
-        .groupBy(*keys, shifted.alias(bin_col))
-        .agg(F.sum((F.col("_n") * F.col("_m")).cast(WEIGHT)).cast(WEIGHT).alias("n"))
-    )
+    both = packed(left, keys, bin_col, top, "_left").join(packed(right, keys, bin_col, top, "_right"), list(keys))
+    return unpacked(both, keys, convolved(F.col("_left"), F.col("_right"), WEIGHT), bin_col)
 
 
 def convolve_uniform(

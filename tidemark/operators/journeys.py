@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import SAMPLE_FLOOR, TOP_MINUTE
-from tidemark.operators.histograms import convolve, headway, summarise, uniform_pair
+from tidemark.functions.binarrays import first_bins, uniform_sum
+from tidemark.operators.histograms import headway, unpacked
 
 OVERHEAD_KEYS = ["headway", "transfer_low", "transfer_high", "wait_low", "wait_high", "ride_low", "ride_high"]
 JOURNEY_KEYS = ["airport", "station", "link_pos", "route_pos"]
@@ -58,6 +59,12 @@ def with_link_ride(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
+def _overhead(top: int) -> Column:
+    """Counts of wait + transfer + link wait + link ride of a cell, as one dense array."""
+    legs = [(F.lit(0), F.col("headway"))] + [(F.col(f"{leg}_low"), F.col(f"{leg}_high")) for leg in ("transfer", "wait", "ride")]
+    return uniform_sum(legs, top)
+
+
 def overheads(cells: DataFrame, top: int = TOP_MINUTE) -> DataFrame:
     """Distribution of wait + transfer + link wait + link ride per distinct combination.
 
@@ -65,25 +72,23 @@ def overheads(cells: DataFrame, top: int = TOP_MINUTE) -> DataFrame:
     than once per cell, and its size follows the model rather than the data.
     """
     combos = cells.select(*OVERHEAD_KEYS).distinct()
-    street = uniform_pair(
-        combos, OVERHEAD_KEYS, (F.lit(0), F.col("headway")), (F.col("transfer_low"), F.col("transfer_high")), "bin", top
-    )
-    link = uniform_pair(
-        combos, OVERHEAD_KEYS, (F.col("wait_low"), F.col("wait_high")), (F.col("ride_low"), F.col("ride_high")), "bin", top
-    )
-    return convolve(street, link, OVERHEAD_KEYS, "bin", top)
+    return unpacked(combos, OVERHEAD_KEYS, _overhead(top), "bin")
 
 
 def door_to_door(cells: DataFrame, top: int = TOP_MINUTE) -> DataFrame:
-    """Measured ride percentiles plus overhead percentiles: the cautious sum."""
-    cells = cells.withColumn("headway", headway(F.col("median_wait")))
-    modelled = summarise(
-        overheads(cells, top), OVERHEAD_KEYS, "bin", {"overhead_p50": 0.5, "overhead_p90": 0.9}
-    ).drop("n")
+    """Measured ride percentiles plus overhead percentiles: the cautious sum.
+
+    The overhead is worked out inside each cell's row, so the cells are read once and not joined.
+    """
     return (
-        cells.join(modelled, OVERHEAD_KEYS)
+        cells.withColumn("headway", headway(F.col("median_wait")))
+        .withColumn("_over", first_bins(_overhead(top), (0.5, 0.9)))
+        .where(F.col("_over").isNotNull())
+        .withColumn("overhead_p50", F.col("_over")[0])
+        .withColumn("overhead_p90", F.col("_over")[1])
         .withColumn("door_p50", F.col("ride_p50") + F.col("overhead_p50"))
         .withColumn("door_p90", F.col("ride_p90") + F.col("overhead_p90"))
+        .drop("_over")
     )
 
 

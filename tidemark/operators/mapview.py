@@ -144,26 +144,18 @@ def tap_radius(frame_width: float, screen_width: float, pixels: int = TAP_RADIUS
 def shade(comparison: DataFrame, value: Column) -> DataFrame:
     """Colour step and legend ends per airport, block and zone.
 
-    Values are whole minutes, so an airport and block has at most one row per minute
-    once counted; the breaks are found there and joined back.
+    An airport and block has at most one row per zone; its values are ranked there, and the breaks
+    are read off the ranks in the same partitioning: the comparison is worked out once.
     """
     keys = ["airport", "block"]
-    valued = comparison.select(*keys, "zone", value.alias("value")).where(F.col("value").isNotNull())
-    counted = valued.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
-    by_value = Window.partitionBy(*keys).orderBy("value")
-    ranked = counted.select(
-        *keys, "value",
-        F.sum("_n").over(by_value.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_seen"),
-        F.sum("_n").over(by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"),
+    whole = Window.partitionBy(*keys)
+    ranked = comparison.select(*keys, "zone", value.alias("value")).where(F.col("value").isNotNull()).select(
+        *keys, "zone", "value",
+        (F.row_number().over(whole.orderBy("value")) - 1).alias("_rank"), F.count(F.lit(1)).over(whole).alias("_n"),
     )
-    names = [f"break_{i + 1}" for i in range(len(SHADE_BREAKS))]
-    breaks = ranked.groupBy(*keys).agg(
-        *[
-            F.min(F.when(F.col("_seen") > F.floor(F.lit(q) * (F.col("_all") - 1)), F.col("value"))).alias(name)
-            for q, name in zip(SHADE_BREAKS, names)
-        ],
-        F.min("value").alias("legend_low"),
-        F.max("value").alias("legend_high"),
+    at_rank = [F.max(F.when(F.col("_rank") == F.floor(F.lit(q) * (F.col("_n") - 1)), F.col("value"))).over(whole) for q in SHADE_BREAKS]
+    breaks = ranked.select(
+        *keys, "zone", "value", F.array(*at_rank).alias("_breaks"), F.min("value").over(whole).alias("legend_low"), F.max("value").over(whole).alias("legend_high")
     )
-    step = sum((F.col("value") > F.col(name)).cast("int") for name in names)
-    return valued.join(breaks, keys).select(*keys, "zone", "value", step.alias("step"), "legend_low", "legend_high")
+    step = F.size(F.filter("_breaks", lambda b: F.col("value") > b))
+    return breaks.select(*keys, "zone", "value", step.alias("step"), "legend_low", "legend_high")

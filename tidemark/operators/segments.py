@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import SEGMENT_ROW_FLOOR, WORKING_DAYS
 from tidemark.functions.measures import round_even_1
 from tidemark.functions.timeblocks import block_of_clock
-from tidemark.operators.quantiles import LOWER, exact_quantiles
 
 LEG_KEYS = ["route_id", "direction", "stop_order"]
 
@@ -29,21 +28,30 @@ def _working_rows(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("day_of_week").isin(*WORKING_DAYS)).withColumn("block", block_of_clock(F.col("hour_of_day")))
 
 
+def _rank(values: Column, q: float, linear: bool) -> Column:
+    """Value of a sorted array at rank ``q*(n-1)``: the rank below, or between the two nearest."""
+    place = F.lit(q) * (F.size(values) - 1).cast("double")
+    below, above = (F.get(values, f(place).cast("int")) for f in (F.floor, F.ceil))
+    share = place - F.floor(place)
+    return below * (F.lit(1.0) - share) + above * share if linear else below
+
+
 def leg_blocks(rows: DataFrame, floor: int = SEGMENT_ROW_FLOOR) -> DataFrame:
-    """``route_id, block, cells, buses_per_cell, typical, low, high, worst_cell``, one decimal."""
-    working = _working_rows(rows)
+    """``route_id, block, cells, buses_per_cell, typical, low, high, worst_cell``, one decimal.
+
+    A leg has one row per month, weekday and hour, so a block's values are as many as its
+    calendar has such cells and fit in one sorted array: one scan and one shuffle.
+    """
     keys = ["route_id", "block"]
-    buses = working.groupBy(*keys).agg(
-        (F.sum("bus_trip_count").cast("double") / F.count(F.lit(1)).cast("double")).alias("buses_per_cell")
+    minutes = F.array_sort(F.collect_list("average_travel_time"))
+    per_block = _working_rows(rows).groupBy(*keys).agg(
+        minutes.alias("_minutes"), (F.sum("bus_trip_count").cast("double") / F.count(F.lit(1)).cast("double")).alias("buses_per_cell")
     )
-    spread = exact_quantiles(
-        working, keys, "average_travel_time",
-        {"typical": 0.5, "low": (0.1, LOWER), "high": (0.9, LOWER), "worst_cell": (1.0, LOWER)},
-        F.floor("average_travel_time"),
-    ).withColumnRenamed("n", "cells")
-    rounded = ("buses_per_cell", "typical", "low", "high", "worst_cell")
-    return spread.where(F.col("cells") >= floor).join(buses, keys).select(
-        *keys, "cells", *[round_even_1(F.col(c)).alias(c) for c in rounded]
+    values = F.col("_minutes")
+    found = {"typical": _rank(values, 0.5, True), "low": _rank(values, 0.1, False), "high": _rank(values, 0.9, False), "worst_cell": F.element_at(values, -1)}
+    return per_block.where(F.size(values) >= F.greatest(F.lit(floor), F.lit(1))).select(
+        *keys, F.size(values).cast("bigint").alias("cells"),
+        round_even_1(F.col("buses_per_cell")).alias("buses_per_cell"), *[round_even_1(c).alias(name) for name, c in found.items()],
     )
 
 
