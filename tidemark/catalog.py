@@ -219,8 +219,7 @@ def zone_dimension(spark, sf):
 
 @query
 def unit_ratio_guard(spark, sf):
-    checks = months.check_counts(usable_trips(derived.trips(spark, sf), AIRPORTS))
-    report = guards.unit_ratio_report(checks, months.MONTH_KEYS, weight="n")
+    report = guards.unit_ratio_report(usable_trips(derived.trips(spark, sf), AIRPORTS), months.MONTH_KEYS)
     return report.withColumn("ratio", F.round("ratio", 9))
 
 
@@ -439,7 +438,7 @@ def cohort_medians(spark, sf):
 def company_profile(spark, sf):
     trips = derived.trips(spark, sf).where(F.col("airport") == 0)
     dollars = {"avg_fare": F.sum(F.round(F.col("fare") * 100).cast("bigint")).cast("double") / F.count(F.lit(1)).cast("double") / 100.0}
-    found = cohort.profile(trips, "company", "duration_s", {"median": 0.5, "p90": 0.9}, 60, dollars)
+    found = cohort.profile(trips, "company", {"time": F.col("duration_s")}, {"median": ("time", 0.5), "p90": ("time", 0.9)}, dollars)
     return found.select(
         "company", "trips", F.round(F.col("median") / 60.0, 4).alias("median_min"), F.round(F.col("p90") / 60.0, 4).alias("p90_min"),
         F.round("avg_fare", 4).alias("avg_fare"),
@@ -449,9 +448,9 @@ def company_profile(spark, sf):
 @query
 def hour_profile(spark, sf):
     trips = derived.raw_trips(spark, sf).where((F.col("airport") == 0) & is_working_day(F.col("pickup"))).withColumn("hour", F.hour("pickup"))
-    time = cohort.profile(trips, "hour", "trip_time", {"median": 0.5, "p90": 0.9}, 60, {})
-    miles = cohort.profile(trips, "hour", "miles_hundredths", {"miles": 0.5}, 100, {}).drop("trips")
-    return time.join(miles, "hour").select(
+    values = {"time": F.col("trip_time"), "miles": F.col("miles_hundredths")}
+    found = cohort.profile(trips, "hour", values, {"median": ("time", 0.5), "p90": ("time", 0.9), "miles": ("miles", 0.5)})
+    return found.select(
         "hour", "trips", F.round(F.col("median") / 60.0, 4).alias("median_min"), F.round(F.col("p90") / 60.0, 4).alias("p90_min"),
         F.round(F.col("miles") / 100.0, 4).alias("median_miles"),
     )

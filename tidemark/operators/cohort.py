@@ -9,6 +9,7 @@ from tidemark.fixed_values import COHORT_BASELINE_MINUTES, COHORT_HOUR
 from tidemark.functions.measures import month_span, round_even_0
 from tidemark.functions.timeblocks import is_working_day
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.selection import few_group_quantiles
 from tidemark.sources.trips import duration_in_range
 
 POOLED = "all"
@@ -87,10 +88,6 @@ def component_medians(rows: DataFrame, keys: list[str], components: dict[str, Co
     return counts.join(wide, keys, "left")
 
 
-def profile(
-    trips: DataFrame, key: str, value: str, quantiles: dict[str, float], bucket_width: float, extra: dict[str, Column]
-) -> DataFrame:
-    """Count, interpolated quantiles of a value and plain aggregates per key."""
-    found = exact_quantiles(trips, [key], value, quantiles, F.floor(F.col(value) / F.lit(float(bucket_width)))).drop("n")
-    plain = trips.groupBy(key).agg(F.count(F.lit(1)).alias("trips"), *[c.alias(n) for n, c in extra.items()])
-    return plain.join(found, key, "left")
+def profile(trips: DataFrame, key: str, values: dict[str, Column], quantiles: dict[str, tuple[str, float]], extra: dict[str, Column] | None = None) -> DataFrame:
+    """Count, interpolated quantiles of several values and plain aggregates per key, in two scans; keys are few."""
+    return few_group_quantiles(trips, [key], values, quantiles, {"trips": F.count(F.lit(1)), **(extra or {})})

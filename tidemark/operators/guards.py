@@ -14,6 +14,7 @@ from tidemark.fixed_values import (
 )
 from tidemark.functions.measures import implied_minutes
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.selection import few_group_quantiles
 
 
 class GuardFailure(RuntimeError):
@@ -25,24 +26,28 @@ def unit_ratio_report(trips: DataFrame, keys: list[str], weight: str | None = No
 
     ``weight`` names the count column when the trips are already counted per
     duration and gap. ``wanted`` holds the keys that have to be there: one without
-    any trip is reported as having no usable rows.
+    any trip is reported as having no usable rows. Without a weight the keys must be
+    few (months, feeds): the trips are then read twice and hardly shuffled.
     """
     is_long = F.coalesce(F.col("duration_s") > UNIT_RATIO_MIN_SECONDS, F.lit(False))
-    stands_for = F.col(weight) if weight else F.lit(1)
-    counts = trips.groupBy(*keys).agg(F.sum(F.when(is_long, stands_for).otherwise(0)).alias("checked"))
     ratio = F.try_divide(F.col("duration_s").cast("double"), F.col("gap_s").cast("double"))
-    long_trips = trips.where(is_long).select(*keys, ratio.alias("ratio"), *([weight] if weight else []))
-    bucket = F.floor(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col("ratio"))) * F.lit(256.0))
-    median = exact_quantiles(long_trips, keys, "ratio", {"ratio": 0.5}, bucket, weight=weight).drop("n")
     low, high = UNIT_RATIO_BOUNDS
+    if weight:
+        counts = trips.groupBy(*keys).agg(F.sum(F.when(is_long, F.col(weight)).otherwise(0)).alias("checked"))
+        long_trips = trips.where(is_long).select(*keys, ratio.alias("ratio"), weight)
+        bucket = F.floor(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col("ratio"))) * F.lit(256.0))
+        median = exact_quantiles(long_trips, keys, "ratio", {"ratio": 0.5}, bucket, weight=weight).drop("n")
+        found = counts.join(median, keys, "left")
+    else:
+        found = few_group_quantiles(trips, keys, {"ratio": F.when(is_long, ratio)}, {"ratio": ("ratio", 0.5)}, {"checked": F.count_if(is_long)})
+    if wanted is not None:
+        found = wanted.select(*keys).distinct().join(found, keys, "left").fillna(0, ["checked"])
     status = (
         F.when(F.col("checked") == 0, "no usable rows")
         .when(F.coalesce(F.col("ratio").between(low, high), F.lit(False)), "ok")
         .otherwise("unit changed")
     )
-    if wanted is not None:
-        counts = wanted.select(*keys).distinct().join(counts, keys, "left").fillna(0, ["checked"])
-    return counts.join(median, keys, "left").select(*keys, "checked", "ratio", status.alias("status"))
+    return found.select(*keys, "checked", "ratio", status.alias("status"))
 
 
 def segment_unit_report(rows: DataFrame, keys: list[str], wanted: DataFrame | None = None) -> DataFrame:
