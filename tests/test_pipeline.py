@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.fixed_values import RAIL_LINKS
 from tidemark.operators import cells, cohort, compare, guards, journeys, mapview, segments, tripbins
 from tidemark.plans import reports as plans
-from tidemark.sources import documents, months, reports
+from tidemark.sources import documents, manifest, months, reports
 from tidemark.sources.trips import FEEDS, RIDE_HAIL, YELLOW, conform, fare_columns, read_months, spellings, usable_trips
 
 MONDAY = datetime(2026, 3, 2, 10, 15)
@@ -354,3 +354,57 @@ def test_unreadable_numbers_fail_the_guard(spark):
     wanted = spark.createDataFrame([("d", "Q"), ("e", "Q")], "dataset string, route_id string")
     report = {r.dataset: (r.usable, r.unparsed, r.status) for r in guards.segment_unit_report(typed, ["dataset", "route_id"], wanted).collect()}
     assert report == {"d": (12, 1, "unparsed rows"), "e": (0, 0, "too few rows")}
+
+
+# ---- versions of what is stored --------------------------------------------------
+
+
+def stored(spark, out):
+    return sorted(tuple(r) for r in months._stored(spark, out).select("fact", "year_month", "airport", "n").collect())
+
+
+def two_months(spark, n):
+    later = ride_hail(spark, [(161, 132, MONDAY + timedelta(days=35), 1500, 50.0, 0.0)] * n)
+    return conform(april(spark, n).unionByName(later), RIDE_HAIL)
+
+
+def test_a_reader_sees_the_old_state_while_partitions_are_replaced(spark, tmp_path, monkeypatch):
+    out, wanted = str(tmp_path / "facts"), months.month_range(spark, "2026-03", "2026-04")
+    months.ingest(two_months(spark, 40), wanted, [132], out)
+    before = stored(spark, out)
+    assert {r[1] for r in before} == {"2026-03", "2026-04"}
+
+    def cut_off(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(months, "_publish", cut_off)
+        with pytest.raises(RuntimeError, match="lost"):
+            months.ingest(two_months(spark, 55), wanted, [132], out, force=True)
+    new = manifest.stored_files(spark, out, months.PARTITIONS) - set(manifest.current(spark, out).files)
+    assert len(new) == 4 and stored(spark, out) == before
+    (tmp_path / "facts" / min(new)).unlink()  # cut off between two partitions
+    assert stored(spark, out) == before
+    months.ingest(two_months(spark, 55), wanted, [132], out, force=True)
+    assert {r[3] for r in stored(spark, out)} == {55}
+
+
+def test_a_reader_that_has_begun_finishes_on_its_version(spark, tmp_path):
+    out, wanted = str(tmp_path / "facts"), months.month_range(spark, "2026-03")
+    months.ingest(conform(april(spark, 40), RIDE_HAIL), wanted, [132], out)
+    begun = months.stored_counts(spark, out)
+    months.ingest(conform(april(spark, 55), RIDE_HAIL), wanted, [132], out, force=True)
+    assert begun.first().trips == 40 and months.stored_counts(spark, out).first().trips == 55
+    assert manifest.sweep(spark, out, months.PARTITIONS) == []
+    months.ingest(conform(april(spark, 60), RIDE_HAIL), wanted, [132], out, force=True)
+    gone = manifest.sweep(spark, out, months.PARTITIONS)
+    assert len(gone) == 2 and months.stored_counts(spark, out).first().trips == 60
+
+
+def test_a_second_writer_is_refused(spark, tmp_path):
+    out = str(tmp_path / "facts")
+    first = manifest.publish(spark, out, ["a"], None)
+    manifest.publish(spark, out, ["b"], first)
+    with pytest.raises(RuntimeError, match="someone else"):
+        manifest.publish(spark, out, ["c"], first)
+    assert manifest.current(spark, out) == manifest.Version(1, ("b",))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import (
@@ -13,7 +13,6 @@ from tidemark.fixed_values import (
     UNIT_RATIO_MIN_SECONDS,
 )
 from tidemark.functions.measures import implied_minutes
-from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.selection import few_group_quantiles
 
 
@@ -21,25 +20,17 @@ class GuardFailure(RuntimeError):
     """Raised with the failing rows when a report is enforced."""
 
 
-def unit_ratio_report(trips: DataFrame, keys: list[str], weight: str | None = None, wanted: DataFrame | None = None) -> DataFrame:
+def unit_ratio_report(trips: DataFrame, keys: list[str], wanted: DataFrame | None = None) -> DataFrame:
     """Median of duration over timestamp gap per key, for trips long enough to tell.
 
-    ``weight`` names the count column when the trips are already counted per
-    duration and gap. ``wanted`` holds the keys that have to be there: one without
-    any trip is reported as having no usable rows. Without a weight the keys must be
-    few (months, feeds): the trips are then read twice and hardly shuffled.
+    The keys are few (months, feeds): the trips are read twice and hardly shuffled.
+    ``wanted`` holds the keys that have to be there: one without any trip is reported as
+    having no usable rows.
     """
     is_long = F.coalesce(F.col("duration_s") > UNIT_RATIO_MIN_SECONDS, F.lit(False))
     ratio = F.try_divide(F.col("duration_s").cast("double"), F.col("gap_s").cast("double"))
     low, high = UNIT_RATIO_BOUNDS
-    if weight:
-        counts = trips.groupBy(*keys).agg(F.sum(F.when(is_long, F.col(weight)).otherwise(0)).alias("checked"))
-        long_trips = trips.where(is_long).select(*keys, ratio.alias("ratio"), weight)
-        bucket = F.floor(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col("ratio"))) * F.lit(256.0))
-        median = exact_quantiles(long_trips, keys, "ratio", {"ratio": 0.5}, bucket, weight=weight).drop("n")
-        found = counts.join(median, keys, "left")
-    else:
-        found = few_group_quantiles(trips, keys, {"ratio": F.when(is_long, ratio)}, {"ratio": ("ratio", 0.5)}, {"checked": F.count_if(is_long)})
+    found = few_group_quantiles(trips, keys, {"ratio": F.when(is_long, ratio)}, {"ratio": ("ratio", 0.5)}, {"checked": F.count_if(is_long)})
     if wanted is not None:
         found = wanted.select(*keys).distinct().join(found, keys, "left").fillna(0, ["checked"])
     status = (
@@ -77,9 +68,16 @@ def segment_unit_report(rows: DataFrame, keys: list[str], wanted: DataFrame | No
     return counts.withColumn("status", status)
 
 
-def enforce(report: DataFrame, accepted: tuple[str, ...] = ("ok",)) -> DataFrame:
-    """The report, or :class:`GuardFailure` naming every failing row; a report has one per month or leg."""
-    failing = report.where(~F.col("status").isin(*accepted)).collect()
+def passed_rows(report: DataFrame, accepted: tuple[str, ...] = ("ok",)) -> list[Row]:
+    """All rows of a report, or :class:`GuardFailure` naming every failing one; a report has one per month or leg."""
+    rows = report.collect()
+    failing = [row for row in rows if row.status not in accepted]
     if failing:
         raise GuardFailure(f"{len(failing)} failing: " + "; ".join(str(row.asDict()) for row in failing))
+    return rows
+
+
+def enforce(report: DataFrame, accepted: tuple[str, ...] = ("ok",)) -> DataFrame:
+    """The report, if it passes."""
+    passed_rows(report.where(~F.col("status").isin(*accepted)), accepted)
     return report

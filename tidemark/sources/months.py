@@ -8,13 +8,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.fixed_values import TOP_DOLLAR, TOP_MINUTE, UNIT_RATIO_MIN_SECONDS
-from tidemark.operators.guards import enforce, unit_ratio_report
+from tidemark.fixed_values import TOP_DOLLAR, TOP_MINUTE
+from tidemark.operators.guards import passed_rows, unit_ratio_report
 from tidemark.operators.tripbins import FARE_KEYS, TIME_KEYS, with_bins
-from tidemark.session import fresh_dir
+from tidemark.sources import manifest
 from tidemark.sources.trips import usable_trips
 
 MONTH_KEYS = ["source", "year_month"]
+PARTITIONS = ["fact", *MONTH_KEYS]
 
 NO_ROWS = "no usable rows"
 
@@ -65,20 +66,7 @@ def coverage_totals(report: DataFrame) -> DataFrame:
     )
 
 
-TIME_FACT, FARE_FACT, CHECK_FACT = "time", "fare", "check"
-
-
-def _check_columns(binned: DataFrame) -> DataFrame:
-    """Durations and gaps of the trips the unit guard looks at; NULL for the others."""
-    is_long = F.col("duration_s") > UNIT_RATIO_MIN_SECONDS
-    return binned.withColumn("gap_s", F.when(is_long, F.col("gap_s"))).withColumn(
-        "duration_s", F.when(is_long, F.col("duration_s"))
-    )
-
-
-def check_counts(trips: DataFrame) -> DataFrame:
-    """Trips counted per month, duration and gap: all the unit guard needs to see."""
-    return _check_columns(trips).groupBy(*MONTH_KEYS, "duration_s", "gap_s").agg(F.count(F.lit(1)).alias("n"))
+TIME_FACT, FARE_FACT = "time", "fare"
 
 
 def both_facts(binned: DataFrame) -> DataFrame:
@@ -89,21 +77,14 @@ def both_facts(binned: DataFrame) -> DataFrame:
 
 
 def month_facts(binned: DataFrame) -> DataFrame:
-    """Both fact histograms per month and the unit check's counts from one scan and one shuffle.
+    """Both fact histograms per month from one scan and one shuffle.
 
-    Each trip feeds three grouping sets and is combined with its like on the map
-    side, so nothing of trip size is cached, shuffled or read twice.
+    Each trip feeds two grouping sets and is combined with its like on the map side, so
+    nothing of trip size is cached, shuffled or read twice.
     """
-    sets = [
-        [*MONTH_KEYS, *TIME_KEYS, "minutes"],
-        [*MONTH_KEYS, *FARE_KEYS, "dollars"],
-        [*MONTH_KEYS, "duration_s", "gap_s"],
-    ]
-    every = [*MONTH_KEYS, *TIME_KEYS, "minutes", "dollars", "duration_s", "gap_s"]
-    fact = (
-        F.when(F.grouping("minutes") == 0, TIME_FACT).when(F.grouping("dollars") == 0, FARE_FACT).otherwise(CHECK_FACT)
-    )
-    return _check_columns(binned).groupingSets(sets, *every).agg(F.count(F.lit(1)).alias("n"), fact.alias("fact"))
+    sets = [[*MONTH_KEYS, *TIME_KEYS, "minutes"], [*MONTH_KEYS, *FARE_KEYS, "dollars"]]
+    fact = F.when(F.grouping("minutes") == 0, TIME_FACT).otherwise(FARE_FACT)
+    return binned.groupingSets(sets, *MONTH_KEYS, *TIME_KEYS, "minutes", "dollars").agg(F.count(F.lit(1)).alias("n"), fact.alias("fact"))
 
 
 def ingest(
@@ -117,55 +98,76 @@ def ingest(
 ) -> DataFrame:
     """Bin the wanted months that are not stored yet into ``out``; what the unit guard said of each.
 
-    The facts of a run are written once to the shared folder; the guard reads them there
-    and a changed unit stops the run before anything is published. A month whose trips
-    cannot be checked is reported as such and not stored; ``force`` also clears what was
-    stored of it. Both facts of a month are published by one write, months are replaced
-    whole, and only a month with both counts as stored, so a run that was cut off is
-    repeated by the next.
+    The guard reads the trips first; a changed unit stops the run before anything is
+    written. A month whose trips cannot be checked is reported as such and not stored;
+    ``force`` also takes out what was stored of it. The facts of all months are added as new
+    files, and one rename of the manifest makes them count, in place of what they replace:
+    a reader sees the state before the run or the one after it, and a run that was cut off
+    anywhere is repeated by the next.
     """
     spark = trips.sparkSession
     # A calendar's worth of names; as literals they prune partitions and files.
     todo = [row.year_month for row in missing_months(wanted, stored_months(spark, out), force).collect()]
-    fresh = usable_trips(trips, airports).where(F.col("year_month").isin(*todo) if todo else F.lit(False))
-    staging = fresh_dir(spark, "facts")
-    binned = month_facts(with_bins(fresh, top_minute, top_dollar))
-    binned.write.parquet(staging)
-    facts = spark.read.schema(binned.schema).parquet(staging)
     months = spark.createDataFrame([(m,) for m in todo], "year_month string")
-    checks = facts.where(F.col("fact") == CHECK_FACT)
-    report = enforce(unit_ratio_report(checks, ["year_month"], weight="n", wanted=months), accepted=("ok", NO_ROWS))
-    statuses = {row.year_month: row.status for row in report.collect()}  # a row per wanted month
+    if not todo:
+        return months.withColumn("status", F.lit("ok"))
+    fresh = usable_trips(trips, airports).where(F.col("year_month").isin(*todo))
+    checked = passed_rows(unit_ratio_report(fresh, ["year_month"], wanted=months), accepted=("ok", NO_ROWS))
+    statuses = {row.year_month: row.status for row in checked}  # a row per wanted month
     good = [m for m, status in statuses.items() if status == "ok"]
+    before, lying = _adopted(spark, out), manifest.stored_files(spark, out, PARTITIONS)
     if good:
         (
-            facts.where(F.col("fact").isin(TIME_FACT, FARE_FACT) & F.col("year_month").isin(*good))
+            month_facts(with_bins(fresh.where(F.col("year_month").isin(*good)), top_minute, top_dollar))
             .select("fact", *MONTH_KEYS, *TIME_KEYS, F.coalesce("minutes", "dollars").alias("bin"), "n")
             .repartition("fact", *MONTH_KEYS)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("fact", *MONTH_KEYS)
+            .write.mode("append")
+            .partitionBy(*PARTITIONS)
             .parquet(out)
         )
-    _clear(spark, out, [m for m in todo if m not in good])
+    new = manifest.stored_files(spark, out, PARTITIONS) - lying
+    _publish(spark, out, before, todo, new)
     return spark.createDataFrame(sorted(statuses.items()), "year_month string, status string")
 
 
+def _month_of(file: str) -> str:
+    return file.rpartition("/")[0].rpartition("=")[2]
+
+
+def _adopted(spark: SparkSession, out: str) -> manifest.Version:
+    """The version that counts; a table stored without one begins with the files that are there."""
+    found = manifest.current(spark, out)
+    return found or manifest.publish(spark, out, manifest.stored_files(spark, out, PARTITIONS), None)
+
+
+def _publish(spark: SparkSession, out: str, before: manifest.Version, months: Sequence[str], new: set[str]) -> None:
+    """From now on the files of ``new`` count, and of what counted before all but those of the months."""
+    stays = {f for f in before.files if _month_of(f) not in months}
+    if stays | new != set(before.files):
+        manifest.publish(spark, out, stays | new, before)
+
+
 def _clear(spark: SparkSession, out: str, months: Sequence[str]) -> None:
-    """Deletes what is stored of the months."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for month in months:
-        pattern = hadoop.Path(f"{out}/fact=*/source=*/year_month={month}")
-        files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for found in files.globStatus(pattern) or []:
-            files.delete(found.getPath(), True)
+    """Takes out what is stored of the months."""
+    _publish(spark, out, _adopted(spark, out), months, set())
 
 
 _STORED = "airport bigint, origin bigint, company string, block string, bin int, n bigint, fact string, source string, year_month string"
 
 
 def _stored(spark: SparkSession, out: str) -> DataFrame:
-    """All that is stored; ``year_month`` stays text. Empty when nothing is stored there yet."""
+    """All that counts; ``year_month`` stays text. Empty when nothing is stored there yet.
+
+    A month of which a named file is gone is left out whole.
+    """
+    version = manifest.current(spark, out)
+    if version is not None:
+        there = manifest.stored_files(spark, out, PARTITIONS)
+        broken = {_month_of(f) for f in version.files if f not in there}
+        paths = [f"{out}/{f}" for f in version.files if _month_of(f) not in broken]
+        if not paths:
+            return spark.createDataFrame([], _STORED)
+        return spark.read.schema(_STORED).option("basePath", out).parquet(*paths)
     try:
         return spark.read.schema(_STORED).parquet(out)
     except AnalysisException as problem:
