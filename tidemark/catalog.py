@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.fixed_values import CAR_EVIDENCE, LICENCE_NAMES, TOP_MINUTE
 from tidemark.functions.measures import month_key, round_even_0, round_even_1
-from tidemark.functions.timeblocks import block_of, block_of_minute, block_table, is_working_day, minute_of_day, tiling_report
+from tidemark.functions.timeblocks import block_of, block_of_minute, block_table, is_working_day, minute_of_day, named_bounds, tiling_report
 from tidemark.operators import cells as car
 from tidemark.operators import cohort, compare, guards, histograms, journeys, mapview, segments, spatial, tripbins
 from tidemark.operators.quantiles import LOWER, exact_quantiles
@@ -63,11 +63,14 @@ def best_journeys(spark: SparkSession, sf: str) -> DataFrame:
     return plans.transit_journeys(directions(spark, sf), derived.links(spark), ranges)
 
 
+def transit_fares(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, 11.75), (1, 3.0)], "airport int, transit_fare double")
+
+
 def comparison(spark: SparkSession, sf: str) -> DataFrame:
-    fares = spark.createDataFrame([(0, 11.75), (1, 3.0)], "airport int, transit_fare double")
     evidence = spark.createDataFrame([(0, "rail"), (1, "rail and bus")], "airport int, transit_evidence string")
     return plans.comparison_report(
-        cells(spark, sf), best_journeys(spark, sf), derived.station_zone(spark, sf), derived.zones(spark, sf), fares, evidence
+        cells(spark, sf), best_journeys(spark, sf), derived.station_zone(spark, sf), derived.zones(spark, sf), transit_fares(spark), evidence
     )
 
 
@@ -120,6 +123,16 @@ def block_minutes_check(spark, sf):
     )
 
 
+@query
+def block_bounds(spark, sf):
+    """Every part of the day that events fall in, looked up by its name, with the minutes seen in it."""
+    minute = minute_of_day(F.col("ts"))
+    seen = derived.table(spark, sf, "events").groupBy(block_of(F.col("ts")).alias("block")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(minute).alias("first_minute"), F.max(minute).alias("last_minute")
+    )
+    return seen.select("block", "n", "first_minute", "last_minute", named_bounds(F.col("block")).alias("_b")).select("block", "n", "first_minute", "last_minute", "_b.*")
+
+
 @query
 def trip_validity_counts(spark, sf):
     return tripbins.validity_counts(derived.trips(spark, sf), AIRPORTS)
@@ -263,11 +276,8 @@ def fare_drift_conform(spark, sf):
 @query
 def feed_union(spark, sf):
     """Two feeds with different columns, one with a recorded duration and one without."""
-    from dataclasses import replace
-
     raw = derived.raw_trips(spark, sf)
-    second = replace(FEED, name="derived_duration", duration=None, company=None, fare_plus=("base_cents",), fare_minus=())
-    both = conform(raw, FEED, F.col("year_month")).unionByName(conform(raw.drop("company"), second, F.col("year_month")))
+    both = conform(raw, FEED, F.col("year_month")).unionByName(conform(raw.drop("company"), derived.PLAIN_FEED, F.col("year_month")))
     good = usable_trips(both, AIRPORTS)
     return good.groupBy("source", "company").agg(
         F.count(F.lit(1)).alias("trips"), F.sum("duration_s").alias("seconds"), F.sum("gap_s").alias("gap")
@@ -434,6 +444,20 @@ def cohort_medians(spark, sf):
     return found.withColumn("change", F.round("change", 6))
 
 
+@query
+def cohort_feeds(spark, sf):
+    """Three feeds, each over its own window; the one without trips in its window is not there."""
+    raw = derived.raw_trips(spark, sf)
+    recorded, plain = (conform(raw, f, F.col("year_month")) for f in (FEED, derived.PLAIN_FEED))
+    feeds = {
+        "recorded": (recorded, "1994-01", "1995-06"),
+        "plain": (plain, "1996-11", "1997-02"),
+        "nobody": (recorded.withColumn("source", F.lit("nobody")), "2031-01", "2031-12"),
+    }
+    found = cohort.cohort_medians(cohort.cohort_trips(cohort.windowed_feeds(feeds), 0))
+    return found.withColumn("change", F.round("change", 6))
+
+
 @query
 def company_profile(spark, sf):
     trips = derived.trips(spark, sf).where(F.col("airport") == 0)
@@ -591,6 +615,34 @@ def leg_json(spark, sf):
     return reports.read_leg_documents(spark.read.schema("route_id string, document string").json(out))
 
 
+@query
+def corpus_json(spark, sf):
+    """Corpus documents written and read back flat."""
+    out = fresh_dir(spark, "corpus")
+    fact = histograms.count_bins(binned(spark, sf), ["source", "year_month", "airport"], "minutes")
+    reports.write_documents(reports.corpus_document(fact), out)
+    return reports.read_corpus_documents(spark.read.schema("source string, document string").json(out))
+
+
+@query
+def journey_json(spark, sf):
+    """Journey documents written and read back flat."""
+    out = fresh_dir(spark, "journeys")
+    reports.write_documents(reports.journey_documents(best_journeys(spark, sf), transit_fares(spark)), out)
+    found = reports.read_journey_documents(spark.read.schema("airport int, station string, document string").json(out))
+    return found.withColumn("typical", F.round("typical", 6))
+
+
+@query
+def cohort_json(spark, sf):
+    """Cohort documents written and read back flat."""
+    out = fresh_dir(spark, "cohort")
+    medians = cohort.cohort_medians(cohort.cohort_trips(derived.trips(spark, sf), 0), "company")
+    reports.write_documents(reports.cohort_documents(medians, "company"), out)
+    found = reports.read_cohort_documents(spark.read.schema("company string, document string").json(out), "company")
+    return found.withColumn("change", F.round("change", 6))
+
+
 @query
 def stream_histogram(spark, sf):
     out, marks = fresh_dir(spark, "stream"), fresh_dir(spark, "marks")
@@ -610,3 +662,11 @@ def stream_daily_counts(spark, sf):
     out, marks = fresh_dir(spark, "days"), fresh_dir(spark, "marks")
     incremental.run_daily_totals(derived.daily_event_files(spark, sf), "ts", ["event_type"], out, marks)
     return incremental.read_histogram(spark, ["event_type"], "day", out)
+
+
+@query
+def stream_closed_days(spark, sf):
+    """Days the watermark has closed, with state; rows later than the delay are dropped."""
+    out, marks = fresh_dir(spark, "closed"), fresh_dir(spark, "marks")
+    incremental.run_daily_counts(derived.arriving_events(spark, sf), "ts", ["event_type"], out, marks, delay=f"{derived.LATE_PERIOD_DAYS} days")
+    return spark.read.schema("day string, event_type string, n bigint").parquet(out)

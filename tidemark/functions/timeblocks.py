@@ -63,6 +63,13 @@ def block_bounds(name: str, blocks: Blocks = TIME_BLOCKS) -> tuple[int, int]:
     raise KeyError(name)
 
 
+def named_bounds(block: Column, blocks: Blocks = TIME_BLOCKS) -> Column:
+    """Struct of the first minute of a block and the minute after its last; the query fails on an unknown name."""
+    bounds = F.create_map(*[x for name, start, end in blocks for x in (F.lit(name), F.struct(F.lit(start).alias("start_min"), F.lit(end).alias("end_min")))])
+    unknown = F.raise_error(F.concat(F.lit("unknown part of the day: "), F.coalesce(block, F.lit("NULL"))))
+    return F.coalesce(F.try_element_at(bounds, block), unknown.cast("struct<start_min:int,end_min:int>"))
+
+
 def tiling_report(table: DataFrame) -> DataFrame:
     """Each block with the block that starts where it ends; the last one wraps to 0."""
     following = table.select(F.col("start_min").alias("_next_start"), F.col("block").alias("next_block"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +66,18 @@ def cohort_medians(cohort: DataFrame, group: str = "source", baseline: int = COH
     )
 
 
+def windowed_feeds(feeds: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """Trips of several feeds, each over its own months (first and last); an error names the feeds if none has any.
+
+    A feed without trips adds nothing and is not in what is made of them.
+    """
+    parts = [trips.where(F.col("year_month").between(first, last)) for trips, first, last in feeds.values()]
+    pooled = reduce(DataFrame.unionByName, parts)
+    if pooled.isEmpty():
+        raise RuntimeError(f"no trips in any of {', '.join(sorted(feeds))}")
+    return pooled
+
+
 def month_union(parts: list[DataFrame], month: str = "year_month") -> DataFrame:
     """Distinct months of several tables, in order; each side is reduced to its months first."""
     keys = [p.select(month).distinct() for p in parts]

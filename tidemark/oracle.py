@@ -252,6 +252,11 @@ _add(
     FROM cells d LEFT JOIN cells b ON b.airport = d.airport AND b.origin = d.origin AND b.grain <> 'day'
     WHERE d.grain = 'day' GROUP BY 1""",
 )
+_add(
+    "corpus_json", [_TRIPS],
+    """SELECT 'lineitem' AS source, (SELECT count(*) FROM good) AS weekday_trips, 30 AS sample_floor, 'recorded trips' AS evidence, year_month
+    FROM (SELECT DISTINCT year_month FROM good)""",
+)
 _add("corpus_totals", [_TRIPS], "SELECT 'lineitem' AS source, count(*) AS weekday_trips, min(year_month) AS first_month, max(year_month) AS last_month FROM good")
 _add("published_zones", _CAR, "SELECT * FROM zones WHERE zone IN (SELECT origin FROM cells)")
 ORACLE["zone_dimension"] = """
@@ -368,6 +373,8 @@ _add(
     """SELECT airport, 'S' || station AS station, route, 'S' || conn AS connector, link, round(typical, 6) AS typical, block, CAST(n AS BIGINT) AS n,
     ride_p50, ride_p90, o50 AS overhead_p50, o90 AS overhead_p90, d50 AS door_p50, d90 AS door_p90 FROM best""",
 )
+ORACLE["journey_json"] = f"""SELECT j.*, CASE airport WHEN 0 THEN 11.75e0 WHEN 1 THEN 3e0 END AS transit_fare,
+    'waits are uniform over the headway' AS assumption FROM ({ORACLE['journeys_best']}) j"""
 _add("mode_comparison", _BOTH, "SELECT * FROM cmp")
 _add(
     "verdict_tally", _BOTH,
@@ -393,10 +400,9 @@ for _name, _value in (("quintile_shade", "car_p90"), ("buffer_shade", "car_buffe
           CAST(({_value} > b0)::INT + ({_value} > b1)::INT + ({_value} > b2)::INT + ({_value} > b3)::INT AS INT) AS step, legend_low, legend_high
         FROM cmp c JOIN breaks USING (airport, block) WHERE {_value} IS NOT NULL""",
     )
-_add(
-    "cohort_medians", [_TRIPS],
-    """, c AS (SELECT * FROM trips WHERE airport = 0 AND hour(pickup) = 10 AND working AND dur_s > 0 AND dur_s < 21600),
-    g AS (SELECT company, coalesce(year_month, 'all') AS month, CAST(round_even(median(dur_s/60e0), 0) AS INT) AS median, count(*) AS trips,
+def _medians(cohort: str, group: str) -> str:
+    """Medians pooled and by month of a cohort given as the table ``c``."""
+    text = """ g AS (SELECT company, coalesce(year_month, 'all') AS month, CAST(round_even(median(dur_s/60e0), 0) AS INT) AS median, count(*) AS trips,
       count(DISTINCT year_month) AS months, min(year_month) AS first_month, max(year_month) AS last_month
       FROM (SELECT company, year_month, year_month AS ym, dur_s FROM c) GROUP BY GROUPING SETS ((company, year_month), (company)))
     SELECT company, month, median, trips, CASE WHEN month = 'all' THEN m2.months ELSE 1 END AS months,
@@ -407,8 +413,24 @@ _add(
         ELSE strftime(CAST(m2.f || '-01' AS DATE), '%b %Y') || ' to ' || strftime(CAST(m2.l || '-01' AS DATE), '%b %Y') END AS span,
       round(median/38e0 - 1e0, 6) AS change
     FROM g JOIN (SELECT company, min(year_month) AS f, max(year_month) AS l, count(DISTINCT year_month) AS months,
-      string_agg(DISTINCT year_month, ',' ORDER BY year_month) AS names FROM c GROUP BY 1) m2 USING (company)""",
+      string_agg(DISTINCT year_month, ',' ORDER BY year_month) AS names FROM c GROUP BY 1) m2 USING (company)
+"""
+    return f", c AS ({cohort})," + text.replace("company", group)
+
+
+_add("cohort_medians", [_TRIPS], _medians("SELECT * FROM trips WHERE airport = 0 AND hour(pickup) = 10 AND working AND dur_s > 0 AND dur_s < 21600", "company"))
+_add(
+    "cohort_feeds", [_TRIPS],
+    _medians(
+        """SELECT * FROM (
+            SELECT 'lineitem' AS source, year_month, dur_s, airport, pickup, working FROM trips WHERE year_month BETWEEN '1994-01' AND '1995-06'
+            UNION ALL
+            SELECT 'derived_duration', year_month, gap_s, airport, pickup, working FROM trips WHERE year_month BETWEEN '1996-11' AND '1997-02')
+        WHERE airport = 0 AND hour(pickup) = 10 AND working AND dur_s > 0 AND dur_s < 21600""",
+        "source",
+    ),
 )
+ORACLE["cohort_json"] = f"SELECT company, month, median, trips, months, month_list, span, change FROM ({ORACLE['cohort_medians']})"
 _add(
     "company_profile", [_TRIPS],
     """SELECT company, count(*) AS trips, round(median(dur_s)/60e0, 4) AS median_min, round(quantile_cont(dur_s, 0.9)/60e0, 4) AS p90_min,
@@ -493,3 +515,8 @@ _add(
 )
 ORACLE["stream_histogram"] = f"""SELECT event_type, {_block("ts")} AS block, CAST(least(floor(value), 180) AS INT) AS minutes, count(*) AS n FROM events GROUP BY ALL"""
 ORACLE["stream_daily_counts"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"""
+ORACLE["block_bounds"] = f"""SELECT block, count(*) AS n, CAST(min(m) AS INT) AS first_minute, CAST(max(m) AS INT) AS last_minute,
+    CAST(lo AS INT) AS start_min, CAST(hi AS INT) AS end_min
+    FROM (SELECT hour(ts)*60+minute(ts) AS m FROM events), {_BLOCK_ROWS} WHERE m >= lo AND m < hi GROUP BY block, lo, hi"""
+ORACLE["stream_closed_days"] = """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events
+    WHERE user_id % 7 <> 0 AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 6 DAY GROUP BY ALL"""

@@ -6,7 +6,6 @@ has published yet are named in the coverage report rather than failing the run.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,23 +14,11 @@ from tidemark.operators.cohort import cohort_medians, cohort_trips
 from tidemark.plans import reports as plans
 from tidemark.sources import documents, reports
 from tidemark.sources.months import NO_ROWS, TIME_FACT, coverage, ingest, month_range, read_fact, stored_months
-from tidemark.sources.trips import FEEDS, conform_all
+from tidemark.sources.trips import FEEDS, published, read_files
 
 AIRPORT_ZONES = list(AIRPORT_NAMES)
 
 
-def _published(spark: SparkSession, feed_name: str, folder: str, months: list[str]) -> list[tuple]:
-    """The feed's monthly files that exist; only footers are read."""
-    feed, found = FEEDS[feed_name], []
-    for month in months:
-        try:
-            found.append((feed, month, spark.read.parquet(f"{folder}/{feed.file_name(month)}")))
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-    return found
-
-
 def _months(spark: SparkSession, start: str, end: str | None) -> tuple[DataFrame, list[str]]:
     wanted = month_range(spark, start, end)
     return wanted, [r.year_month for r in wanted.orderBy("year_month").collect()]
@@ -44,9 +31,13 @@ def ingest_job(
     wanted, names = _months(spark, start, end)
     place = f"{facts}/{feed_name}"
     before = spark.createDataFrame([(r.year_month,) for r in stored_months(spark, place).collect()], "year_month string")
-    files = _published(spark, feed_name, folder, names)
-    offered = spark.createDataFrame([(month,) for _, month, _ in files], "year_month string")
-    checked = ingest(conform_all(files), offered, AIRPORT_ZONES, place, force) if files else spark.createDataFrame([], "year_month string, status string")
+    files = published(spark, FEEDS[feed_name], folder, names)
+    offered = spark.createDataFrame([(f.month,) for f in files], "year_month string")
+    held = set() if force else {r.year_month for r in before.collect()}
+    fresh = [f for f in files if f.month not in held]
+    checked = spark.createDataFrame([], "year_month string, status string")
+    if fresh:
+        checked = ingest(read_files(spark, fresh), spark.createDataFrame([(f.month,) for f in fresh], "year_month string"), AIRPORT_ZONES, place, force)
     return coverage(wanted, before, offered, force, unusable=checked.where(F.col("status") == NO_ROWS))
 
 
@@ -124,10 +115,10 @@ def cohort_job(
     spark: SparkSession, folder: str, windows: dict[str, tuple[str, str]], airport: int, origins: list[int], out: str, hour: int = COHORT_HOUR
 ) -> None:
     """Medians of one hour per feed, each over its own window. A feed without trips is left out; none at all is an error."""
-    files = [f for name, (start, end) in windows.items() for f in _published(spark, name, folder, _months(spark, start, end)[1])]
+    files = [f for name, (start, end) in windows.items() for f in published(spark, FEEDS[name], folder, _months(spark, start, end)[1])]
     if not files:
         raise RuntimeError("none of the wanted months is there")
-    cohort_medians(cohort_trips(conform_all(files), airport, hour, origins)).write.mode("overwrite").parquet(out)
+    cohort_medians(cohort_trips(read_files(spark, files), airport, hour, origins)).write.mode("overwrite").parquet(out)
     found = documents.require_rows(spark.read.parquet(out), "trips of the cohort")
     reports.write_documents(reports.cohort_documents(found), f"{out}_documents")
 

@@ -88,17 +88,17 @@ def transit_journeys(directions: DataFrame, links: DataFrame, ranges: DataFrame,
 def fare_audit(trips: DataFrame, airport: int, zones: list[int], hours: tuple[int, int] = (16, 18)) -> DataFrame:
     """Medians of each ride-hail fare component per zone; a sum with an absent part is absent."""
     chosen = trips.where(
-        (F.col(RIDE_HAIL.destination) == airport)
-        & F.col(RIDE_HAIL.origin).isin(*zones)
-        & F.hour(RIDE_HAIL.pickup).between(*hours)
-        & is_working_day(F.col(RIDE_HAIL.pickup))
+        (F.col(RIDE_HAIL.column("destination")) == airport)
+        & F.col(RIDE_HAIL.column("origin")).isin(*zones)
+        & F.hour(RIDE_HAIL.column("pickup")).between(*hours)
+        & is_working_day(F.col(RIDE_HAIL.column("pickup")))
     )
-    base, tolls, bcf, tax, congestion, fee, cbd = (F.col(c) for c in RIDE_HAIL.fare_plus)
+    base, tolls, bcf, tax, congestion, fee, cbd = (F.col(r.column) for r in RIDE_HAIL.fare_roles)
     parts = {
         "base": base, "tolls": tolls, "taxes": bcf + tax + congestion, "airport": fee, "cbd": cbd,
         "base_plus_tolls": base + tolls, "total": base + tolls + bcf + tax + congestion + fee + cbd,
     }
-    medians = component_medians(chosen.withColumn("zone", F.col(RIDE_HAIL.origin)), ["zone"], parts, 1.0)
+    medians = component_medians(chosen.withColumn("zone", F.col(RIDE_HAIL.column("origin"))), ["zone"], parts, 1.0)
     return medians.orderBy("zone")
 
 

@@ -13,20 +13,35 @@ from tidemark.fixed_values import TOP_MINUTE, TRANSFER_RANGE
 from tidemark.functions.timeblocks import block_of, block_position
 from tidemark.operators.histograms import count_bins, summarise
 from tidemark.session import fresh_dir
-from tidemark.sources.trips import TripFeed, conform
-
-FEED = TripFeed(
-    name="lineitem",
-    pickup="pickup",
-    dropoff="dropoff",
-    duration="trip_time",
-    fare_plus=("base_cents", "tolls_cents"),
-    fare_minus=("tip_cents",),
-    required="base_cents",
-    company="company",
-    destination="airport",
-    origin="origin",
-    fare_units=100,
+from tidemark.sources.trips import conform, feed
+
+FEED = feed(
+    "lineitem",
+    """
+    company      company
+    pickup       pickup
+    dropoff      dropoff
+    origin       origin
+    destination  airport
+    seconds      trip_time
+    fare!        base_cents
+    fare         tolls_cents
+    refund       tip_cents
+    """,
+    units=100,
+)
+
+#: The same trips from a provider that records neither company nor duration, and one fare.
+PLAIN_FEED = feed(
+    "derived_duration",
+    """
+    pickup       pickup
+    dropoff      dropoff
+    origin       origin
+    destination  airport
+    fare!        base_cents
+    """,
+    units=100,
 )
 AIRPORTS = [0, 1, 2]
 TOP = 90
@@ -343,3 +358,24 @@ def daily_event_files(spark: SparkSession, sf_dir: str):
     events, folder = table(spark, sf_dir, "events"), fresh_dir(spark, "events")
     events.repartition(6, F.to_date("ts")).write.parquet(folder)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+
+
+LATE_PERIOD_DAYS, LATE_BY_PERIODS = 6, 4
+
+
+def arriving_events(spark: SparkSession, sf_dir: str):
+    """``events`` as a stream that is a batch per six days: some rows come a batch late, and a seventh four batches late.
+
+    Files carry the time they arrive as their time of change, so they are read in that order.
+    """
+    events, folder = table(spark, sf_dir, "events"), fresh_dir(spark, "arrivals")
+    late = F.when(F.col("user_id") % 7 == 0, LATE_BY_PERIODS).when(F.col("user_id") % 7 == 1, 1).otherwise(0)
+    arrival = F.floor(F.unix_date(F.to_date("ts")) / LATE_PERIOD_DAYS) + late
+    events.withColumn("arrival", arrival).repartition("arrival").write.partitionBy("arrival").parquet(folder)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(f"{folder}/arrival=*/part-*")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(pattern) or []:
+        number = int(found.getPath().getParent().getName().rpartition("=")[2])
+        files.setTimes(found.getPath(), number * 1000, -1)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrival=*")

@@ -94,6 +94,32 @@ _LEG = (
 )
 
 
+_CORPUS = "source string, months array<string>, weekday_trips bigint, sample_floor int, evidence string"
+_JOURNEY = (
+    "route string, connector string, link string, typical double, transit_fare double, assumption string, "
+    "blocks array<struct<block: string, n: bigint, ride_p50: int, ride_p90: int, overhead_p50: int, overhead_p90: int, door_p50: int, door_p90: int>>"
+)
+_COHORT = "months map<string, struct<median: int, trips: bigint, months: bigint, month_list: string, span: string, change: double>>"
+
+
+def read_corpus_documents(documents: DataFrame) -> DataFrame:
+    """Stored corpus documents as one row per source and month."""
+    parsed = documents.select(F.from_json("document", _CORPUS).alias("_d")).select("_d.*")
+    return parsed.select("source", "weekday_trips", "sample_floor", "evidence", F.explode("months").alias("year_month"))
+
+
+def read_journey_documents(documents: DataFrame) -> DataFrame:
+    """Stored journey documents as one row per part of the day."""
+    parsed = documents.select("airport", "station", F.from_json("document", _JOURNEY).alias("_d"))
+    return parsed.select("airport", "station", "_d.*").select("*", F.inline("blocks")).drop("blocks")
+
+
+def read_cohort_documents(documents: DataFrame, group: str = "source") -> DataFrame:
+    """Stored cohort documents as one row per month, and one for all."""
+    parsed = documents.select(group, F.from_json("document", _COHORT).alias("_d"))
+    return parsed.select(group, F.explode("_d.months").alias("month", "_m")).select(group, "month", "_m.*")
+
+
 def read_car_documents(documents: DataFrame) -> DataFrame:
     """Stored car documents as one row per cell."""
     parsed = documents.select("airport", "zone", F.from_json("document", _CAR).alias("_d"))
