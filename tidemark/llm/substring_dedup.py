@@ -6,18 +6,18 @@ overlap and are judged on the input, so the first copy of a passage always stays
 
 Method: fixed-block anchors. A block is half a window, ``(window + 1) // 2`` words; wherever a
 window lies, it holds a whole block that starts at a multiple of the block's length. These
-non-overlapping blocks are the index. Every rolling block of every text probes it. A probe hits
-if its words are an indexed block somewhere and occur at two places or more; a window that
-occurs twice holds a hit at the same offset in both copies. Hits are then extended to either
-side, as far as a window reaches, and compared with all other extended hits by content at once:
+non-overlapping blocks are the index. Every rolling block of every text probes it. An indexed
+block is hit if its words also occur elsewhere, at whatever offset. In both copies of a window
+all indexed blocks it holds are hit. Hits are then extended to either side, as far as a window
+reaches over hit blocks alone, and compared with all other extended hits by content at once:
 the first place of each content is the copy that stays, and what lies later is a repeat. Repeats
 that touch merge into the maximal exact repeats of a text. No pairs of copies are made.
 
 Index and probes never travel as rows of their own. Texts form batches of ``BATCH`` rows. A
 batch sends each bucket of the hash range one row with its distinct hashes, so a block that a
 third of all texts share costs a bucket one entry per batch. The bucket answers each batch with
-the hashes that are hits. The number of buckets follows the number of texts, so that a bucket
-holds a few million hashes. Only windows around hits become rows, one per content and batch.
+the batch's own indexed blocks that are hit. The number of buckets follows the number of texts, so that a bucket
+holds a few million hashes. Only windows of hit blocks become rows, one per content and batch.
 
 Hits are found by 36 bits or more of a block's hash, which may find too many; repeats are decided
 by 96 bits over 64-bit hashes of the words. A batch's texts are in memory together.
@@ -114,34 +114,36 @@ def block_hashes(texts: Iterable[str | None], window: int) -> tuple[np.ndarray,
 
 
 def shared_hashes(messages: list[bytes]) -> list[np.ndarray]:
-    """Of the hashes of a bucket's messages those that are hits, for each message."""
+    """Of the indexed blocks of each of a bucket's messages those that occur at a second place."""
     sent = [np.frombuffer(m, np.uint32) for m in messages]
     all_, source = np.concatenate(sent), np.repeat(np.arange(len(sent), dtype=np.int32), [len(s) for s in sent])
     order = np.argsort(all_ >> np.uint32(2), kind="stable")
     value, flags, source = all_[order] >> np.uint32(2), all_[order] & np.uint32(3), source[order]
     first = np.nonzero(np.append(True, value[1:] != value[:-1]))[0]
     counts = np.diff(np.append(first, len(value)))
-    either = np.bitwise_or.reduceat(flags, first)
-    hit = np.repeat((either & 2 > 0) & ((counts > 1) | (either & 1 > 0)), counts)
+    hit = np.repeat((counts > 1) | (flags[first] & 1 > 0), counts) & (flags & 2 > 0)
     value, source = value[hit], source[hit]
     order = np.argsort(source, kind="stable")
     return np.split(value[order], np.searchsorted(source[order], np.arange(1, len(sent))))
 
 
 def hit_windows(texts: list[str | None], shared: np.ndarray, shift: int, window: int) -> dict[str, np.ndarray]:
-    """Windows around the hits of a batch whose texts are in corpus order.
+    """Windows of hit blocks of a batch whose texts are in corpus order.
 
-    ``owner``, ``pos``, ``n`` (starts in a row), ``w1``, ``w2`` and ``sure``: whether the content
-    was met earlier in the batch. Of other windows only the first of each content is listed.
+    ``owner``, ``pos``, ``again`` (starts in a row of windows met earlier in the batch, or 0) and
+    ``w1``, ``w2``. Of what the batch has not met earlier each window is listed.
     """
     block = (window + 1) // 2
     hashes, offsets = word_hashes(texts)
     value = rolling(hashes, block, _BASES[0]) >> np.uint64(shift)
-    at = np.minimum(np.searchsorted(shared, value), max(0, len(shared) - 1))
-    hits = np.append(0, np.cumsum((shared[at] == value) & _fits(offsets, block)[1])) if len(shared) else np.zeros(len(value) + 1, int)
+    owner, whole = _fits(offsets, block)
+    indexed = np.nonzero(whole & ((np.arange(len(owner)) - offsets[owner]) % block == 0))[0]
+    missed = np.zeros(len(value) + 1, np.int32)
+    missed[indexed + 1] = ~np.isin(value[indexed], shared)
+    missed = np.cumsum(missed)
     owner, inside = _fits(offsets, window)
     start = np.nonzero(inside)[0]
-    start = start[hits[start + window - block + 1] > hits[start]]
+    start = start[missed[start + window - block + 1] == missed[start]]
     w1, w2 = rolling(hashes, window, _BASES[0])[start].view(np.int64), (rolling(hashes, window, _BASES[1])[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)
     order = np.lexsort((start, w2, w1))
     again = np.zeros(len(start), bool)
@@ -152,13 +154,13 @@ def hit_windows(texts: list[str | None], shared: np.ndarray, shift: int, window:
     places = np.concatenate([start[~again], later[opens]])
     own = owner[places]
     alone = np.zeros(len(opens), np.int32)
+    fresh = int((~again).sum())
     return {
         "owner": own,
         "pos": (places - offsets[own]).astype(np.int32),
-        "n": np.concatenate([np.ones((~again).sum(), np.int32), np.diff(np.append(opens, len(later))).astype(np.int32)]),
+        "again": np.concatenate([np.zeros(fresh, np.int32), np.diff(np.append(opens, len(later))).astype(np.int32)]),
         "w1": np.concatenate([w1[~again], later[opens]]),
         "w2": np.concatenate([w2[~again], alone]),
-        "sure": np.arange(len(places)) >= (~again).sum(),
     }
 
 
@@ -194,7 +196,7 @@ def _index(rows: DataFrame, bits: int, window: int) -> DataFrame:
 
 
 def _windows(rows: DataFrame, places: DataFrame, hits: DataFrame, bits: int, window: int) -> DataFrame:
-    """The windows around hits (see ``hit_windows``), with the ``rank`` of their text in place of ``owner``."""
+    """The windows of hit blocks (see ``hit_windows``), with the ``rank`` of their text in place of ``owner``."""
     shift = 64 - bits - _REST
 
     def extend(texts: pa.Table, told: pa.Table) -> pa.Table:
@@ -208,14 +210,14 @@ def _windows(rows: DataFrame, places: DataFrame, hits: DataFrame, bits: int, win
         order = np.argsort(own)
         found = hit_windows(texts.column("_text").take(pa.array(order)).to_pylist(), np.unique(np.concatenate(shared)), shift, window)
         found["rank"] = own[order][found.pop("owner")]
-        return pa.table({c: found[c] for c in ("w1", "w2", "rank", "pos", "n", "sure")})
+        return pa.table({c: found[c] for c in ("w1", "w2", "rank", "pos", "again")})
 
     ranks = places.groupBy("_file", "_batch").agg(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("position").alias("rank"))).alias("ranks"))
     told = hits.select("file", "batch", "bucket", "hits", F.lit(None).cast(ranks.schema["ranks"].dataType).alias("ranks")).union(
         ranks.select("_file", "_batch", F.lit(None).cast("int"), F.lit(None).cast("binary"), "ranks")
     )
     texts = rows.select("_file", "_batch", "_at", "_text").groupBy("_file", "_batch")
-    return texts.cogroup(told.groupBy("file", "batch")).applyInArrow(extend, "w1 long, w2 int, rank long, pos int, n int, sure boolean")
+    return texts.cogroup(told.groupBy("file", "batch")).applyInArrow(extend, "w1 long, w2 int, rank long, pos int, again int")
 
 
 def _merge(starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -244,9 +246,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: st
     def merged(starts: pd.Series, counts: pd.Series) -> pd.Series:
         return pd.Series([_merge(s, n, window) for s, n in zip(starts, counts, strict=True)])
 
-    nth = F.row_number().over(W.partitionBy("w1", "w2", "sure").orderBy("rank", "pos"))
-    later = windows.withColumn("_nth", nth).where(F.col("sure") | (F.col("_nth") > 1))
-    runs = later.groupBy("rank").agg(F.collect_list("pos").alias("_s"), F.collect_list("n").alias("_n"))
+    sure = F.col("again") > 0
+    nth = F.row_number().over(W.partitionBy("w1", "w2", sure).orderBy("rank", "pos"))
+    later = windows.withColumn("_nth", nth).where(sure | (F.col("_nth") > 1))
+    runs = later.groupBy("rank").agg(F.collect_list("pos").alias("_s"), F.collect_list(F.greatest("again", F.lit(1))).alias("_n"))
     found = checkpointed(runs.select("rank", merged("_s", "_n").alias("runs")))
     return found.join(places, found["rank"] == places["position"]).select(F.struct(F.col("_file").alias("file"), F.col("_at").alias("at")).alias("_row"), "runs")
 
