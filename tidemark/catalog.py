@@ -15,7 +15,7 @@ from tidemark.operators import cohort, compare, guards, histograms, journeys, ma
 from tidemark.operators.quantiles import LOWER, exact_quantiles
 from tidemark.plans import reports as plans
 from tidemark.session import fresh_dir
-from tidemark.sources import derived, documents, months, reports
+from tidemark.sources import derived, documents, months, quarantine, reports
 from tidemark.sources.derived import AIRPORTS, FEED, TOP
 from tidemark.sources.trips import company_name, conform, usable_trips
 from tidemark.streaming import incremental
@@ -507,6 +507,46 @@ def station_scan(spark, sf):
     return found.select("stop_id", "name", "borough", F.array_join("routes", "|").alias("routes"), "lon", "lat")
 
 
+def _judged(spark, sf) -> dict[str, DataFrame]:
+    """Raw records of four sources with what is wrong with them; some segment rows lose their time or their clock hour."""
+    raw = documents.parsed_segments(derived.segments(spark, sf))
+    buses = F.col("bus_trip_count").cast("int")
+    broken = raw.withColumns(
+        {
+            "average_travel_time": F.when(buses % 11 != 3, F.col("average_travel_time")),
+            "hour_of_day": F.when(buses % 7 == 2, "24").when(buses % 7 == 3, "noon").otherwise(F.col("hour_of_day")),
+        }
+    )
+    return {
+        "zones": quarantine.judged(documents.split_zones(derived.zone_lines(spark, sf)), documents.zone_faults()),
+        "segments": quarantine.judged(broken, documents.segment_faults() | documents.clock_faults()),
+        "zone shapes": quarantine.judged(derived.geojson_rows(spark, sf), documents.shape_faults()),
+        "stations": quarantine.judged(documents.parsed_stations(derived.station_rows(spark, sf)), documents.station_faults()),
+    }
+
+
+@query
+def quarantine_counts(spark, sf):
+    """Kept and quarantined records by source and reason."""
+    parts = [quarantine.counts(rows, source) for source, rows in _judged(spark, sf).items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query
+def quarantine_rows(spark, sf):
+    """Stations written once, the unreadable ones beside the others, and read from there."""
+    kept, lost = quarantine.sift(_judged(spark, sf)["stations"], "stations", fresh_dir(spark, "stations"))
+    found = documents.typed_stations(kept).select(F.col("pos"), F.lit("kept").alias("reason"), "name")
+    return found.union(lost.select(F.get_json_object("record", "$.pos").cast("bigint"), "reason", F.get_json_object("record", "$.stop_name")))
+
+
+@query
+def quarantined_segments(spark, sf):
+    """Leg blocks of what is left after rows without a time or a clock hour are kept apart."""
+    kept = quarantine.usable(_judged(spark, sf)["segments"])
+    return segments.leg_blocks(segments.leg_rows(documents.typed_segments(kept), derived.legs(spark))).select("route_id", "block", "cells")
+
+
 @query
 def station_mapping(spark, sf):
     """Zone to station names, stored as documents and read back."""
@@ -653,7 +693,7 @@ def stream_histogram(spark, sf):
         )
 
     incremental.run_histogram(derived.daily_event_files(spark, sf), rides, ["event_type", "block"], "minutes", out, marks)
-    incremental.compact(spark, ["event_type", "block"], "minutes", out)
+    incremental.merge_tiers(spark, ["event_type", "block"], "minutes", out, fan=2)
     return incremental.read_histogram(spark, ["event_type", "block"], "minutes", out)
 
 

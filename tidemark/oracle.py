@@ -455,6 +455,23 @@ ORACLE["station_scan"] = """SELECT 'G' || s_suppkey AS stop_id, s_name AS name,
   FROM supplier WHERE s_suppkey % 13 <> 6 AND s_suppkey % 17 <> 8 AND s_suppkey % 19 <> 9"""
 ORACLE["station_mapping"] = """SELECT zone, CAST(row_number() OVER (PARTITION BY zone ORDER BY p) - 1 AS INT) AS pos, station
   FROM (SELECT CAST(p_partkey % 40 AS INT) AS zone, 'S' || p_partkey*7 % 12 AS station, min(p_partkey) AS p FROM part GROUP BY ALL)"""
+_SEGMENT_REASON = "CASE WHEN n % 11 = 3 THEN 'no travel time' WHEN n % 7 = 2 THEN 'hour beyond the clock' WHEN n % 7 = 3 THEN 'hour is no number' ELSE 'kept' END"
+_STATION_REASON = """CASE WHEN s_suppkey % 13 = 6 THEN 'no id' WHEN s_suppkey % 17 = 8 THEN 'longitude is no number'
+    WHEN s_suppkey % 19 = 9 THEN 'latitude is no number' ELSE 'kept' END"""
+_add(
+    "quarantine_counts", [_TRIPS, _SEGMENTS],
+    f"""SELECT source, reason, count(*) AS n FROM (
+        SELECT 'zones' AS source, CASE WHEN p_partkey % 11 = 5 THEN 'zone id is no whole number' ELSE 'kept' END AS reason FROM part
+        UNION ALL SELECT 'segments', {_SEGMENT_REASON} FROM seg_rows
+        UNION ALL SELECT 'zone shapes', CASE c_custkey % 50 WHEN 7 THEN 'no geometry' WHEN 9 THEN 'geometry without coordinates' ELSE 'kept' END FROM customer
+        UNION ALL SELECT 'stations', {_STATION_REASON} FROM supplier) GROUP BY ALL""",
+)
+ORACLE["quarantine_rows"] = f"SELECT s_suppkey AS pos, {_STATION_REASON} AS reason, s_name AS name FROM supplier"
+_add(
+    "quarantined_segments", [_TRIPS, _SEGMENTS],
+    f"""SELECT route_id, block, count(*) AS cells FROM seg_rows JOIN {_BLOCK_ROWS} ON hr*60 >= lo AND hr*60 < hi
+    WHERE dow <= 5 AND {_SEGMENT_REASON} = 'kept' GROUP BY ALL HAVING count(*) >= 10""",
+)
 _add("zone_bounds", [_SHAPES], "SELECT zone, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM vert GROUP BY zone")
 _add(
     "ring_edges", [_SHAPES],

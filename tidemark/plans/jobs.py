@@ -6,13 +6,14 @@ has published yet are named in the coverage report rather than failing the run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.fixed_values import AIRPORT_NAMES, COHORT_HOUR
 from tidemark.operators.cohort import cohort_medians, cohort_trips
 from tidemark.plans import reports as plans
-from tidemark.sources import documents, reports
+from tidemark.session import fresh_dir
+from tidemark.sources import documents, quarantine, reports
 from tidemark.sources.months import NO_ROWS, TIME_FACT, coverage, ingest, month_range, read_fact, stored_months
 from tidemark.sources.trips import FEEDS, published, read_files
 
@@ -55,13 +56,14 @@ def car_job(spark: SparkSession, feed_name: str, facts: str, zones: str, out: st
 
 
 def segment_job(spark: SparkSession, datasets: dict[str, str], out: str) -> None:
-    """``datasets`` maps each vintage's name to its JSON rows."""
-    rows = [
-        documents.typed_segments(
-            spark.read.schema(documents.SEGMENT_SCHEMA).json(path, multiLine=True).withColumn("dataset", F.lit(name))
-        )
-        for name, path in datasets.items()
-    ]
+    """``datasets`` maps each vintage's name to its JSON rows; rows without a time or a clock hour go to ``quarantine``."""
+    raw = plans.stack_vintages(
+        [spark.read.schema(documents.SEGMENT_SCHEMA).json(path, multiLine=True).withColumn("dataset", F.lit(name)) for name, path in datasets.items()]
+    )
+    faults = documents.segment_faults() | documents.clock_faults()
+    kept, lost = quarantine.sift(quarantine.judged(raw, faults), "segments", fresh_dir(spark, "segments"))
+    lost.write.mode("overwrite").parquet(f"{out}/quarantine")
+    rows = [documents.typed_segments(kept)]
     legs = plans.leg_table(spark)
     plans.segment_report(plans.stack_vintages(rows), legs).write.mode("overwrite").parquet(f"{out}/legs")
     reports.write_documents(reports.leg_documents(spark.read.parquet(f"{out}/legs"), legs), f"{out}/documents")
@@ -79,9 +81,16 @@ def transit_job(spark: SparkSession, routes: str, segments: str, out: str) -> No
     reports.write_documents(reports.journey_documents(spark.read.parquet(f"{out}/journeys"), plans.fare_table(spark)), f"{out}/documents")
 
 
+def _sifted(spark: SparkSession, rows: DataFrame, faults: dict[str, Column], source: str) -> tuple[DataFrame, DataFrame]:
+    return quarantine.sift(quarantine.judged(rows, faults), source, fresh_dir(spark, "sifted"))
+
+
 def mapping_job(spark: SparkSession, polygons: str, stations: str, out: str, cell: float = 0.02, band: float = 0.002) -> None:
-    """Stations placed in zones, stored as one document per zone."""
-    zones, points = read_shapes(spark, polygons), read_stations(spark, stations)
+    """Stations placed in zones, stored as one document per zone; unreadable records go to ``<out>_quarantine``."""
+    shapes, points = (_sifted(spark, *read) for read in ((_shape_rows(spark, polygons), documents.shape_faults(), "zone shapes"), (_station_rows(spark, stations), documents.station_faults(), "stations")))
+    shapes[1].union(points[1]).write.mode("overwrite").parquet(f"{out}_quarantine")
+    zones = documents.require_rows(documents.zone_shapes(shapes[0]), "zone shapes")
+    points = documents.require_rows(documents.typed_stations(points[0]), "stations")
     reports.write_documents(reports.station_documents(plans.station_mapping(points, zones, cell, band)), out)
 
 
@@ -90,14 +99,21 @@ def _positioned(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pos", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
-def read_shapes(spark: SparkSession, path: str) -> DataFrame:
+def _shape_rows(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("locationid string, zone string, borough string, the_geom string").json(path, multiLine=True)
-    return documents.require_rows(documents.zone_shapes(_positioned(rows).withColumnRenamed("zone", "name")), "zone shapes")
+    return _positioned(rows).withColumnRenamed("zone", "name")
+
+
+def _station_rows(spark: SparkSession, path: str) -> DataFrame:
+    return _positioned(spark.read.schema(documents.STATION_SCHEMA).json(path, multiLine=True))
+
+
+def read_shapes(spark: SparkSession, path: str) -> DataFrame:
+    return documents.require_rows(documents.zone_shapes(_shape_rows(spark, path)), "zone shapes")
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(documents.STATION_SCHEMA).json(path, multiLine=True)
-    return documents.require_rows(documents.typed_stations(_positioned(rows)), "stations")
+    return documents.require_rows(documents.typed_stations(_station_rows(spark, path)), "stations")
 
 
 def comparison_job(spark: SparkSession, car: str, transit: str, mapping: str, zones: str, out: str) -> None:

@@ -1,7 +1,8 @@
 """Text sources: delimited zone rows, JSON rows, nested route documents and GeoJSON.
 
 Every reader takes a DataFrame with one record per row, however it was read, and
-returns typed rows. Records that do not parse are left out, as each source asks.
+returns typed rows. Records that do not parse are left out, as each source asks; the
+``*_faults`` name why, and ``quarantine`` keeps such records apart.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.measures import clean_text, month_key
+from tidemark.sources.quarantine import judged, usable
 
 POINT = "struct<x:double,y:double>"
 ROUTE_SCHEMA = (
@@ -30,10 +32,18 @@ STATION_SCHEMA = (
 ZONE_LINE_SCHEMA = "LocationID string, Borough string, Zone string, service_zone string"
 
 
+def split_zones(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The columns of delimited zone rows, as text."""
+    return lines.select(F.from_csv(F.col(line), F.lit(ZONE_LINE_SCHEMA)).alias("_row")).select("_row.*")
+
+
+def zone_faults() -> dict[str, Column]:
+    return {"zone id is no whole number": F.trim("LocationID").try_cast("int").isNull()}
+
+
 def zone_dimension(lines: DataFrame, line: str = "line") -> DataFrame:
     """``zone, name, borough`` from delimited rows; rows without a whole-number id are left out."""
-    row = F.from_csv(F.col(line), F.lit(ZONE_LINE_SCHEMA))
-    return typed_zones(lines.select(row.alias("_row")).select("_row.*"))
+    return typed_zones(split_zones(lines, line))
 
 
 def typed_zones(rows: DataFrame) -> DataFrame:
@@ -43,7 +53,7 @@ def typed_zones(rows: DataFrame) -> DataFrame:
     """
     number = F.trim("LocationID").try_cast("int")
     unnamed = F.concat(F.lit("Unknown zone "), number.cast("string"))
-    typed = rows.select(
+    typed = usable(judged(rows, zone_faults())).select(
         number.alias("zone"),
         F.struct(
             (F.col("pos") if "pos" in rows.columns else F.monotonically_increasing_id()).alias("pos"),
@@ -51,13 +61,27 @@ def typed_zones(rows: DataFrame) -> DataFrame:
             clean_text(F.col("Borough"), F.lit("Unknown")).alias("borough"),
         ).alias("_row"),
     )
-    return typed.where(F.col("zone").isNotNull()).groupBy("zone").agg(F.max("_row").alias("_last")).select("zone", "_last.name", "_last.borough")
+    return typed.groupBy("zone").agg(F.max("_row").alias("_last")).select("zone", "_last.name", "_last.borough")
+
+
+def parsed_segments(rows: DataFrame, text: str = "row") -> DataFrame:
+    """The fields of segment rows in JSON, as text."""
+    return rows.select("dataset", F.from_json(F.col(text), SEGMENT_SCHEMA).alias("_row")).select("dataset", "_row.*")
+
+
+def segment_faults() -> dict[str, Column]:
+    return {"no travel time": F.col("average_travel_time").isNull()}
+
+
+def clock_faults() -> dict[str, Column]:
+    """Hours no clock shows, which a part of the day cannot be found for."""
+    hour = F.col("hour_of_day").try_cast("int")
+    return {"hour is no number": hour.isNull(), "hour beyond the clock": ~hour.between(0, 23)}
 
 
 def segment_rows(rows: DataFrame, text: str = "row") -> DataFrame:
     """Typed segment rows from JSON text."""
-    parsed = rows.select("dataset", F.from_json(F.col(text), SEGMENT_SCHEMA).alias("_row"))
-    return typed_segments(parsed.select("dataset", "_row.*"))
+    return typed_segments(parsed_segments(rows, text))
 
 
 def typed_segments(rows: DataFrame) -> DataFrame:
@@ -66,7 +90,7 @@ def typed_segments(rows: DataFrame) -> DataFrame:
     A travel time or a number of buses that is there but does not parse is NULL and
     fails the guard; a number of buses that is absent is 0.
     """
-    return rows.where(F.col("average_travel_time").isNotNull()).select(
+    return usable(judged(rows, segment_faults())).select(
         "dataset", "route_id", "direction",
         F.col("stop_order").try_cast("int").alias("stop_order"),
         month_key(F.col("timestamp")).alias("year_month"),
@@ -96,6 +120,14 @@ def _ring(pairs: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
 
 
+def shape_faults(geometry: str = "the_geom") -> dict[str, Column]:
+    coordinates = F.get_json_object(geometry, "$.coordinates")
+    return {
+        "no geometry": F.col(geometry).isNull(),
+        "geometry without coordinates": ~F.coalesce(F.regexp_like(coordinates, F.lit("[0-9]")), F.lit(False)),
+    }
+
+
 def zone_shapes(rows: DataFrame, geometry: str = "the_geom") -> DataFrame:
     """GeoJSON text to ``pos, zone, name, kind, parts`` (parts -> rings -> points).
 
@@ -111,23 +143,35 @@ def zone_shapes(rows: DataFrame, geometry: str = "the_geom") -> DataFrame:
         .when(kind == "MultiPolygon", F.transform(several, lambda part: F.transform(part, _ring)))
         .otherwise(F.array().cast(f"array<array<array<{POINT}>>>"))
     )
-    has_coordinate = F.regexp_like(coordinates, F.lit("[0-9]"))
-    return rows.where(F.col(geometry).isNotNull() & F.coalesce(has_coordinate, F.lit(False))).select(
+    return usable(judged(rows, shape_faults(geometry))).select(
         "pos", F.col("locationid").cast("bigint").alias("zone"), "name", kind.alias("kind"), parts.alias("parts"),
         *(["borough"] if "borough" in rows.columns else []),
     )
 
 
+def parsed_stations(rows: DataFrame, text: str = "row") -> DataFrame:
+    """The fields of station rows in JSON, as text."""
+    return rows.select("pos", F.from_json(F.col(text), STATION_SCHEMA).alias("_row")).select("pos", "_row.*")
+
+
+def station_faults() -> dict[str, Column]:
+    return {
+        "no id": F.col("gtfs_stop_id").isNull(),
+        "no name": F.col("stop_name").isNull(),
+        "longitude is no number": F.col("gtfs_longitude").try_cast("double").isNull(),
+        "latitude is no number": F.col("gtfs_latitude").try_cast("double").isNull(),
+    }
+
+
 def stations(rows: DataFrame, text: str = "row") -> DataFrame:
     """Typed stations from JSON text."""
-    parsed = rows.select("pos", F.from_json(F.col(text), STATION_SCHEMA).alias("_row"))
-    return typed_stations(parsed.select("pos", "_row.*"))
+    return typed_stations(parsed_stations(rows, text))
 
 
 def typed_stations(rows: DataFrame) -> DataFrame:
     """Stations; rows lacking an id, a name or a readable position are left out."""
     routes = F.trim(F.coalesce(F.col("daytime_routes"), F.lit("")))
-    return rows.select(
+    return usable(judged(rows, station_faults())).select(
         "pos",
         F.col("gtfs_stop_id").alias("stop_id"),
         F.col("stop_name").alias("name"),
@@ -135,8 +179,6 @@ def typed_stations(rows: DataFrame) -> DataFrame:
         F.when(routes == "", F.array().cast("array<string>")).otherwise(F.split(routes, "\\s+")).alias("routes"),
         F.col("gtfs_longitude").try_cast("double").alias("lon"),
         F.col("gtfs_latitude").try_cast("double").alias("lat"),
-    ).where(
-        F.col("stop_id").isNotNull() & F.col("name").isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()
     )
 
 
