@@ -63,3 +63,61 @@ def test_closed_days_only(spark, tmp_path):
     incremental.run_daily_counts(stream, "ts", ["kind"], out, marks)
     rows = spark.read.parquet(out).groupBy("day").agg(F.sum("n").alias("n")).orderBy("day").collect()
     assert [(r.day, r.n) for r in rows] == [("2026-03-02", 20), ("2026-03-03", 30)]
+
+
+def store_batches(spark, out, numbers):
+    """Batches as a stream stores them; batch n counts n + 1 for one of three kinds."""
+    for n in numbers:
+        spark.createDataFrame([("abc"[n % 3], n % 2, n + 1)], "kind string, bin int, n bigint").coalesce(1).write.parquet(f"{out}/batch_id={n}")
+
+
+def total(df):
+    return df.agg(F.sum("n")).first()[0]
+
+
+def test_a_hundred_batches_are_merged_during_a_read(spark, tmp_path):
+    out = str(tmp_path / "out")
+    store_batches(spark, out, range(100))
+    begun = incremental.read_histogram(spark, ["kind"], "bin", out)
+    incremental.merge_tiers(spark, ["kind"], "bin", out, fan=10)
+    after = incremental.read_histogram(spark, ["kind"], "bin", out)
+    assert total(begun) == total(after) == 5050
+    assert len(begun.inputFiles()) == 100 and {f.rpartition("/")[0].rpartition("/")[2] for f in after.inputFiles()} == {"span=0-99"}
+    incremental.sweep(spark, out)
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["span=0-99"]
+    store_batches(spark, out, range(100, 112))
+    incremental.merge_tiers(spark, ["kind"], "bin", out, fan=10)
+    found = incremental.read_histogram(spark, ["kind"], "bin", out)
+    assert total(found) == 112 * 113 // 2
+    assert sorted({f.rpartition("/")[0].rpartition("/")[2] for f in found.inputFiles()}) == ["batch_id=110", "batch_id=111", "span=0-99", "span=100-109"]
+
+
+def test_an_unfinished_span_does_not_count(spark, tmp_path):
+    out = str(tmp_path / "out")
+    store_batches(spark, out, range(4))
+    spark.createDataFrame([("a", 0, 999)], "kind string, bin int, n bigint").write.parquet(f"{out}/span=0-3")
+    (tmp_path / "out" / "span=0-3" / "_SUCCESS").unlink()
+    assert total(incremental.read_histogram(spark, ["kind"], "bin", out)) == 10
+    incremental.merge_tiers(spark, ["kind"], "bin", out, fan=2)
+    assert total(incremental.read_histogram(spark, ["kind"], "bin", out)) == 10
+    incremental.compact(spark, ["kind"], "bin", out)
+    assert total(incremental.read_histogram(spark, ["kind"], "bin", out)) == 10
+
+
+def test_a_row_later_than_the_delay_is_dropped(spark, tmp_path):
+    source, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
+
+    def run():
+        incremental.run_daily_counts(spark.readStream.schema(SCHEMA).parquet(str(source)), "ts", ["kind"], out, marks)
+        rows = spark.read.parquet(out).groupBy("day").agg(F.sum("n").alias("n")).orderBy("day").collect()
+        return [(r.day, r.n) for r in rows]
+
+    write_day(spark, source, 0, 20)
+    write_day(spark, source, 1, 30)
+    run()
+    write_day(spark, source, 1, 4)  # late, but its day is open
+    write_day(spark, source, 6, 50)
+    assert run() == [("2026-03-02", 20), ("2026-03-03", 34)]
+    write_day(spark, source, 1, 7)  # its day is closed
+    write_day(spark, source, 9, 8)
+    assert run() == [("2026-03-02", 20), ("2026-03-03", 34), ("2026-03-08", 50)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,24 +36,32 @@ def run_histogram(
     query.awaitTermination()
 
 
-def _folders(spark: SparkSession, out: str) -> dict[str, dict[int, str]]:
-    """Paths of the stored batches (``batch_id``) and of merged ones (``upto``) by number."""
-    hadoop, found = spark.sparkContext._jvm.org.apache.hadoop.fs, {"batch_id": {}, "upto": {}}
-    for kind, paths in found.items():
+def _folders(spark: SparkSession, out: str) -> dict[tuple[int, int], str]:
+    """Complete folders by the first and last batch they hold: single batches, merged spans, and all up to one."""
+    hadoop, found = spark.sparkContext._jvm.org.apache.hadoop.fs, {}
+    for kind in ("batch_id", "span", "upto"):
         pattern = hadoop.Path(f"{out}/{kind}=*/_SUCCESS")
         files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         for status in files.globStatus(pattern) or []:
             path = status.getPath().getParent().toString()
-            paths[int(path.rpartition("=")[2])] = path
+            first, _, last = path.rpartition("=")[2].rpartition("-")
+            found[int(first or last) if kind != "upto" else 0, int(last)] = path
     return found
 
 
+def _cover(folders: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The widest folders that hold every batch once; folders nest or lie apart."""
+    chosen: list[tuple[int, int]] = []
+    for first, last in sorted(folders, key=lambda f: (f[0], -f[1])):
+        if not chosen or first > chosen[-1][1]:
+            chosen.append((first, last))
+    return chosen
+
+
 def _current(spark: SparkSession, out: str) -> list[str]:
-    """What counts: the last merged folder and the batches after it."""
+    """What counts."""
     found = _folders(spark, out)
-    last = max(found["upto"], default=-1)
-    merged = [found["upto"][last]] if last >= 0 else []
-    return merged + [path for n, path in sorted(found["batch_id"].items()) if n > last]
+    return [found[f] for f in _cover(found)]
 
 
 def read_histogram(spark: SparkSession, keys: Sequence[str], bin_col: str, out: str, schema: str | None = None) -> DataFrame:
@@ -63,23 +71,56 @@ def read_histogram(spark: SparkSession, keys: Sequence[str], bin_col: str, out:
     return stored.groupBy(*keys, bin_col).agg(F.sum("n").alias("n"))
 
 
-def compact(spark: SparkSession, keys: Sequence[str], bin_col: str, out: str) -> None:
-    """Merges all stored batches into one folder, so that files do not pile up.
+def _sum_of(spark: SparkSession, keys: Sequence[str], bin_col: str, paths: Sequence[str]) -> DataFrame:
+    return spark.read.parquet(*paths).groupBy(*keys, bin_col).agg(F.sum("n").alias("n"))
+
 
-    The merged folder names the last batch in it and counts from the moment it is complete;
-    what it replaces is ignored from then on and deleted. Run it between runs of the stream.
+def merge_tiers(spark: SparkSession, keys: Sequence[str], bin_col: str, out: str, fan: int = 10) -> None:
+    """Merges ``fan`` folders in a row into one, and ``fan`` of those again, while the stream and readers go on.
+
+    A span is named after the batches it holds and counts from the moment it is complete;
+    what it holds stays in place, so a reader that has begun finishes on what it saw.
+    Every batch is written once per tier. ``sweep`` deletes what has been merged.
     """
+    if fan < 2:
+        raise ValueError("a tier merges two folders at least")
+    found, width = _folders(spark, out), fan
+    newest = max((last for _, last in found), default=-1)
+    while width <= newest + 1:
+        for first in range(0, newest + 2 - width, width):
+            inner = [f for f in _cover(found) if first <= f[0] and f[1] < first + width]
+            held = sum(last - start + 1 for start, last in inner)
+            if len(inner) > 1 and held == width:
+                path = f"{out}/span={first}-{first + width - 1}"
+                _sum_of(spark, keys, bin_col, [found[f] for f in inner]).write.mode("overwrite").parquet(path)
+                found[first, first + width - 1] = path
+        width *= fan
+
+
+def sweep(spark: SparkSession, out: str) -> None:
+    """Deletes folders that a wider one holds; run it when no reader from before the merge is left."""
     found = _folders(spark, out)
-    last = max(found["batch_id"], default=-1)
-    if last <= max(found["upto"], default=-1):
-        return
-    read_histogram(spark, keys, bin_col, out).coalesce(1).write.mode("overwrite").parquet(f"{out}/upto={last}")
+    _delete(spark, [path for f, path in found.items() if f not in _cover(found)])
+
+
+def _delete(spark: SparkSession, paths: Sequence[str]) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for path in [*found["upto"].values(), *(p for n, p in found["batch_id"].items() if n <= last)]:
+    for path in paths:
         old = hadoop.Path(path)
         old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
 
+def compact(spark: SparkSession, keys: Sequence[str], bin_col: str, out: str) -> None:
+    """Merges all stored batches into one folder at once and deletes them; run it while nothing reads or writes."""
+    found = _folders(spark, out)
+    cover = _cover(found)
+    if len(cover) < 2:
+        return
+    last = cover[-1][1]
+    _sum_of(spark, keys, bin_col, [found[f] for f in cover]).write.mode("overwrite").parquet(f"{out}/upto={last}")
+    _delete(spark, [path for path in found.values() if not path.endswith(f"/upto={last}")])
+
+
 def run_daily_totals(stream: DataFrame, ts: str, keys: Sequence[str], out: str, checkpoint: str) -> None:
     """Counts per ``day`` of event time, complete after every run: late rows add to their day.
 
