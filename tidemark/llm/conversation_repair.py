@@ -20,10 +20,10 @@ longer by inserts costs more), so the order of audits is settled before any comm
 Long conversations: rows are numbered by a running sum over ranges and cut into blocks of
 ``BLOCK``. A block is searched for each role it can begin and end with, on any worker; a
 conversation then takes the best chain of its blocks. So one conversation may hold a third of all
-rows. Only letters travel to the search; texts meet their audit block by block, and digests
-read a conversation's blocks as a stream.
+rows. Only letters and hashes travel to the search. Texts meet their audit once, block by block;
+the digest of a conversation of several blocks reads them as a stream.
 
-Order: turn, null first, then role and text. Nulls in role and text are one space; null ids are
+Order: turn, null first, then role, then a hash of the text. Nulls in role and text are one space; null ids are
 one conversation. A role that is empty or has another initial is never kept as it is. Repeated
 rows are duplicates. A conversation without rows has cost 0 and an empty audit. An empty table
 gives no rows. Extra columns are not read.
@@ -41,12 +41,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.prefix import running_sums
-from tidemark.llm.rows import checkpointed
+from tidemark.llm.rows import checkpointed, with_row
 from tidemark.session import ship_package
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 
-#: Rows searched together.
+#: Rows searched together, unless said otherwise.
 BLOCK = 256
 
 #: The last role given: none yet, system, user, assistant. A repair may end in ``FINAL``.
@@ -120,9 +120,9 @@ def search(initials: str, faults: str, start: int = START, accept: tuple[int, ..
     return incumbent
 
 
-def block_options(block: int, initials: str, faults: str) -> list[tuple[int, int, int, str]]:
+def block_options(block: int, initials: str, faults: str, size: int = BLOCK) -> list[tuple[int, int, int, str]]:
     """(start, end, cost, audit) for every way through a block; a first block that is not full is the only one."""
-    if block == 0 and len(initials) < BLOCK:
+    if block == 0 and len(initials) < size:
         return [(START, ASSISTANT, *search(initials, faults))]
     ways = ((s, e, search(initials, faults, s, (e,))) for s in ((START,) if block == 0 else range(4)) for e in range(4))
     return [(s, e, *found) for s, e, found in ways if found is not None]
@@ -166,59 +166,58 @@ def _spaced(column: Column) -> Column:
 
 
 def damage(turns: DataFrame) -> DataFrame:
-    """``conv_id``, ``turn`` and ``versions`` (the rows, of ``role`` and ``text``, that damage leaves of each row)."""
+    """``conv_id``, ``turn``, ``_row`` and ``versions`` (the rows, of ``role`` and ``text``, that damage leaves of each row)."""
     kind = F.crc32(F.concat_ws(":", _spaced(F.col("conv_id")), _spaced(F.col("turn"))).cast("binary")) % 20
     role, text = _spaced(F.col("role")), _spaced(F.col("text"))
     row = F.struct(
         F.when(kind == 4, "user").otherwise(role).alias("role"),
         F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
     )
-    return turns.select("conv_id", "turn", F.array_repeat(row, F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)).alias("versions"))
+    versions = F.array_repeat(row, F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)).alias("versions")
+    return with_row(turns.select("conv_id", "turn", "role", "text")).select("conv_id", "turn", "_row", versions)
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """Key, ``position`` in the conversation, ``block``, ``role``, ``text`` and ``fault`` (b, d, t or -) of every row."""
-    rows = turns.select(*_KEY, "turn", F.col("turn").isNotNull().alias("_dated"), _spaced(F.col("role")).alias("role"), _spaced(F.col("text")).alias("text"))
-    placed = running_sums(
-        rows.select(*_KEY, F.coalesce("turn", F.lit(0)).alias("_turn"), "_dated", "role", "text", F.lit(1).alias("_one")),
-        "_one",
-        ["_dated", "_turn", "role", "text"],
-        within=_KEY,
+def numbered(rows: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Key, ``_row``, ``_copy``, ``position`` in the conversation, ``block``, ``initial`` and ``fault`` (b, d, t or -); no texts."""
+    text = F.col("text")
+    letter = F.when(~text.rlike(f"[^{_SPACE}]"), "b").when(~text.rlike(rf"[.!?][{_SPACE}]*\z"), "t").otherwise("-")
+    slim = rows.select(
+        *_KEY, "_row", "_copy", F.col("turn").isNotNull().alias("_dated"), F.coalesce("turn", F.lit(0)).alias("_turn"), "role",
+        F.xxhash64(text).alias("_h1"), F.xxhash64(text, F.lit(1)).alias("_h2"), letter.alias("_letter"), F.lit(1).alias("_one"),
     )
+    placed = running_sums(slim, "_one", ["_dated", "_turn", "role", "_h1", "_h2"], within=_KEY)
     same = [*_KEY, "role", "_h1", "_h2"]
-    hashed = placed.select(*_KEY, "position", "role", "text", F.xxhash64("text").alias("_h1"), F.xxhash64("text", F.lit(1)).alias("_h2"))
-    firsts = hashed.groupBy(*same).agg(F.min("position").alias("_first"))
-    last = F.when(~F.col("text").rlike(f"[^{_SPACE}]"), "b").when(F.col("position") > F.col("_first"), "d")
-    fault = last.when(~F.col("text").rlike(rf"[.!?][{_SPACE}]*\z"), "t").otherwise("-")
-    return hashed.join(firsts, same).select(
-        *_KEY, "position", F.floor(F.col("position") / BLOCK).cast("long").alias("block"), "role", "text", fault.alias("fault")
+    firsts = placed.groupBy(*same).agg(F.min("position").alias("_first"))
+    fault = F.when(F.col("_letter") == "b", "b").when(F.col("position") > F.col("_first"), "d").otherwise(F.col("_letter"))
+    initial = F.substring(F.concat("role", F.lit("?")), 1, 1)
+    return placed.join(firsts, same).select(
+        *_KEY, "_row", "_copy", "position", F.floor(F.col("position") / size).cast("long").alias("block"), initial.alias("initial"), fault.alias("fault")
     )
 
 
 _OPTIONS = "array<struct<start:int,end:int,cost:long,audit:string>>"
 
 
-def _searched(rows: DataFrame) -> DataFrame:
+def _searched(rows: DataFrame, size: int) -> DataFrame:
     """A row per block: ``initials``, ``faults`` and ``options``."""
-    at = F.sort_array(F.collect_list(F.struct("position", F.substring(F.concat("role", F.lit("?")), 1, 1).alias("i"), "fault")))
-    blocks = rows.groupBy(*_KEY, "block").agg(at.alias("_rows"))
+    blocks = rows.groupBy(*_KEY, "block").agg(F.sort_array(F.collect_list(F.struct("position", "initial", "fault"))).alias("_rows"))
     text = lambda f: F.array_join(F.transform("_rows", lambda r: r[f]), "")
-    letters = blocks.select(*_KEY, "block", text("i").alias("initials"), text("fault").alias("faults"))
+    letters = blocks.select(*_KEY, "block", text("initial").alias("initials"), text("fault").alias("faults"))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("cost", pa.int64()), ("audit", pa.string())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             told = zip(*(batch.column(c).to_pylist() for c in ("block", "initials", "faults")), strict=True)
-            found = [[dict(zip(("start", "end", "cost", "audit"), o, strict=True)) for o in block_options(*b)] for b in told]
+            found = [[dict(zip(("start", "end", "cost", "audit"), o, strict=True)) for o in block_options(*b, size)] for b in told]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, "options"])
 
     return letters.mapInArrow(run, letters.withColumn("options", F.lit(None).cast(_OPTIONS)).schema)
 
 
-def audits(rows: DataFrame) -> DataFrame:
+def audits(rows: DataFrame, size: int = BLOCK) -> DataFrame:
     """Key, ``blank``, ``duplicate``, ``truncated``, ``illegal``, ``cost``, ``audit`` and ``parts`` (the audit by block)."""
     ship_package(rows.sparkSession)
-    blocks = _searched(rows).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("block", "initials", "faults", "options"))).alias("blocks"))
+    blocks = _searched(rows, size).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("block", "initials", "faults", "options"))).alias("blocks"))
     part = pa.list_(pa.struct([("block", pa.int64()), ("start", pa.int32()), ("audit", pa.string())]))
     names = ["blank", "duplicate", "truncated", "illegal", "cost", "audit", "parts"]
 
@@ -238,35 +237,44 @@ def audits(rows: DataFrame) -> DataFrame:
     return blocks.select(*_KEY, "blocks").mapInArrow(run, schema)
 
 
-def repaired_blocks(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Key, ``block`` and ``lines`` (the repaired ``role:text`` of the block's rows)."""
-    parts = found.select(*_KEY, F.explode("parts").alias("_part")).select(*_KEY, "_part.*")
-    texts = rows.groupBy(*_KEY, "block").agg(F.sort_array(F.collect_list(F.struct("position", "role", "text"))).alias("_rows"))
-    both = texts.join(parts, [*_KEY, "block"]).select(*_KEY, "block", "start", "audit", F.col("_rows.role").alias("roles"), F.col("_rows.text").alias("texts"))
+def repaired_blocks(texts: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Key, ``block``, ``alone`` (the conversation's only one), ``lines`` (the repaired ``role:text``) and their ``digest``."""
+    alone = (F.size("parts") == 1).alias("alone")
+    parts = found.select(*_KEY, alone, F.explode("parts").alias("_part")).select(*_KEY, "alone", "_part.*")
+    placed = texts.select("_row", "_copy", "role", "text").join(rows.select(*_KEY, "_row", "_copy", "position", "block"), ["_row", "_copy"])
+    held = placed.groupBy(*_KEY, "block").agg(F.sort_array(F.collect_list(F.struct("position", "role", "text"))).alias("_rows"))
+    both = held.join(parts, [*_KEY, "block"]).select(*_KEY, "block", "alone", "start", "audit", F.col("_rows.role").alias("roles"), F.col("_rows.text").alias("texts"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)
-                told = zip(*(some.column(c).to_pylist() for c in ("start", "audit", "roles", "texts")), strict=True)
-                lines = pa.array([_lines(*t) for t in told], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([*some.columns[:3], lines], names=[*_KEY, "block", "lines"])
+                lines = [_lines(*t) for t in zip(*(some.column(c).to_pylist() for c in ("start", "audit", "roles", "texts")), strict=True)]
+                columns = [pa.array(lines, pa.list_(pa.string())), pa.array([hashlib.sha256("\n".join(x).encode()).hexdigest() for x in lines], pa.string())]
+                yield pa.RecordBatch.from_arrays([*some.columns[:4], *columns], names=[*_KEY, "block", "alone", "lines", "digest"])
 
-    return both.mapInArrow(run, both.select(*_KEY, "block", F.col("texts").alias("lines")).schema)
+    return both.mapInArrow(run, both.select(*_KEY, "block", "alone", F.col("texts").alias("lines"), F.col("audit").alias("digest")).schema)
 
 
 def digests(blocks: DataFrame) -> DataFrame:
-    """Key and ``repaired_sha256`` of each conversation's lines, joined by newlines; blocks are read in order as a stream."""
-    streams = blocks.repartition(*_KEY).sortWithinPartitions(*_KEY, "block")
+    """Key and ``repaired_sha256`` of each conversation's lines, joined by newlines.
+
+    The only block of a conversation brings its digest; several are read in order as a stream.
+    """
+    streams = blocks.select(*_KEY, "block", "digest", F.when(~F.col("alone"), F.col("lines")).alias("lines")).repartition(*_KEY).sortWithinPartitions(*_KEY, "block")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, digest, begun = None, None, False
         for batch in batches:
             done = []
-            for none, conv, lines in zip(*(batch.column(c).to_pylist() for c in (*_KEY, "lines")), strict=True):
-                if key != (none, conv):
-                    if key is not None:
-                        done.append((*key, digest.hexdigest()))
+            for none, conv, alone, lines in zip(*(batch.column(c).to_pylist() for c in (*_KEY, "digest", "lines")), strict=True):
+                if key is not None and key != (none, conv):
+                    done.append((*key, digest.hexdigest()))
+                    key = None
+                if lines is None:
+                    done.append((none, conv, alone))
+                    continue
+                if key is None:
                     key, digest, begun = (none, conv), hashlib.sha256(), False
                 for line in lines:
                     digest.update((("\n" if begun else "") + line).encode())
@@ -284,16 +292,20 @@ def _digest_rows(done: list[tuple[bool, str, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[*_KEY, "repaired_sha256"])
 
 
-def repair(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For rows ``conv_id``, ``turn`` and ``versions`` (as ``damage`` gives them): a summary of each conversation
+def repair(turns: DataFrame, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """For rows ``conv_id``, ``turn`` and ``versions`` (as ``damage`` gives them; ``_row``, if there, tells rows apart): a summary of each conversation
     (``conv_id``, ``gaps``, counts of faults, ``cost``, ``audit``, ``repaired_sha256``), and the repaired blocks."""
     keyed = _keyed(turns, "conv_id")
     there = F.when(F.size("versions") > 0, F.col("turn"))
     gaps = F.coalesce(F.max(there) - F.min(there) + 1 - F.count_distinct(there), F.lit(0)).cast("long")
     known = keyed.groupBy(*_KEY, "conv_id").agg(gaps.alias("gaps"))
-    rows = checkpointed(numbered(keyed.select(*_KEY, "turn", F.explode("versions").alias("_v")).select(*_KEY, "turn", "_v.*")))
-    found = checkpointed(audits(rows))
-    blocks = repaired_blocks(rows, found)
+    kept = with_row(keyed) if "_row" not in keyed.columns else keyed
+    texts = kept.select(*_KEY, "_row", "turn", F.posexplode("versions").alias("_copy", "_v")).select(
+        *_KEY, "_row", "turn", "_copy", _spaced(F.col("_v.role")).alias("role"), _spaced(F.col("_v.text")).alias("text")
+    )
+    rows = checkpointed(numbered(texts, size))
+    found = checkpointed(audits(rows, size))
+    blocks = repaired_blocks(texts, rows, found)
     counts = ["blank", "duplicate", "truncated", "illegal", "cost"]
     summary = known.join(found.drop("parts"), _KEY, "left").join(digests(blocks), _KEY, "left").select(
         "conv_id",
