@@ -6,10 +6,12 @@ from collections import Counter
 
 import pytest
 from llm_tables import messy, written  # noqa: F401  (fixtures)
-from test_joins import WORD, brute_dedup, brute_groups, plain_fingerprint
+from pyspark.sql import functions as F
+from test_joins import WORD, brute_dedup
+from test_near_copies import brute_groups
 
 import corpus_pipeline
-from tidemark.llm import line_dedup
+from tidemark.llm import line_dedup, mixing
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -60,7 +62,7 @@ def test_each_stage(spark, written, tmp_path):
 
     before, after = seen["near_dedup"]
     before = sorted(before, key=lambda r: r.doc_id)
-    roots = brute_groups([plain_fingerprint(r.text) for r in before])
+    roots = brute_groups([r.text for r in before])
     assert {r.doc_id for r in after} == {before[k].doc_id for k in set(roots)}
 
     before, after = seen["mixing"]
@@ -78,6 +80,33 @@ def test_each_stage(spark, written, tmp_path):
         assert r.decoded == library.decode(ids[r.doc_id], skip_special_tokens=False)
 
 
+def test_mix_rows_stand_by_shard_and_draw(spark, written):
+    docs = written(corpus(), files=2)
+    mixed = mixing.mixed(docs, corpus_pipeline.WEIGHTS, cap=corpus_pipeline.CAP)
+    order = [(r.mix_shard, r.mix_draw, r.doc_id) for r in mixed.collect()]
+    staged = corpus_pipeline.mix_sources(spark, docs, "").withColumn("_part", F.spark_partition_id())
+    assert [r.doc_id for r in staged.collect()] == [r[2] for r in sorted(order)] and len({r[0] for r in order}) == 8
+
+
+def strange_words(alphabet, rng, n):
+    return " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def test_unlearned_languages_go_and_labelled_rows_stay(spark, written):
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rng, rows = random.Random(3), []
+    scripts = {"cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "cjk": range(0x4E00, 0x4F00), "latin": range(0x61, 0x7B)}
+    alphabets = {name: [chr(c) for c in points] for name, points in scripts.items()} | {"invented": ["ka", "to", "mu", "ri", "shi", "no", "ha", "wo", "tsu", "ke"]}
+    for k, alphabet in enumerate(alphabets.values()):
+        rows += [(10**6 * (k + 1) + i, strange_words(alphabet, rng, rng.choice([40, 200, 900])), None, "s", None) for i in range(100)]
+    docs = known.unionByName(written(rows))
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs, "").select("doc_id").collect()}
+    labelled = {r.doc_id for r in known.where("lang is not null and text rlike '\\\\p{L}'").select("doc_id").collect()}
+    assert labelled <= kept
+    for k, name in enumerate(alphabets):
+        assert sum(d // 10**6 == k + 1 for d in kept) <= 5, name
+
+
 def test_run_is_the_stages_in_a_row(spark, written, tmp_path):
     written(corpus()).write.parquet(f"{tmp_path}/sf/documents.parquet")
     found = corpus_pipeline.run(spark, f"{tmp_path}/sf")

@@ -53,7 +53,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 COVERED = (80, 100)
 
 #: Texts a range is meant for, records a batch holds.
-RANGE_TEXTS, HELD = 2048, 1_000_000
+RANGE_TEXTS, HELD = 1024, 300_000
 
 #: The sample that cuts ranges: so many texts per range, and of those every so manieth record.
 SAMPLED_TEXTS, SAMPLED_EVERY = 8, 16

@@ -2,7 +2,8 @@
 
 Each source gets a target of words; one that would pass ``cap`` times its size stops there
 and the others share what is left by weight. A source's documents stand in a hashed order;
-its words, repeated as often as the target asks, are cut into blocks of equal words. How
+its words, repeated as often as the target asks, are cut into blocks of equal words, and a
+document is taken where the block of its middle word has been drawn by a shard. How
 many blocks of each source a shard takes is drawn by a splitting tree: the quotas of a node
 are split over its two halves as draws without replacement (a multivariate hypergeometric
 draw, made exactly by selection sampling), down to single shards, so every shard has its
@@ -133,27 +134,38 @@ def mix_plan(
     return (
         placed.join(small(plan), SOURCE)
         .withColumn("_middle", F.col("before") + F.col("size") / 2)
-        .withColumn("_times", F.expr("if(source_size > 0, int(greatest(0, ceil((target - _middle) / source_size))), 0)"))
-        .withColumn("copies", F.when(F.col("_times") > 0, _copies(seed)).otherwise(F.filter(_copies(seed), lambda c: F.lit(False))))
+        .withColumn("_epochs", F.expr("if(source_size > 0, int(ceil(target / source_size)), 0)"))
+        .withColumn("copies", F.filter(_places(seed), lambda c: c["shard"].isNotNull()))
         .select("_row", F.col("_key").alias(key), "size", "source_size", "target", "copies")
     )
 
 
-def _copies(seed: int) -> Column:
-    block = "least(size(block_shards) - 1, int((e * source_size + _middle) / block_words))"
+def _places(seed: int) -> Column:
+    """Where each epoch puts a document: its block, and the shard that drew it, if one did.
+
+    A block is as long as ``block_words``, the last one of a source as long as its target leaves.
+    """
+    place = "e * source_size + _middle"
+    block = f"int(({place}) / block_words)"
     return F.expr(
-        f"transform(sequence(0, greatest(_times, 1) - 1), e -> named_struct('epoch', e, 'block', {block}, "
-        f"'shard', get(block_shards, {block}), 'draw', xxhash64({seed}L, _row, e)))"
+        f"transform(if(_epochs > 0, sequence(0, _epochs - 1), array()), e -> named_struct('epoch', e, 'block', {block}, "
+        f"'shard', if({place} < target, get(block_shards, {block}), null), 'draw', xxhash64({seed}L, _row, e)))"
     )
 
 
 def mixed(docs: DataFrame, weights: list[int], **options) -> DataFrame:
     """The mixed corpus: a row with all columns of ``docs`` per copy, then ``mix_shard`` and ``mix_draw``.
 
-    A shard is written in mixed order by sorting its rows by ``mix_draw``.
+    ``shuffled`` puts the rows in the order they are to be written in.
     """
     plan = mix_plan(docs, weights, **options).where(F.size("copies") > 0).select("_row", "copies")
     rows = with_row(docs.select(F.struct("*").alias("_doc")))
     copies = rows.join(plan, "_row").select("_doc", F.explode("copies").alias("_copy"))
     kept = [F.col("_doc")[c].alias(c) for c in docs.columns if c not in ("mix_shard", "mix_draw")]
     return copies.select(*kept, F.col("_copy.shard").alias("mix_shard"), F.col("_copy.draw").alias("mix_draw"))
+
+
+def shuffled(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mixed`` shard by shard, each shard in the order of its draws; a shard may take many files."""
+    order = ["mix_shard", "mix_draw"]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -46,7 +46,9 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf, "documents"), weights=[5, 2, 1], cap=3.0)
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"))
+    return plan.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), F.col("copies.shard").alias("shards")
+    )
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -51,6 +53,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, and the shuffle files of the steps before it let go.
+
+    Spark deletes the files of a finished step once the driver's JVM has collected what stood
+    for it, which a driver that does little else may put off for half an hour. The events of
+    the last run hold its plan for a moment, so it is asked more than once.
+    """
+    kept = checkpointed(df)
+    del df
+    gc.collect()
+    for seconds in (0.2, 0.5, 1.0):
+        time.sleep(seconds)
+        kept.sparkSession._jvm.System.gc()
+    return kept
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into groups of ``rows`` rows, so a worker unpacks few texts at once."""
     for batch in batches:

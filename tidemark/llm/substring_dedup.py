@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.prefix import running_sums
-from tidemark.llm.rows import checkpointed, slices, with_row
+from tidemark.llm.rows import checkpointed, released, slices, with_row
 from tidemark.session import ship_package
 
 WINDOW = 20
@@ -228,6 +228,20 @@ def _merge(starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
     return np.column_stack([s[opens], reach[np.append(opens[1:], len(s)) - 1]]).ravel()
 
 
+def _repeated_runs(windows: DataFrame, window: int) -> DataFrame:
+    """``rank`` and ``runs`` of the texts that hold windows met earlier."""
+
+    @F.pandas_udf("array<int>")
+    def merged(starts: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([_merge(s, n, window) for s, n in zip(starts, counts, strict=True)])
+
+    sure = F.col("again") > 0
+    nth = F.row_number().over(W.partitionBy("w1", "w2", sure).orderBy("rank", "pos"))
+    later = windows.withColumn("_nth", nth).where(sure | (F.col("_nth") > 1))
+    runs = later.groupBy("rank").agg(F.collect_list("pos").alias("_s"), F.collect_list(F.greatest("again", F.lit(1))).alias("_n"))
+    return runs.select("rank", merged("_s", "_n").alias("runs"))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``_row`` and ``runs`` (bounds of the words to delete) of each text with repeats; ``docs`` has ``_row``."""
     ship_package(docs.sparkSession)
@@ -239,18 +253,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: st
     places = running_sums(order, "_one", ["_no_key", "_key", "_file", "_at"]).select("_file", "_batch", "_at", "position")
     places = checkpointed(places)
     bits = max(6, (max(1, places.count()) // BUCKET_TEXTS).bit_length())
-    hits = checkpointed(_index(rows, bits, window))
-    windows = _windows(rows, places, hits, bits, window)
-
-    @F.pandas_udf("array<int>")
-    def merged(starts: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([_merge(s, n, window) for s, n in zip(starts, counts, strict=True)])
-
-    sure = F.col("again") > 0
-    nth = F.row_number().over(W.partitionBy("w1", "w2", sure).orderBy("rank", "pos"))
-    later = windows.withColumn("_nth", nth).where(sure | (F.col("_nth") > 1))
-    runs = later.groupBy("rank").agg(F.collect_list("pos").alias("_s"), F.collect_list(F.greatest("again", F.lit(1))).alias("_n"))
-    found = checkpointed(runs.select("rank", merged("_s", "_n").alias("runs")))
+    hits = released(_index(rows, bits, window))
+    found = released(_repeated_runs(_windows(rows, places, hits, bits, window), window))
     return found.join(places, found["rank"] == places["position"]).select(F.struct(F.col("_file").alias("file"), F.col("_at").alias("at")).alias("_row"), "runs")
 
 
