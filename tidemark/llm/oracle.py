@@ -145,26 +145,28 @@ FROM words d LEFT JOIN dropped r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.do
 
 ORACLE["op12_collocations"] = r"""
 WITH docs AS (
-    SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+    SELECT coalesce(lang, 'und') AS lang,
         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p
     FROM documents),
-pieces AS (SELECT lang, regexp_extract_all(u.p, '[^\x20\x09]+') AS w FROM docs, LATERAL (SELECT unnest(docs.p) AS p) u),
+pieces AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(p) AS p FROM docs)),
 grams AS (
     SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
     FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 5) ks(k) WHERE len(w) >= k)),
-counts AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+counts AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
 totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
-split AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counts),
+split AS MATERIALIZED (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counts),
 covered AS (
     SELECT DISTINCT s.lang, s.phrase
     FROM split s JOIN (
         SELECT lang, f, k, w, m, i, array_to_string(w[i:i + m - 1], ' ') AS inner_
         FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM split, range(2, 4) ms(m) WHERE m < k)) x
     ON x.lang = s.lang AND x.inner_ = s.phrase WHERE 100 * x.f >= 80 * s.f),
+parts AS (
+    SELECT lang, phrase, f AS a, c, array_to_string(w[1:c], ' ') AS before, array_to_string(w[c + 1:], ' ') AS after
+    FROM (SELECT *, unnest(range(1, k)) AS c FROM split WHERE k > 1)),
 cuts AS (
-    SELECT s.lang, s.phrase, s.f AS a, c, l.f AS l, r.f AS r, (2000000 * s.f) // (l.f + r.f) AS score
-    FROM split s, range(1, 4) cs(c), counts l, counts r
-    WHERE c < s.k AND l.lang = s.lang AND l.phrase = array_to_string(s.w[1:c], ' ') AND r.lang = s.lang AND r.phrase = array_to_string(s.w[c + 1:], ' ')),
+    SELECT p.lang, p.phrase, a, c, l.f AS l, r.f AS r, (2000000 * a) // (l.f + r.f) AS score
+    FROM parts p JOIN counts l ON l.lang = p.lang AND l.phrase = p.before JOIN counts r ON r.lang = p.lang AND r.phrase = p.after),
 least_ AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS nth FROM cuts),
 ranked AS (
     SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
