@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from llm_tables import written  # noqa: F401  (fixture)
 
 import corpus_pipeline
@@ -63,3 +65,24 @@ def test_stage_drops_copies_beyond_three_bits(spark, written):
         far[at] = "edit"
     docs = written([(i, " ".join(t), "en", "a", None) for i, t in enumerate((words, near, far))])
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()} == {0, 2}
+
+
+def test_trees_find_alike_fingerprints_across_shards(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SHARD", 200)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (400, near_copies.WORDS)).astype(np.uint64)
+    flipped = base.copy()
+    for row in flipped:
+        for at in rng.choice(64 * near_copies.WORDS, 27, replace=False).tolist():
+            row[at // 64] ^= np.uint64(1 << at % 64)
+    both = np.concatenate([base, flipped]).view(np.int64).tolist()
+    points = spark.createDataFrame([(i, *row) for i, row in enumerate(both)], ", ".join(["point long", *(f"{s} long" for s in near_copies.SIGNS)]))
+    edges = {tuple(sorted(r)) for r in near_copies.alike_edges(points.repartition(3)).collect()}
+    assert edges <= {(i, i + 400) for i in range(400)} and len(edges) >= 396
+
+
+def test_large_classes_are_led_to_the_same_groups(written, monkeypatch):
+    texts = corpus()
+    monkeypatch.setattr(near_copies, "TOGETHER", 20)
+    got = near_copies.groups(written([(i, t, None, None, None) for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(brute_groups(texts)))

@@ -1,23 +1,24 @@
-"""Near copies by Jaccard similarity: texts that share four fifths of their word shingles or more.
+"""Near copies by Jaccard similarity, found by SimHash fingerprints in vantage-point trees.
 
 A text is the set of its shingles of ``SHINGLE`` words; two texts link if their sets have a
 Jaccard similarity of ``LEAST`` or more, and linked texts form groups. Every link is checked
 on the whole sets (64-bit hashes of shingles), so nothing less similar is ever linked.
 
-Search. Texts with the same set are one point. A set has ``BANDS`` keys, each of ``ROWS``
-minimum hashes; sets with a key in common meet in that key's bucket. A pair at similarity
-0.8 misses all buckets with a chance of (1 - 0.8**5)**20 = 0.0004, one at 0.9 with 1e-8; no
-other pair is left out. A round compares the members of each bucket with one leader that a
-hash draws, then joins what is similar; a large group of near copies falls together in it
-without being paired. Rounds go on while they link anything and more pairs of different
-groups are left in the buckets than half of their members. Then all pairs left are compared, so
-what rounds did not find is found there. Pairs whose sizes alone rule out the similarity
-are not compared. Texts in a bucket that are not similar do meet each other all: many texts
-of one size that share about half of their words cost the square of their bucket.
-
-A pair is first compared by signatures, two bits of each minimum hash: sets at similarity 0.8
-differ in 15 of 100 on average, and in more than ``FAR`` with a chance of 3e-7. Only pairs that
-pass are joined with their whole sets. What a round has shuffled is let go before the next.
+Search. Texts with the same set are one point. Its fingerprint has ``64 * WORDS`` bits, each set
+if more than half of the set's hashes have it set. At similarity 0.8 a bit differs with a chance
+of 0.15. There are ``TREES`` vantage-point trees, each over ``PART`` drawn bits, with the splits and
+the dealing of ``simhash``; a tree asks for pairs that differ in one of its bits at most. Such
+pairs meet in a shard, as there, and are alike if at most ``FAR`` bits of the whole fingerprint
+differ. A pair at 0.8 has a chance of 0.18 in each tree and is missed by all with one of about
+0.002, one at 0.9 with 1e-6. A shard passes on one edge per alike point, and the components of
+these edges are classes: no similar pair that was found lies in two of them.
+
+Links. Classes are small as a rule; one of up to ``TOGETHER`` texts is settled in one group, pair by
+pair. In a larger one some members lead: all others of the class are compared with them, where
+the sets lie. Texts that are not in the class's largest group lead in turn until each has,
+so any two texts of different groups have been compared. Nothing but links leaves such a step. A
+large group of near copies falls together in the first turns; many texts that are alike and
+not similar do meet each other all.
 
 Words are as in ``simhash``. Nulls: null and empty texts are one set. The key must be unique
 and not null; extra columns are not read. An empty table gives no rows.
@@ -28,27 +29,38 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.rows import checkpointed, released, slices, small
-from tidemark.llm.simhash import shingle_hashes
+from tidemark.llm.simhash import MOST_SHARDS, SAMPLED, Split, _roots, _union, build, choose, shingle_hashes
 from tidemark.session import ship_package
 
 SHINGLE, LEAST = 5, (4, 5)
-BANDS, ROWS = 20, 5
 
-#: Minimum hashes in which signatures of similar sets may differ: five deviations above the mean at similarity 0.8.
-FAR = 33
+#: Words of a fingerprint, trees, and bits that a tree looks at.
+WORDS, TREES, PART = 4, 36, 20
 
-#: Pairs left per member of a bucket up to which they are all compared at once.
-_LEFT = 0.5
+#: Bits in which alike fingerprints may differ, of all and of the first 64: five deviations above the mean at similarity 0.8.
+FAR, FAR_FIRST = 68, 24
+
+#: Points a shard aims at, points compared all to all, and members of a class that is settled in one group.
+SHARD, LEAF, TOGETHER = 1 << 17, 512, 256
+
+#: Leaders of a class in its first turn, and at most.
+LEADERS, MOST_LEADERS = 4, 256
+
+SIGNS = [f"s{k}" for k in range(WORDS)]
 
 _random = np.random.default_rng(11)
-_MASKS, _FACTORS, _MIX = (_random.integers(0, np.iinfo(np.uint64).max, (BANDS * ROWS, 1), np.uint64) | np.uint64(1) for _ in range(3))
+_MASKS, _FACTORS = (_random.integers(0, np.iinfo(np.uint64).max, (WORDS, 1), np.uint64) | np.uint64(1) for _ in range(2))
+_PER_DRAW = 64 * WORDS // PART
+_PARTS = np.concatenate([_random.permutation(64 * WORDS)[: _PER_DRAW * PART].reshape(-1, PART) for _ in range(-(-TREES // _PER_DRAW))])[:TREES]
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -56,25 +68,96 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, shingle) or [0], np.uint64))
 
 
-def minima(own: np.ndarray) -> np.ndarray:
-    """The minimum hashes of a set, mixed."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(own), 1024):
-        mixed = (own[None, start : start + 1024] ^ _MASKS) * _FACTORS
-        np.minimum(least, mixed.min(axis=1), out=least)
-    return (least ^ (least >> np.uint64(31))) * _MIX[:, 0]
-
-
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """The keys of a set: sets have one in common if ``ROWS`` minimum hashes of a band agree."""
-    return minima(own).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
-
-
-def signature(least: np.ndarray) -> np.ndarray:
-    """Two bits of each minimum hash, 32 of them to a number."""
-    codes = np.zeros(-(-len(least) // 32) * 32, np.uint64)
-    codes[: len(least)] = least >> np.uint64(62)
-    return np.bitwise_or.reduce(codes.reshape(-1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1)
+def signs(own: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set, ``WORDS`` numbers."""
+    ones = np.zeros((WORDS, 64), np.int64)
+    for start in range(0, len(own), 16384):
+        mixed = (own[None, start : start + 16384] ^ _MASKS) * _FACTORS
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _FACTORS[::-1]
+        mixed ^= mixed >> np.uint64(29)
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(WORDS, -1, 8), axis=2, bitorder="little")
+        ones += bits.sum(axis=1, dtype=np.uint16)
+    return np.packbits(2 * ones > len(own), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def part(fingerprints: np.ndarray, tree: int) -> np.ndarray:
+    """The bits a tree looks at, side by side."""
+    out = np.zeros(len(fingerprints), np.uint64)
+    for k, at in enumerate(_PARTS[tree].tolist()):
+        out |= ((fingerprints[:, at // 64] >> np.uint64(at % 64)) & np.uint64(1)) << np.uint64(k)
+    return out
+
+
+def _dealt(at: np.ndarray, own: np.ndarray, tree: Split | int) -> list[tuple[int, np.ndarray]]:
+    """``simhash.deal`` for the points at ``at``, by place."""
+    if not len(at):
+        return []
+    if isinstance(tree, int):
+        return [(tree, at)]
+    near, far = tree.sides(own[at])
+    return _dealt(at[near], own, tree.near) + _dealt(at[far], own, tree.far)
+
+
+def alike_groups(fingerprints: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each point of a shard the first of those that alike pairs join it to; ``own``: the tree's part."""
+    parent = np.arange(len(own))
+    stack, found, waiting = [(np.arange(len(own)), 0)], [], 0
+    while stack:
+        at, kind = stack.pop()
+        node = choose(own[at], kind) if len(at) > LEAF else None
+        if node is not None:
+            near, far = node.sides(own[at])
+            stack += [(at[near], node.metric), (at[far], node.metric)]
+            continue
+        for start in range(0, len(at), 256):  # a part that no vantage point splits is compared in strips
+            rows = at[start : start + 256]
+            for other in range(start, len(at), 4096):
+                columns = at[other : other + 4096]
+                close = np.bitwise_count(fingerprints[rows, 0][:, None] ^ fingerprints[columns, 0]) <= FAR_FIRST
+                i, j = np.nonzero(close & (parent[rows][:, None] != parent[columns]))
+                a, b = rows[i], columns[j]
+                alike = np.bitwise_count(fingerprints[a] ^ fingerprints[b]).sum(axis=1, dtype=np.int64) <= FAR
+                found.append((a[alike], b[alike]))
+                waiting += len(found[-1][0])
+                if waiting > 1 << 17:
+                    _union(parent, *map(np.concatenate, zip(*found, strict=True)))
+                    parent, found, waiting = _roots(parent), [], 0
+    if found:
+        _union(parent, *map(np.concatenate, zip(*found, strict=True)))
+    return _roots(parent)
+
+
+def _unsigned(columns: Iterable[np.ndarray]) -> np.ndarray:
+    return np.column_stack(list(columns)).view(np.uint64)
+
+
+def alike_edges(points: DataFrame) -> DataFrame:
+    """Edges ``a``, ``b`` between points that hold all classes; ``points``: ``point``, unique, and ``SIGNS``."""
+    spark = points.sparkSession
+    wanted = min(MOST_SHARDS, max(1, points.count() // SHARD))
+    sample = points.orderBy(F.xxhash64("point", F.lit(1)), "point").limit(wanted * SAMPLED * 4).select(*SIGNS).collect()  # bounded by MOST_SHARDS
+    drawn = np.array(sample, np.int64).reshape(-1, WORDS).view(np.uint64)
+    trees = [build(part(drawn, tree), 0, (wanted - 1).bit_length(), []) for tree in range(TREES)]
+    shared = spark.sparkContext.broadcast(trees)  # bounded as the sample
+
+    def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_signs = _unsigned(c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+            for number, tree in enumerate(shared.value):
+                for shard, at in _dealt(np.arange(batch.num_rows), part(all_signs, number), tree):
+                    place = [pa.array(np.full(len(at), k, np.int32)) for k in (number, shard)]
+                    yield pa.RecordBatch.from_arrays([*place, *batch.take(pa.array(at)).columns], names=["tree", "shard", "point", *SIGNS])
+
+    def search(key: tuple[int, int], frame: pd.DataFrame) -> pd.DataFrame:
+        all_signs = _unsigned(frame[s].to_numpy() for s in SIGNS)
+        first = alike_groups(all_signs, part(all_signs, int(key[0])))
+        moved = np.nonzero(first != np.arange(len(first)))[0]
+        point = frame["point"].to_numpy()
+        return pd.DataFrame({"a": point[moved], "b": point[first[moved]]})
+
+    kinds = ", ".join(f"{s} long" for s in SIGNS)
+    dealt = points.select("point", *SIGNS).mapInArrow(shards, f"tree int, shard int, point long, {kinds}")
+    return dealt.groupBy("tree", "shard").applyInPandas(search, "a long, b long")
 
 
 def _mapped(rows: DataFrame, schema: str, make) -> DataFrame:
@@ -92,101 +175,86 @@ def _mapped(rows: DataFrame, schema: str, make) -> DataFrame:
     return rows.mapInArrow(run, names)
 
 
-def _sketch(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
+def _sketch(text: str | None) -> tuple[int, ...]:
     own = shingle_set(text)
-    least = minima(own)
-    bands = least.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
-    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 1)).view(np.int64)), len(own), bands.view(np.int64), signature(least).view(np.int64)
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 1)).view(np.int64)), len(own), *signs(own).view(np.int64).tolist()
 
 
 def _whole(text: str | None) -> tuple[np.ndarray]:
     return (shingle_set(text).view(np.int64),)
 
 
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
-
-
-def _alike(a: Column, b: Column) -> Column:
-    """Whether two signatures differ in few enough minimum hashes."""
-    apart = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
-    count = F.aggregate(apart, F.lit(0), lambda n, x: n + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))))
-    return count <= FAR
-
-
-def _similar(pairs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` whose whole sets are similar enough; only those with like signatures are looked at."""
-    sign = lambda side: signed.select(F.col("point").alias(side), F.col("sign").alias(f"_s{side}"))
-    alike = pairs.join(sign("a"), "a").join(sign("b"), "b").where(_alike(F.col("_sa"), F.col("_sb"))).select("a", "b")
-    both = alike.join(sets.select(F.col("point").alias("a"), F.col("hashes").alias("_a")), "a").join(
-        sets.select(F.col("point").alias("b"), F.col("hashes").alias("_b")), "b"
-    )
-    common = F.size(F.array_intersect("_a", "_b"))
-    sized = both.select("a", "b", common.alias("_common"), (F.size("_a") + F.size("_b") - common).alias("_union"))
-    return sized.where(F.col("_common") * LEAST[1] >= F.col("_union") * LEAST[0]).select("a", "b")
-
-
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def settled(sets: DataFrame) -> DataFrame:
+    """Edges ``a``, ``b`` that hold all groups of similar points of small classes, each in one group."""
 
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        point, n, sets_ = frame["point"].to_numpy(), frame["n"].to_numpy(), frame["hashes"].to_list()
+        all_signs = _unsigned(frame[s].to_numpy() for s in SIGNS)
+        parent, out = list(range(len(point))), []
+        for i in range(1, len(point)):
+            alike = np.bitwise_count(all_signs[:i] ^ all_signs[i]).sum(axis=1, dtype=np.int64) <= FAR
+            fits = np.minimum(n[:i], n[i]) * LEAST[1] >= np.maximum(n[:i], n[i]) * LEAST[0]
+            for j in np.nonzero(alike & fits)[0].tolist():
+                if parent[i] == parent[j]:
+                    continue
+                common = len(np.intersect1d(sets_[i], sets_[j], assume_unique=True))
+                if common * LEAST[1] >= (len(sets_[i]) + len(sets_[j]) - common) * LEAST[0]:
+                    low, high = sorted((parent[i], parent[j]))
+                    parent = [low if p == high else p for p in parent]
+                    out.append((point[i], point[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-def _with_leaders(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each bucket's members with its leader of this turn, if of other groups.
+    return sets.groupBy("class").applyInPandas(settle, "a long, b long")
 
-    The draw does not depend on the bucket, so buckets of the same members mostly have the same leader.
-    """
-    drawn = F.struct(F.xxhash64("point", F.lit(turn)), "point", "n", "root")
-    leaders = members.groupBy("band").agg(F.min(drawn).alias("_lead"))
-    lead = F.col("_lead")
-    met = members.join(leaders, "band").where((lead["root"] != F.col("root")) & _sizes_fit(lead["n"], F.col("n")))
-    return met.select(*_ordered(F.col("point"), lead["point"])).distinct()
 
-
-def _all_left(members: DataFrame) -> DataFrame:
-    """Pairs of different groups in each bucket."""
-    open_ = members.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("band")
-    left = members.join(open_, "band")
-    a, b = left.alias("x"), left.alias("y")
-    apart = (F.col("x.point") < F.col("y.point")) & (F.col("x.root") != F.col("y.root")) & _sizes_fit(F.col("x.n"), F.col("y.n"))
-    return a.join(b, (F.col("x.band") == F.col("y.band")) & apart).select(F.col("x.point").alias("a"), F.col("y.point").alias("b")).distinct()
+def _sizes_fit(a: Column, b: Column) -> Column:
+    return F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
 
 
-def links(members: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges ``a``, ``b`` that hold all groups of similar points; ``members``: ``band``, ``point``, ``n``."""
-    spark, rows, turn = members.sparkSession, members.count(), 0
-    edges = spark.createDataFrame([], "a long, b long")
-    grouped = members.withColumn("root", F.col("point"))
-    while rows:
-        found = released(_similar(_with_leaders(grouped, turn), signed, sets))
-        new, turn = found.count(), turn + 1
-        if new:
+def led(sets: DataFrame) -> DataFrame:
+    """Edges ``a``, ``b`` that hold all groups of similar points of classes of any size; ``sets`` is written."""
+    spark, most = sets.sparkSession, LEADERS
+    edges, done = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "point long")
+    members = checkpointed(sets.select("point", "class"))
+    grouped = members.withColumn("group", F.col("point"))
+    while True:
+        top = grouped.groupBy("class", "group").agg(F.count(F.lit(1)).alias("_n")).groupBy("class").agg(F.max_by("group", F.struct("_n", "group")).alias("_top"))
+        waiting = grouped.join(top, "class").where(F.col("group") != F.col("_top")).join(done, "point", "left_anti")
+        order = W.partitionBy("class").orderBy(F.xxhash64("point"), "point")
+        leaders = checkpointed(waiting.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= most).select("point"))
+        if leaders.isEmpty():
+            return edges
+        done, most = done.union(leaders), min(4 * most, MOST_LEADERS)
+        own = sets.join(small(grouped.select("point", "group")), "point")
+        lead = own.join(small(leaders), "point", "left_semi")
+        lead = small(checkpointed(lead.select("class", *(F.col(c).alias(f"_{c}") for c in ["point", "group", "n", "hashes", *SIGNS]))))
+        apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"_{s}"))) for s in SIGNS), F.lit(0))
+        met = own.join(lead, "class").where((F.col("group") != F.col("_group")) & _sizes_fit(F.col("n"), F.col("_n")) & (apart <= FAR))
+        sized = met.select("point", "_point", "n", "_n", F.size(F.array_intersect("hashes", "_hashes")).alias("_common"))
+        similar = F.col("_common") * LEAST[1] >= (F.col("n") + F.col("_n") - F.col("_common")) * LEAST[0]
+        found = released(sized.where(similar).select(F.col("point").alias("a"), F.col("_point").alias("b")))
+        if not found.isEmpty():
             edges = edges.union(found)
             roots = checkpointed(components(edges))
-            grouped = members.join(roots, members["point"] == roots["node"], "left").select("band", "point", "n", F.coalesce("root", "point").alias("root"))
-        shares = grouped.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_n")).groupBy("band")
-        pairs = shares.agg(((F.sum("_n") * F.sum("_n") - F.sum(F.col("_n") * F.col("_n"))) / 2).alias("_pairs")).agg(F.sum("_pairs")).first()[0]
-        if not pairs:
-            return edges
-        if not new or pairs <= _LEFT * rows:
-            return edges.union(released(_similar(_all_left(grouped), signed, sets)))
-    return edges
+            grouped = checkpointed(members.join(roots, members["point"] == roots["node"], "left").select("point", "class", F.coalesce("root", "point").alias("group")))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key and ``component_id`` (smallest key of its group) of every text; keys are unique and not null."""
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    marked = checkpointed(_mapped(rows, "point bigint, n int, bands array<bigint>, sign array<bigint>", _sketch))
-    firsts = checkpointed(marked.groupBy("point").agg(F.min("_key").alias("_first")))
-    distinct = marked.join(firsts.select(F.col("_first").alias("_key")), "_key", "left_semi")
-    banded = distinct.select("point", "n", "_key", F.explode("bands").alias("band"))
-    shared = checkpointed(banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("band"))
-    met = released(banded.join(small(shared), "band").select("band", "point", "n", "_key"))
-    wanted = checkpointed(met.select("point", "_key").distinct())
-    signed = checkpointed(distinct.select("point", "sign").join(wanted.select("point"), "point", "left_semi"))
-    sets = _mapped(rows.join(small(wanted.select("_key")), "_key", "left_semi"), "hashes array<bigint>", _whole)
-    sets = released(sets.join(small(wanted), "_key").select("point", "hashes"))
-    rooted = components(links(met.select("band", "point", "n"), signed, sets))
-    classes = firsts.join(rooted, firsts["point"] == rooted["node"], "left").select("point", "_first", F.coalesce("root", "point").alias("_root"))
-    least = classes.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    named = checkpointed(classes.join(least, "_root").select("point", "component_id"))
+    marked = checkpointed(_mapped(rows, ", ".join(["point bigint", "n int", *(f"{s} bigint" for s in SIGNS)]), _sketch))
+    least = F.min(F.struct("_key", "n", *SIGNS)).alias("_least")  # rows of a point differ in the key only
+    points = checkpointed(marked.groupBy("point").agg(least).select("point", "_least.*"))
+    classes = released(components(released(alike_edges(points)))).select(F.col("node").alias("point"), F.col("root").alias("class"))
+    large = classes.groupBy("class").agg((F.count(F.lit(1)) > TOGETHER).alias("large"))
+    wanted = checkpointed(points.join(classes, "point").join(large, "class"))
+    found = rows.join(small(wanted), "_key").select(F.struct("point", "class", "large", "n", *SIGNS).alias("_own"), "_text")
+    sets = released(_mapped(found, "hashes array<bigint>", _whole).select("_own.*", "hashes"))
+    links = settled(sets.where("not large"))
+    if not sets.where("large").isEmpty():
+        links = links.union(led(sets.where("large").drop("large")))
+    rooted = components(released(links))
+    named = points.join(rooted, points["point"] == rooted["node"], "left").select("point", F.col("_key").alias("_first"), F.coalesce("root", "point").alias("_root"))
+    firsts = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    named = checkpointed(named.join(firsts, "_root").select("point", "component_id"))
     return marked.join(named, "point").select(F.col("_key").alias(key), "component_id")
