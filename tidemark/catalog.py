@@ -590,7 +590,8 @@ def point_in_zone(spark, sf):
 
 @query
 def project_frame(spark, sf):
-    points = drawn(spark, sf).select("zone", "part", F.posexplode("ring").alias("seq", "_p"))
+    # Drawn rings are never empty; an inner explode would place and round every ring once more to filter by its size.
+    points = drawn(spark, sf).select("zone", "part", F.posexplode_outer("ring").alias("seq", "_p"))
     return points.select("zone", "part", "seq", "_p.x", "_p.y")
 
 

@@ -297,7 +297,9 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     hole = ring([(n(5.0), n(5.0)), (n(5.0), n(15.0)), (n(15.0), n(15.0)), (n(15.0), n(5.0))])
     islet = ring([(n(205.0), n(9.0)), (n(205.5), n(9.0)), (n(205.5), n(9.5)), (n(205.0), n(9.5))])
     main = F.when(key % 3 == 0, F.array(outline, hole)).otherwise(F.array(outline))
-    return table(spark, sf_dir, "customer").select(
+    # A zone is small as a record and large as a shape: a file of one split is spread over the tasks first.
+    spread = table(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition("c_custkey")
+    return spread.select(
         key.alias("pos"),
         key.alias("zone"),
         F.col("c_name").alias("name"),
