@@ -34,3 +34,10 @@ def test_lines_are_simplified_once(spark, name):
 
 def test_both_facts_come_from_one_scan(spark):
     assert plan(QUERIES["car_summary"](spark, str(SF))).count("lineitem.parquet") == 1
+
+
+@pytest.mark.parametrize("name", ["project_frame", "clipped_zones"])
+def test_shapes_are_spread_and_rounded_once(spark, name):
+    text = QUERIES[name](spark, str(SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in text
+    assert not any("134217729" in line for line in text.split("\n") if "Filter" in line)

@@ -79,7 +79,9 @@ def zone_outlines(parts: DataFrame) -> DataFrame:
 
 
 def _vertices(parts: DataFrame) -> DataFrame:
-    return parts.select("zone", "name", F.explode("ring").alias("_p")).select("zone", "name", "_p.x", "_p.y")
+    # An inner explode filters by the ring's size first, and so would place and round every ring once more.
+    points = parts.select("zone", "name", F.explode_outer("ring").alias("_p")).where(F.col("_p").isNotNull())
+    return points.select("zone", "name", "_p.x", "_p.y")
 
 
 def frame_box(parts: DataFrame, zoom: float = 1.0) -> DataFrame:
