@@ -27,10 +27,13 @@ WEIGHTS, CAP = [5, 2, 1], 3.0
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts that are near no language. Learns from labelled rows."""
     known = language.profile(docs.select("text", "lang"))
-    found = language.identify(docs.select(F.struct("*").alias("_doc"), F.col("text").alias("_text")), known, text="_text")
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    found = language.identify(docs.select(rest.alias("_doc"), F.col("text").alias("_text")), known, text="_text")
     letters = F.length(F.array_join(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+")), ""))
     least = F.coalesce(*(F.when(letters >= n, score) for n, score in LEAST_SCORES), F.lit(0.0))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select("_doc.*")
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select(
+        *((F.col("_text") if c == "text" else F.col("_doc")[c]).alias(c) for c in docs.columns)
+    )
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +64,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     automaton = bpe.spread(spark, bpe.load_automaton(public_tokenizers.path("word_bpe_49k.json")))
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), automaton).drop("text")
-    return bpe.decode(coded, automaton).select(
+    return bpe.encode_and_back(docs.select("doc_id", "lang", "source", "text"), automaton).select(
         "doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded"
     )
 

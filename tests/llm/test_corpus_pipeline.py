@@ -107,6 +107,16 @@ def test_unlearned_languages_go_and_labelled_rows_stay(spark, written):
         assert sum(d // 10**6 == k + 1 for d in kept) <= 5, name
 
 
+def test_workers_get_each_text_once(spark, written):
+    docs = written(corpus())
+    texts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("language_id", "bpe"):
+            texts[name] = stage(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+            assert texts[name].count("MapInArrow") == 1
+    assert "named_struct(doc_id" in texts["language_id"] and "text, text#" not in texts["language_id"]
+
+
 def test_run_is_the_stages_in_a_row(spark, written, tmp_path):
     written(corpus()).write.parquet(f"{tmp_path}/sf/documents.parquet")
     found = corpus_pipeline.run(spark, f"{tmp_path}/sf")

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import struct
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -135,6 +136,17 @@ def test_bpe_as_the_library(spark, written, messy):
     assert null["decoded"] is None
 
 
+def test_bpe_there_and_back_in_one_worker(spark, written, messy):
+    automaton = bpe.spread(spark, bpe.load_automaton(public_tokenizers.path("word_bpe_49k.json")))
+    for docs in (written(messy, clash=True), written([])):
+        apart = bpe.decode(bpe.encode(docs, automaton), automaton).drop("text")
+        once = bpe.encode_and_back(docs, automaton)
+        assert once.schema == apart.schema
+        key = lambda r: tuple(map(repr, r))
+        assert sorted(once.collect(), key=key) == sorted(apart.collect(), key=key)
+        assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         bpe.load_automaton(public_tokenizers.path("byte_bpe_50k.json"))
@@ -167,6 +179,25 @@ def test_language_matches_a_plain_sum(written):
     assert got["lang_pred"] == max(cosines, key=cosines.get) and got["score"] == pytest.approx(max(cosines.values()), abs=1e-5)
 
 
+def test_many_letter_threes_take_little_memory():
+    points = np.random.default_rng(4).integers(0x4E00, 0x9FA0, 40_000).tolist()
+    texts = ["".join(map(chr, points[i : i + 20_000])) for i in (0, 20_000)]
+    tracemalloc.start()
+    binder = language.Binder()
+    found = [binder.threes(t) for t in texts]
+    assert len(binder) > 39_000  # many times what becomes floats together
+    got = binder.bundle([*found, None])
+    counts = np.zeros(len(binder))
+    counts[found[0][0]] = found[0][1]
+    whole = binder.product(counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # as floats: 134 MB of vectors, and 168 MB for the sum
+    for (rows, times), vector in zip(found, got, strict=False):
+        assert (vector == sum(int(n) * binder.vectors[r].astype(int) for r, n in zip(rows, times, strict=True))).all()
+    assert (whole == got[0]).all() and whole.dtype == np.float64 and not got[2].any()
+
+
 def test_language_of_a_messy_table(written, messy):
     docs = written(messy, clash=True)
     known = language.profile(docs)

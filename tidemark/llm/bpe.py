@@ -224,14 +224,33 @@ def decode(docs: DataFrame, automaton, ids: str = "ids", text: str = "decoded")
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = np.array(automaton.value.labels, object)
         for batch in slices(batches):
-            packed = batch.column(names.index(ids)).to_pylist()
-            joined = [None if p is None else " ".join(labels[np.frombuffer(p, "<u4")].tolist()) for p in packed]
+            joined = [spelled(labels, p) for p in batch.column(names.index(ids)).to_pylist()]
             columns = dict(zip(names, batch.columns, strict=True)) | {text: pa.array(joined, pa.string())}
             yield pa.RecordBatch.from_arrays([columns[n] for n in schema.names], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def spelled(labels: np.ndarray, packed: bytes | None) -> str | None:
+    """The labels of packed ids, joined by spaces."""
+    return None if packed is None else " ".join(labels[np.frombuffer(packed, "<u4")].tolist())
+
+
+def encode_and_back(docs: DataFrame, automaton, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one worker a task, without the text: it holds one automaton and gets no ids back."""
+    schema, names = docs.drop(text).withColumns({ids: F.lit("").cast("binary"), decoded: F.lit(None).cast("string")}).schema, docs.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, labels = automaton.value.encoder, np.array(automaton.value.labels, object)
+        for batch in slices(batches):
+            packed = [encoder.encode(t) if t else b"" for t in batch.column(names.index(text)).to_pylist()]
+            joined = [spelled(labels, p) for p in packed]
+            columns = dict(zip(names, batch.columns, strict=True)) | {ids: pa.array(packed, pa.binary()), decoded: pa.array(joined, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in schema.names], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def spread(spark: SparkSession, automaton: Automaton):
     """The automaton on all executors; its size is that of the vocabulary."""
     ship_package(spark)

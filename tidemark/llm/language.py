@@ -37,6 +37,9 @@ _KEPT = 60_000
 #: Texts whose vectors are made in one multiplication.
 _TOGETHER = 128
 
+#: Vectors of threes are bytes and become floats so many at a time, so a worker's memory does not follow ``_KEPT``.
+_BLOCK = 4096
+
 
 class Binder(dict):
     """Row number of each bound three of letters; ``vectors`` holds the rows."""
@@ -44,14 +47,13 @@ class Binder(dict):
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = 5):
         super().__init__()
         self.dimensions, self.seed, self.letters = dimensions, seed, {}
-        self.vectors = np.empty((1024, dimensions), np.float32)
-        points = np.arange(0x110000)
-        self.is_letter = np.fromiter(map(str.isalpha, map(chr, points.tolist())), bool, len(points))
+        self.vectors = np.empty((1024, dimensions), np.int8)
+        self.is_letter = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 
     def letter(self, point: int) -> np.ndarray:
         found = self.letters.get(point)
         if found is None:
-            found = self.letters[point] = np.random.default_rng([self.seed, point]).choice(np.array([-1, 1], np.float32), self.dimensions)
+            found = self.letters[point] = np.random.default_rng([self.seed, point]).choice(np.array([-1, 1], np.int8), self.dimensions)
         return found
 
     def __missing__(self, three: int) -> int:
@@ -78,7 +80,15 @@ class Binder(dict):
         for i, found in enumerate(texts):
             if found:
                 counted[i, found[0]] = found[1]
-        return counted @ self.vectors[: len(self)]
+        return self.product(counted)
+
+    def product(self, counted: np.ndarray) -> np.ndarray:
+        """Counts of the threes by row, times their vectors. The sums are whole numbers, so blocks change no digit."""
+        total = np.zeros((*counted.shape[:-1], self.dimensions), counted.dtype)
+        for start in range(0, len(self), _BLOCK):
+            end = min(start + _BLOCK, len(self))
+            total += counted[..., start:end] @ self.vectors[start:end].astype(counted.dtype)
+        return total
 
 
 def profile(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
@@ -89,7 +99,7 @@ def profile(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions:
 
         def multiply() -> None:
             for name, counts in counted.items():
-                totals[name] = totals.get(name, 0) + counts[: len(binder)] @ binder.vectors[: len(counts)].astype(np.float64)[: len(binder)]
+                totals[name] = totals.get(name, 0) + binder.product(np.append(counts, np.zeros(max(0, len(binder) - len(counts)))))
             counted.clear()
             binder.clear()
 
