@@ -114,7 +114,7 @@ def test_workers_get_each_text_once(spark, written):
         if name in ("language_id", "bpe"):
             texts[name] = stage(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
             assert texts[name].count("MapInArrow") == 1
-    assert "named_struct(doc_id" in texts["language_id"] and "text, text#" not in texts["language_id"]
+    assert "struct(doc_id" in texts["language_id"] and ", text, text#" not in texts["language_id"]
 
 
 def test_run_is_the_stages_in_a_row(spark, written, tmp_path):
