@@ -8,6 +8,7 @@ from llm_tables import written  # noqa: F401  (fixture)
 
 import corpus_pipeline
 from tidemark.llm import near_copies
+from tidemark.llm.components import components
 
 
 def shingles(text):
@@ -86,3 +87,49 @@ def test_large_classes_are_led_to_the_same_groups(written, monkeypatch):
     monkeypatch.setattr(near_copies, "TOGETHER", 20)
     got = near_copies.groups(written([(i, t, None, None, None) for i, t in enumerate(texts)])).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(brute_groups(texts)))
+
+
+def counted(monkeypatch, name):
+    """Counts the calls of a helper of ``near_copies``."""
+    calls, real = [], getattr(near_copies, name)
+    monkeypatch.setattr(near_copies, name, lambda *args: (calls.append(1), real(*args))[1])
+    return calls
+
+
+def alike_texts(n, edits):
+    rng = random.Random(7)
+    base, texts = [f"w{rng.randrange(9000)}" for _ in range(300)], []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(300), edits):
+            words[at] = f"e{rng.randrange(9000)}"
+        texts.append(" ".join(words[: 300 - i % 40]))
+    return texts
+
+
+def test_steps_do_not_grow_with_a_class(written, monkeypatch):
+    for name, value in {"TOGETHER": 5, "MOST_LEADERS": 4, "BLOCK": 16, "LED": 20}.items():
+        monkeypatch.setattr(near_copies, name, value, raising=False)
+    steps, turns = counted(monkeypatch, "checkpointed"), counted(monkeypatch, "released")
+    for texts in (alike_texts(100, 7), alike_texts(100, 4)):  # alike: most are similar to none, or all hang together
+        want = brute_groups(texts)
+        del steps[:], turns[:]
+        got = near_copies.groups(written([(i, t, None, None, None) for i, t in enumerate(texts)])).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+        assert len(steps) <= 30 and len(turns) <= 8
+
+
+def test_blocks_and_leaders_not_broadcast_give_the_same_groups(written, monkeypatch):
+    texts = corpus() + alike_texts(60, 6)
+    for name, value in {"TOGETHER": 10, "LED": 0, "BLOCK": 8, "BLOCK_HASHES": 900, "LEAD_HASHES": 0}.items():
+        monkeypatch.setattr(near_copies, name, value)
+    got = near_copies.groups(written([(i, t, None, None, None) for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(brute_groups(texts)))
+
+
+def test_components_in_one_task_are_those_of_rounds(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)] + [(i, i + 1) for i in range(900, 960)]
+    for some in (edges, []):
+        table = spark.createDataFrame(some, "a long, b long").repartition(5)
+        assert sorted(components(table, 10**6).collect()) == sorted(components(table).collect())

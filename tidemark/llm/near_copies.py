@@ -14,11 +14,13 @@ differ. A pair at 0.8 has a chance of 0.18 in each tree and is missed by all wit
 these edges are classes: no similar pair that was found lies in two of them.
 
 Links. Classes are small as a rule; one of up to ``TOGETHER`` texts is settled in one group, pair by
-pair. In a larger one some members lead: all others of the class are compared with them, where
-the sets lie. Texts that are not in the class's largest group lead in turn until each has,
-so any two texts of different groups have been compared. Nothing but links leaves such a step. A
-large group of near copies falls together in the first turns; many texts that are alike and
-not similar do meet each other all.
+pair. In larger ones the texts that are not in the class's largest group wait: each has to be
+compared with all others of the class. While over ``LED`` wait, some lead: all others of the class
+are compared with them, where the sets lie, and a large group of near copies falls together. Once
+a turn leaves over half of them, or few, the rest meets in pairs of blocks, all in one step; many
+texts that are alike and not similar do meet each other all. So turns, each some jobs of the
+driver's, grow with the logarithm of a class, not with its size. A block holds at most so many
+texts and hashes, and texts of one size: sizes more than 1.3 apart twice over cannot be similar.
 
 Words are as in ``simhash``. Nulls: null and empty texts are one set. The key must be unique
 and not null; extra columns are not read. An empty table gives no rows.
@@ -26,6 +28,7 @@ and not null; extra columns are not read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -52,8 +55,14 @@ FAR, FAR_FIRST = 68, 24
 #: Points a shard aims at, points compared all to all, and members of a class that is settled in one group.
 SHARD, LEAF, TOGETHER = 1 << 17, 512, 256
 
-#: Leaders of a class in its first turn, and at most.
-LEADERS, MOST_LEADERS = 4, 256
+#: Leaders of a class in its first turn, and at most; waiting texts that need no turn; hashes of leaders to broadcast at most.
+LEADERS, MOST_LEADERS, LED, LEAD_HASHES = 4, 256, 4096, 1 << 20
+
+#: Texts and hashes that a block aims at, and the step from one size of texts to the next.
+BLOCK, BLOCK_HASHES, BAND = 2048, 1 << 20, 1.3
+
+#: Edges whose components are found in one task.
+AT_ONCE = 1 << 18
 
 SIGNS = [f"s{k}" for k in range(WORDS)]
 
@@ -184,58 +193,97 @@ def _whole(text: str | None) -> tuple[np.ndarray]:
     return (shingle_set(text).view(np.int64),)
 
 
+def similar_edges(frame: pd.DataFrame, low: np.ndarray, high: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    """Edges between points at ``low`` and at ``high``, one wherever a similar pair joins two labels.
+
+    If both are the same places each pair is met once. ``label`` is changed in place.
+    """
+    point, sets, out = frame["point"].to_numpy(), frame["hashes"].to_list(), []
+    all_signs, n = _unsigned(frame[s].to_numpy() for s in SIGNS), np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    held, ids = np.zeros(ids.max() + 1, bool), np.split(ids, np.cumsum(n)[:-1])
+    for k, i in enumerate(low.tolist()):
+        at = high[:k] if high is low else high
+        at = at[(label[at] != label[i]) & (np.minimum(n[at], n[i]) * LEAST[1] >= np.maximum(n[at], n[i]) * LEAST[0])]
+        at = at[np.bitwise_count(all_signs[at] ^ all_signs[i]).sum(axis=1, dtype=np.int64) <= FAR]
+        if not len(at):
+            continue
+        held[ids[i]] = True
+        common = np.add.reduceat(held[np.concatenate([ids[j] for j in at])], np.cumsum(n[at]) - n[at], dtype=np.int64)
+        held[ids[i]] = False
+        for j in at[common * LEAST[1] >= (n[i] + n[at] - common) * LEAST[0]].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((point[i], point[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
 def settled(sets: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` that hold all groups of similar points of small classes, each in one group."""
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        point, n, sets_ = frame["point"].to_numpy(), frame["n"].to_numpy(), frame["hashes"].to_list()
-        all_signs = _unsigned(frame[s].to_numpy() for s in SIGNS)
-        parent, out = list(range(len(point))), []
-        for i in range(1, len(point)):
-            alike = np.bitwise_count(all_signs[:i] ^ all_signs[i]).sum(axis=1, dtype=np.int64) <= FAR
-            fits = np.minimum(n[:i], n[i]) * LEAST[1] >= np.maximum(n[:i], n[i]) * LEAST[0]
-            for j in np.nonzero(alike & fits)[0].tolist():
-                if parent[i] == parent[j]:
-                    continue
-                common = len(np.intersect1d(sets_[i], sets_[j], assume_unique=True))
-                if common * LEAST[1] >= (len(sets_[i]) + len(sets_[j]) - common) * LEAST[0]:
-                    low, high = sorted((parent[i], parent[j]))
-                    parent = [low if p == high else p for p in parent]
-                    out.append((point[i], point[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        everyone = np.arange(len(frame))
+        return similar_edges(frame, everyone, everyone, everyone.copy())
 
     return sets.groupBy("class").applyInPandas(settle, "a long, b long")
 
 
+def met(sets: DataFrame, grouped: DataFrame, waiting: DataFrame) -> DataFrame:
+    """Edges ``a``, ``b`` between groups: the waiting points compared with all others of their class, block by block."""
+    cell, own = ["class", "waits", "band"], ["point", "group", "n", *SIGNS, "hashes"]
+    marks = grouped.join(waiting.select("point", F.lit(True).alias("waits")), "point", "left")
+    rows = sets.join(small(checkpointed(marks.select("point", "group", F.col("waits").isNotNull().alias("waits")))), "point")
+    rows = rows.withColumn("band", F.floor(F.log("n") / math.log(BAND)).cast("int"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_HASHES)).cast("int")
+    cells = checkpointed(rows.groupBy(*cell).agg(blocks.alias("blocks")))
+    facing = cells.join(cells.select("class", F.struct("waits", "band", "blocks").alias("other")), "class")
+    facing = facing.where((F.col("waits") | F.col("other.waits")) & (F.abs(F.col("band") - F.col("other.band")) <= 1))
+    facing = checkpointed(facing.groupBy(*cell, "blocks").agg(F.collect_list("other").alias("others")))  # at most six
+    block = F.expr("named_struct('waits', waits, 'band', band, 'block', int(pmod(xxhash64(point, 7L), blocks)))")
+    theirs = F.expr("explode(flatten(transform(others, o -> transform(sequence(0, o.blocks - 1), j -> named_struct('waits', o.waits, 'band', o.band, 'block', j)))))")
+    dealt = rows.join(small(facing), cell).select("class", block.alias("_own"), theirs.alias("_other"), *own)
+    pair = {f"{side}_{f}": of("_own", "_other")[f] for side, of in (("low", F.least), ("high", F.greatest)) for f in ("waits", "band", "block")}
+    dealt = dealt.select("class", *(c.alias(name) for name, c in pair.items()), (F.col("_own") <= F.col("_other")).alias("low"), (F.col("_own") == F.col("_other")).alias("alone"), *own)
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        label = np.unique(frame["group"].to_numpy(), return_inverse=True)[1]
+        low = np.nonzero(frame["low"].to_numpy())[0]
+        return similar_edges(frame, low, low if frame["alone"].iloc[0] else np.nonzero(~frame["low"].to_numpy())[0], label)
+
+    return dealt.groupBy("class", *pair).applyInPandas(meet, "a long, b long")
+
+
 def _sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
 
 
 def led(sets: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` that hold all groups of similar points of classes of any size; ``sets`` is written."""
-    spark, most = sets.sparkSession, LEADERS
+    spark, most, before = sets.sparkSession, LEADERS, None
     edges, done = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "point long")
     members = checkpointed(sets.select("point", "class"))
     grouped = members.withColumn("group", F.col("point"))
     while True:
         top = grouped.groupBy("class", "group").agg(F.count(F.lit(1)).alias("_n")).groupBy("class").agg(F.max_by("group", F.struct("_n", "group")).alias("_top"))
-        waiting = grouped.join(top, "class").where(F.col("group") != F.col("_top")).join(done, "point", "left_anti")
+        waiting = checkpointed(grouped.join(top, "class").where(F.col("group") != F.col("_top")).join(done, "point", "left_anti").select("point", "class"))
+        left = waiting.count()
+        if left <= LED or before and 2 * left > before:
+            return edges.union(met(sets, grouped, waiting)) if left else edges
         order = W.partitionBy("class").orderBy(F.xxhash64("point"), "point")
         leaders = checkpointed(waiting.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= most).select("point"))
-        if leaders.isEmpty():
-            return edges
-        done, most = done.union(leaders), min(4 * most, MOST_LEADERS)
+        done, most, before = done.union(leaders), min(4 * most, MOST_LEADERS), left
         own = sets.join(small(grouped.select("point", "group")), "point")
         lead = own.join(small(leaders), "point", "left_semi")
-        lead = small(checkpointed(lead.select("class", *(F.col(c).alias(f"_{c}") for c in ["point", "group", "n", "hashes", *SIGNS]))))
+        lead = checkpointed(lead.select("class", *(F.col(c).alias(f"_{c}") for c in ["point", "group", "n", "hashes", *SIGNS])))
+        lead = F.broadcast(lead) if lead.agg(F.sum("_n")).first()[0] <= LEAD_HASHES else lead
         apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"_{s}"))) for s in SIGNS), F.lit(0))
-        met = own.join(lead, "class").where((F.col("group") != F.col("_group")) & _sizes_fit(F.col("n"), F.col("_n")) & (apart <= FAR))
-        sized = met.select("point", "_point", "n", "_n", F.size(F.array_intersect("hashes", "_hashes")).alias("_common"))
+        compared = own.join(lead, "class").where((F.col("group") != F.col("_group")) & _sizes_fit(F.col("n"), F.col("_n")) & (apart <= FAR))
+        sized = compared.select("point", "_point", "n", "_n", F.size(F.array_intersect("hashes", "_hashes")).alias("_common"))
         similar = F.col("_common") * LEAST[1] >= (F.col("n") + F.col("_n") - F.col("_common")) * LEAST[0]
         found = released(sized.where(similar).select(F.col("point").alias("a"), F.col("_point").alias("b")))
         if not found.isEmpty():
             edges = edges.union(found)
-            roots = checkpointed(components(edges))
+            roots = checkpointed(components(edges, AT_ONCE))
             grouped = checkpointed(members.join(roots, members["point"] == roots["node"], "left").select("point", "class", F.coalesce("root", "point").alias("group")))
 
 
@@ -245,7 +293,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     marked = checkpointed(_mapped(rows, ", ".join(["point bigint", "n int", *(f"{s} bigint" for s in SIGNS)]), _sketch))
     least = F.min(F.struct("_key", "n", *SIGNS)).alias("_least")  # rows of a point differ in the key only
     points = checkpointed(marked.groupBy("point").agg(least).select("point", "_least.*"))
-    classes = released(components(released(alike_edges(points)))).select(F.col("node").alias("point"), F.col("root").alias("class"))
+    classes = released(components(released(alike_edges(points)), AT_ONCE)).select(F.col("node").alias("point"), F.col("root").alias("class"))
     large = classes.groupBy("class").agg((F.count(F.lit(1)) > TOGETHER).alias("large"))
     wanted = checkpointed(points.join(classes, "point").join(large, "class"))
     found = rows.join(small(wanted), "_key").select(F.struct("point", "class", "large", "n", *SIGNS).alias("_own"), "_text")
@@ -253,7 +301,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     links = settled(sets.where("not large"))
     if not sets.where("large").isEmpty():
         links = links.union(led(sets.where("large").drop("large")))
-    rooted = components(released(links))
+    rooted = components(released(links), AT_ONCE)
     named = points.join(rooted, points["point"] == rooted["node"], "left").select("point", F.col("_key").alias("_first"), F.coalesce("root", "point").alias("_root"))
     firsts = named.groupBy("_root").agg(F.min("_first").alias("component_id"))
     named = checkpointed(named.join(firsts, "_root").select("point", "component_id"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.components import _roots, _union, components
 from tidemark.llm.rows import checkpointed, slices
 from tidemark.session import ship_package
 
@@ -174,25 +174,6 @@ def links(points: np.ndarray, metric: int) -> tuple[np.ndarray, np.ndarray]:
     return moved, roots[moved]
 
 
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[parent]
-        if np.array_equal(up, parent):
-            return parent
-        parent = up
-
-
-def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the groups of a[k] and b[k] for all k; ``parent`` is changed in place."""
-    while len(a):
-        roots = _roots(parent.copy())
-        x, y = roots[a], roots[b]
-        open_ = x != y
-        a, b, high, low = a[open_], b[open_], np.maximum(x, y)[open_], np.minimum(x, y)[open_]
-        parent[:] = roots
-        np.minimum.at(parent, high, low)
-
-
 def near_edges(points: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` between distinct ``bits`` that hold all groups of fingerprints within reach."""
     spark = points.sparkSession
