@@ -62,7 +62,7 @@ LEADERS, MOST_LEADERS, LED, LEAD_HASHES = 4, 256, 4096, 1 << 20
 BLOCK, BLOCK_HASHES, BAND = 2048, 1 << 20, 1.3
 
 #: Edges whose components are found in one task.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 20
 
 SIGNS = [f"s{k}" for k in range(WORDS)]
 
